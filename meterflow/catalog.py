@@ -1,0 +1,7 @@
+"""All registered queries, by name, and the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
+FLAGSHIP = "system_report_day"
