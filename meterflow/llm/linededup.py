@@ -39,6 +39,10 @@ def line_hash(line: str, min_chars: int = MIN_CHARS) -> bytes | None:
     return hashlib.md5(key.encode().lower()).digest() if len(key) >= min_chars else None
 
 
+def halves(h: bytes) -> tuple[int, int]:
+    return _HASH.unpack(h)
+
+
 class Runs:
     """Runs of line hashes by level, as bucketed tables in the shared folder."""
 
@@ -98,7 +102,7 @@ def hashed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 ids, his, los = [], [], []
                 for d, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
                     for h in {h for x in text.split("\n") if (h := line_hash(x, min_chars))}:
-                        hi, lo = _HASH.unpack(h)
+                        hi, lo = halves(h)
                         ids.append(d), his.append(hi), los.append(lo)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, his, los)], ["doc", "hi", "lo"])
 
