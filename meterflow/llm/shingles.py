@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from meterflow.llm.common import Recent
+from meterflow.llm.common import Recent, distinct
 
 WORDS = 5
 RECENT_WORDS = 300_000
@@ -27,17 +29,21 @@ class Shingler:
     def __init__(self, words: int = WORDS):
         self.words, self.recent = words, Recent(RECENT_WORDS)
 
-    def hashes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def hashes(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(distinct shingle hashes of all texts one after another, how many each text has).
 
         Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case; a text of fewer words is one shingle, one without words has none.
         """
-        split = [x.encode().lower().split() for x in texts]
-        for w in self.recent.missing(set().union(*split)):
-            self.recent[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-        get, k = self.recent.__getitem__, self.words
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        flat = np.fromiter((get(w) for words in split for w in words), np.uint64, int(sizes.sum()))
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        k, split = self.words, pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        flat = split.flatten()
+        full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)  # white space at an end leaves an empty word there
+        sizes = np.diff(np.concatenate([[0], np.cumsum(full)])[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])])
+        codes, words = distinct(flat.filter(pa.array(full)))
+        words = words.to_pylist()
+        for w in self.recent.missing(set(words)):
+            self.recent[w] = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+        flat = np.fromiter(map(self.recent.__getitem__, words), np.uint64, len(words))[codes]
         counts = np.where(sizes >= k, sizes - k + 1, np.minimum(sizes, 1))
         if not len(flat):
             return np.zeros(0, np.uint64), counts
@@ -49,8 +55,9 @@ class Shingler:
             inside = place + i < sizes[owner]
             total = mixed(total * _STEP + np.where(inside, padded[i : i + len(flat)], np.uint64(i + 1)))
         total, owner = total[starts := place < counts[owner]], owner[starts]
-        order = np.lexsort((total, owner))
-        total, owner = total[order], owner[order]
+        ends = np.cumsum(counts)
+        for start, end in zip((ends - counts).tolist(), ends.tolist()):
+            total[start:end].sort()
         first = np.ones(len(total), bool)
         first[1:] = (total[1:] != total[:-1]) | (owner[1:] != owner[:-1])
         return total[first], np.bincount(owner[first], minlength=len(texts))
