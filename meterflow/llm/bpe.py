@@ -21,15 +21,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterflow.llm.common import NO_ID, Recent, id_back, slices, texts_of
+from meterflow.llm.common import NO_ID, Recent, distinct, id_back, joined, slices, texts_of
 
 LONG = 400
 #: Pieces, words and decoded runs that a worker keeps, per generation.
 RECENT = 250_000
+#: Bytes of text that are encoded at a time.
+SLICE = 4_000_000
 #: White space other than the space and the line feed.
 _OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]")
 
@@ -138,47 +141,63 @@ class Codec:
             offer(before[i])
         return [x for x, a in zip(ids, alive) if a]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        heads, tails = [], []
-        for text in texts:
-            # A word may be taken with the one space before it if no other white space touches that space.
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers.
+
+        A word may be taken with the one space before it if no other white space touches that space; such texts
+        are split by Arrow, which also finds the distinct words. The others are split by the pattern as a whole.
+        """
+        plain, whole, heads = [], [], []
+        for i, text in enumerate(texts.to_pylist()):
             if "  " in text or " \n" in text or "\n " in text or _OTHER_SPACE.search(text):
+                whole.append(i)
                 heads.append(self.pattern.findall(text))
-                tails.append([])
             else:
-                first, *rest = text.split(" ")
-                heads.append(self.pattern.findall(first))
-                tails.append(rest)
-        new = {w: self.pattern.findall(" " + w) for w in self.words.missing(set().union(*tails))}
+                plain.append(i)
+                heads.append(self.pattern.findall(text.partition(" ")[0]))
+        split = pc.split_pattern(texts.take(pa.array(plain, pa.int64())), " ")
+        sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+        flat = split.flatten()
+        tail = np.ones(len(flat), bool)
+        tail[(np.cumsum(sizes) - sizes).astype(np.int64)] = False  # the first word has no space before it
+        codes, words = distinct(flat.filter(pa.array(tail)))
+        words = words.to_pylist()
+        new = {w: self.pattern.findall(" " + w) for w in self.words.missing(set(words))}
         self._learn_pieces(set().union(*heads, *new.values()))
-        piece, word = self.pieces.__getitem__, self.words.__getitem__
+        piece = self.pieces.__getitem__
         for w, parts in new.items():
             self.words[w] = b"".join(map(piece, parts))
-        return [b"".join(map(piece, h)) + b"".join(map(word, t)) for h, t in zip(heads, tails)]
+        ids, at = joined(codes, list(map(self.words.__getitem__, words)), "<u4")
+        raw, ends = ids.tobytes(), (at[np.concatenate([[0], np.cumsum(sizes - 1)]).astype(np.int64)] * 4).tolist()
+        out = [b"".join(map(piece, h)) for h in heads]
+        for i, a, b in zip(plain, ends, ends[1:]):
+            out[i] += raw[a:b]
+        return out
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes behind each list of ids: distinct runs of ids that begin with a space are looked up or queried."""
-        split = []
-        for raw in ids:
-            x = np.frombuffer(raw, "<u4")
-            at = (np.flatnonzero(self.opens[x]) * 4).tolist()
-            if not at or at[0]:
-                at.insert(0, 0)
-            at.append(len(raw))
-            split.append([raw[a:b] for a, b in zip(at, at[1:])])
-        new = list(self.runs.missing(set().union(*split)))
+        flat, sizes = np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        begins = self.opens[flat]
+        begins[starts[sizes > 0]] = True
+        at = np.flatnonzero(begins)
+        offsets = np.append(at, len(flat)).astype(np.int32) * 4
+        codes, runs = distinct(pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(flat.tobytes())]))
+        runs = runs.to_pylist()
+        new = list(self.runs.missing(set(runs)))
         for i in range(0, len(new), 50_000):
             part = new[i : i + 50_000]
             for r in part:
                 self.runs[r] = b""
-            flat = np.frombuffer(b"".join(part), "<u4").astype(np.int32)
+            part_ids = np.frombuffer(b"".join(part), "<u4").astype(np.int32)
             ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in part])]).astype(np.int32)
-            rows = pa.table({"r": pa.array(np.arange(len(part), dtype=np.int32)), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))})
+            rows = pa.table({"r": pa.array(np.arange(len(part), dtype=np.int32)), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(part_ids))})
             out = self._query("new_runs", rows, DECODE)
             for r, raw in zip(out.column("r").to_pylist(), out.column("bytes").to_pylist()):
                 self.runs[part[r]] = raw
-        return [b"".join(map(self.runs.__getitem__, x)) for x in split]
+        made, ends = joined(codes, list(map(self.runs.__getitem__, runs)), "u1")
+        raw, docs = made.tobytes(), ends[np.searchsorted(at, np.append(starts, len(flat)))].tolist()
+        return [raw[a:b] for a, b in zip(docs, docs[1:])]
 
 
 @lru_cache(2)
@@ -192,8 +211,8 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     def run(batches):
         c = codec(path, pattern)
         for batch in batches:
-            for part in slices(batch):
-                ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in c.encode(part.column("text").to_pylist())]
+            for part in slices(batch, SLICE):
+                ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in c.encode(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return texts_of(df, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>").select(id_back("doc_id").alias(id_col), "ids")
@@ -218,8 +237,8 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
     def run(batches):
         c = codec(path, pattern)
         for batch in batches:
-            for part in slices(batch):
-                ids = c.encode(part.column("text").to_pylist())
+            for part in slices(batch, SLICE):
+                ids = c.encode(part.column("text"))
                 hexed = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), hexed(ids), hexed(c.decode(ids))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,6 +90,24 @@ def slices(batch: pa.RecordBatch, chars: int = 2_000_000, column: str = "text"):
         yield batch.slice(start)
 
 
+def distinct(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(codes, distinct values) of an Arrow array."""
+    coded = values.dictionary_encode()
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+
+
+def joined(codes: np.ndarray, values: list[bytes], dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """What values[c] holds for each code one after another, and where each begins (and the last ends)."""
+    flat = np.frombuffer(b"".join(values), dtype)
+    sizes = np.fromiter(map(len, values), np.int64, len(values)) // flat.itemsize
+    each = sizes[codes]
+    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(each)])
+    index = np.repeat((np.cumsum(sizes) - sizes)[codes] - ends[:-1], each)
+    index += np.arange(len(index))
+    return flat[index], ends
+
+
 class Recent(dict):
     """A bounded cache: two generations, of which the older one goes when the younger one is full."""
 
