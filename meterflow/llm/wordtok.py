@@ -12,12 +12,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-from meterflow.llm.common import Recent, slices
+from meterflow.llm.common import Recent, distinct, joined, slices
 
 #: Words whose ids a worker keeps, per generation.
-RECENT_WORDS = 250_000
+RECENT_WORDS, RECENT_PIECES = 350_000, 150_000
+#: Bytes of text that are encoded at a time.
+SLICE = 6_000_000
 #: White space other than the space and the line feed, or what some count as such.
 _SPACE = regex.compile(r"[^\S\n]|[\x1c-\x1f\x85]")
 
@@ -36,7 +39,7 @@ class WordIds:
         self.split = regex.compile(own["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.ends = np.zeros(self.vocab_size, bool)  # tokens that end a piece
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(self.end)]] = True
-        self.words, self.pieces = Recent(RECENT_WORDS), Recent(RECENT_WORDS)
+        self.words, self.pieces = Recent(RECENT_WORDS), Recent(RECENT_PIECES)
 
     def _alone(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -53,9 +56,19 @@ class WordIds:
             else:  # a piece that the tokenizer splits further
                 self.pieces.update((p, self._alone(p)) for p in part)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [x.replace("\n", " ").split(" ") for x in texts]
-        missing = list(self.words.missing(set().union(*split)))
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; a slice's distinct words are found by Arrow, so Python sees each of them once."""
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        codes, words = distinct(split.flatten())
+        words = words.to_pylist()
+        self._learn_words(words)
+        flat, at = joined(codes, list(map(self.words.__getitem__, words)), "<u4")
+        raw, docs = flat.tobytes(), np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])
+        ends = (at[docs] * 4).tolist()
+        return [raw[a:b] for a, b in zip(ends, ends[1:])]
+
+    def _learn_words(self, words: list[str]) -> None:
+        missing = list(self.words.missing(set(words)))
         joined = "\n".join(missing)
         odd = []
         if _SPACE.search(joined) or any(x in joined for x in self.special):
@@ -70,7 +83,6 @@ class WordIds:
             self._learn_pieces(set().union(*found))
             get = self.pieces.__getitem__
             self.words.update((w, b"".join(map(get, x))) for w, x in zip(plain, found))
-        return [b"".join(map(self.words.__getitem__, words)) for words in split]
 
 
 @lru_cache(4)
@@ -82,8 +94,8 @@ def encoded(batches, path: str):
     """(slice of the batch, its texts' ids) for every part of every Arrow batch with a text column."""
     codec = word_ids(path)
     for batch in batches:
-        for part in slices(batch):
-            yield part, codec.encode(part.column("text").to_pylist())
+        for part in slices(batch, SLICE):
+            yield part, codec.encode(part.column("text"))
 
 
 def vocab_size(path: str) -> int:
