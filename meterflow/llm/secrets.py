@@ -2,9 +2,9 @@
 
 Three base patterns find assignments, access keys and hexadecimal strings. Two character Markov models add spans: one of
 random strings, one of ordinary identifiers. Their labelled samples come from the whole corpus: the values of
-base matches are random, all other long runs of identifier characters are ordinary. Bigrams are counted in
-Spark (at most 80 * 80 of each label reach the driver), smoothed, and a run whose log-likelihood ratio reaches LEAST_RATIO
-is a span of kind ``random`` unless it overlaps a base span.
+base matches are random, other long runs of letters (with a few digits at the end at most) are ordinary. Bigrams are counted in
+Spark (at most 80 * 80 of each label reach the driver) and smoothed by how often the second character occurs at all. A run of
+letters and digits whose log-likelihood ratio reaches LEAST_RATIO is a span of kind ``random`` unless it overlaps a base span.
 
 Spans are (kind, start, end), in code points, end exclusive. Cases: NULL text is the empty text, without spans. Equal and NULL
 ids are rows of their own. Without any sample both models are uniform and nothing is added. ``scan`` ignores
@@ -26,7 +26,8 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
-#: Natural log of the ratio that a run must reach, how many times smoothing counts each pair, and the share of
+ORDINARY = r"^[A-Za-z+/_=-]+[0-9]{0,4}$"
+#: Natural log of the ratio that a run must reach, the weight of smoothing, and the share of
 #: the random strings' model that is uniform over the alphabet (base matches are mostly hexadecimal, random strings need not be).
 LEAST_RATIO, SMOOTHING, UNIFORM = 12.0, 0.5, 0.5
 #: The first character code of the models' alphabet and its size.
@@ -89,6 +90,7 @@ def train(texts: DataFrame) -> list[float]:
     rows = _with_spans(base_spans(texts.select("_text")), "_runs", 3, RUN)
     inside = lambda s: F.exists(F.concat("_assign", "_access", "_hex"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     pairs = F.zip_with("_runs", "_run_texts", lambda s, t: F.struct(inside(s).alias("random"), t.alias("run")))
+    pairs = F.filter(pairs, lambda p: p["random"] | p["run"].rlike(ORDINARY))
     labelled = F.concat(pairs, F.transform("_values", lambda v: F.struct(F.lit(True).alias("random"), v.alias("run"))))
     runs = rows.select(F.explode(labelled).alias("x")).select("x.random", "x.run")
     counts = runs.select("random", F.explode(_bigrams(F.col("run"))).alias("pair")).groupBy("random", "pair").count()
@@ -98,10 +100,12 @@ def train(texts: DataFrame) -> list[float]:
     alphabet = [chr(FIRST + i) for i in range(SIZE)]
     used = [c for c in alphabet if c.isalnum() or c in "+/_=.-"]
     out = [0.0] * (SIZE * SIZE)
-    after = {label: {a: sum(n for p, n in table.items() if p[0] == a) for a in used} for label, table in seen.items()}
+    total = lambda table, i, c: sum(n for p, n in table.items() if p[i] == c)
+    first = {label: {a: total(table, 0, a) for a in used} for label, table in seen.items()}
+    second = {label: {b: (total(table, 1, b) + SMOOTHING) / (sum(table.values()) + SMOOTHING * len(used)) for b in used} for label, table in seen.items()}
     for a in used:
         for b in used:
-            likely = {label: (table.get(a + b, 0) + SMOOTHING) / (after[label][a] + SMOOTHING * len(used)) for label, table in seen.items()}
+            likely = {label: (table.get(a + b, 0) + SMOOTHING * second[label][b]) / (first[label][a] + SMOOTHING) for label, table in seen.items()}
             likely[True] = (1 - UNIFORM) * likely[True] + UNIFORM / len(used)
             out[(ord(a) - FIRST) * SIZE + ord(b) - FIRST] = math.log(likely[True] / likely[False])
     return out
@@ -118,7 +122,7 @@ def _scanned(df: DataFrame, model: list[float] | None) -> DataFrame:
     rows = _with_spans(base_spans(df), "_runs", 3, RUN)
     rows = rows.withColumn("_base", F.array_sort(F.concat("_assign", "_access", "_hex")))
     free = lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    scored = F.zip_with("_runs", "_run_texts", lambda s, t: F.when(_ratio(t, ratios) >= LEAST_RATIO, s))
+    scored = F.zip_with("_runs", "_run_texts", lambda s, t: F.when(t.rlike("[0-9]") & t.rlike("[A-Za-z]"), F.when(_ratio(t, ratios) >= LEAST_RATIO, s)))
     rows = rows.withColumn("_added", F.filter(F.array_compact(scored), free))
     return rows.withColumn("_spans", F.array_sort(F.concat("_base", "_added")))
 
