@@ -5,10 +5,12 @@ for every pair of a group of the first and a group of the second collection: 2 *
 that would need M * M * 2 * HALF. At similarity s two texts share a table with probability (1 - (1 - s**HALF)**M)**2,
 0.9995 at 0.75 and 0.99999 at 0.85. Every link is confirmed on the full sets.
 
-Work follows the number of texts, not of pairs: equal sets are one class (grouped by a 128-bit digest); in a table's
-bucket each class is compared with the bucket's smallest one, then, once linked classes are merged, with the smallest
-class of other components; only classes that still share a bucket with another component are compared with all of
-that other component's members there, if the minhash values allow a link at all. Pairs within a component are never made.
+Equal sets are one class (grouped by a 128-bit digest). In a table's bucket each class is compared with the bucket's smallest
+one, the head, and linked classes are merged. Only classes that still share a bucket with another component meet that component's members
+there, within the join's condition: a pair goes on if its sizes allow a link, its distances from the common
+head differ by no more than a link's distance (Jaccard distance is a metric), and enough minhash values agree. It
+goes on once, from the first table that its texts share. Pairs within a component are never made. Of VALUES minhash values,
+kept to four bits each, a pair must share LEAST_EQUAL, which a pair of similarity 0.75 fails with probability 6e-5.
 
 Cases: texts without words have an empty set, size 0, and link with nothing. NULL ids take no part: size as usual, no
 component, kept. Rows with equal ids: all their sets count for the id. Other columns are ignored by ``near_duplicates`` and
@@ -22,26 +24,27 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterflow.llm.common import NO_ID, id_back, id_key, slices, stored, texts_of
 from meterflow.llm.components import checkpointed, components
-from meterflow.llm.shingles import WORDS, Shingler, jaccard_counts, minhashes, permutations
+from meterflow.llm.shingles import WORDS, Shingler, jaccard_counts, minhashes, mixed, permutations
 
 #: Groups in each collection, minhash values in each group.
 M, HALF = 10, 2
 SEED = 7
+#: Odd multipliers that turn a group into one number.
+GROUP_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 #: Least similarity in hundredths.
 LEAST = 75
-#: Of the 2 * M * HALF minhash values, a pair that is compared beyond the first round shares at least so many: at similarity 0.75
-#: fewer have a probability of 1e-5.
-LEAST_EQUAL = int(0.45 * 2 * M * HALF)
+#: Minhash values of a class (those beyond the tables' only sharpen the estimate) and how many of them a pair must share.
+VALUES, LEAST_EQUAL = 128, 79
 
 
 @lru_cache(1)
 def _tools() -> tuple[Shingler, tuple]:
-    return Shingler(WORDS), permutations(2 * M * HALF, SEED)
+    return Shingler(WORDS), permutations(VALUES, SEED)
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
@@ -51,25 +54,35 @@ def _sketches(texts: DataFrame) -> DataFrame:
         shingler, (a, b) = _tools()
         for batch in batches:
             for part in slices(batch, 1_000_000):
-                hashes, counts = shingler.hashes(part.column("text").to_pylist())
+                hashes, counts = shingler.hashes(part.column("text"))
                 values, ends = minhashes(hashes, counts, a, b), np.cumsum(counts)
                 digests = [hashlib.blake2b(hashes[e - n : e].tobytes(), digest_size=16).digest() for e, n in zip(ends.tolist(), counts.tolist())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in values], pa.binary())], ["doc_id", "n_shingles", "digest", "values"])
+                groups = mixed(values[:, : 2 * M * HALF].reshape(-1, 2 * M, HALF).astype(np.uint64) @ GROUP_MIX).astype(np.uint32).view(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), _lists(groups), _lists(nibbles(values))], ["doc_id", "n_shingles", "digest", "groups", "marks"])
 
-    return texts.mapInArrow(run, "doc_id long, n_shingles long, digest binary, values binary")
+    return texts.mapInArrow(run, "doc_id long, n_shingles long, digest binary, groups array<int>, marks array<long>")
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(rows).ravel()))
+
+
+def nibbles(values: np.ndarray) -> np.ndarray:
+    """The low four bits of each value, sixteen to a 64-bit integer."""
+    low = (values & np.uint32(15)).astype(np.uint64).reshape(len(values), -1, 16)
+    return (low << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64).view(np.int64)
 
 
 def _table_rows(classes: DataFrame) -> DataFrame:
-    """(key, doc): M * M rows for each class."""
-    size = 4 * HALF
-    group = lambda i: F.substring("values", i * size + 1, size)
-    first, second = F.array(*[group(i) for i in range(M)]), F.array(*[group(M + i) for i in range(M)])
-    keys = F.flatten(F.transform(first, lambda x, i: F.transform(second, lambda y, j: F.xxhash64(i * M + j, x, y))))
-    return classes.select("doc", F.explode(keys).alias("key"))
+    """(table, key, doc): M * M rows for each class."""
+    first, second = F.slice("groups", 1, M), F.slice("groups", M + 1, M)
+    keys = F.flatten(F.transform(first, lambda x, i: F.transform(second, lambda y, j: F.struct((i * M + j).alias("table"), F.xxhash64(i * M + j, x, y).alias("key")))))
+    return classes.select("doc", F.explode(keys).alias("k")).select("k.table", "k.key", "doc")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, least: int) -> DataFrame:
-    """The pairs (u, v) whose full sets reach the similarity. texts: (doc, text), a row for each class at least."""
+def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v, both, either): sizes of intersection and union of the full sets. texts: (doc, text), a row for each class at least."""
 
     def run(batches):
         shingler, _ = _tools()
@@ -79,23 +92,34 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: int) -> DataFrame:
                 distinct = {x: i for i, x in enumerate(dict.fromkeys(left + right))}
                 hashes, counts = shingler.hashes(list(distinct))
                 sets = np.split(hashes, np.cumsum(counts)[:-1])
-                keep = []
-                for x, y in zip(left, right):
-                    both, either = jaccard_counts(sets[distinct[x]], sets[distinct[y]])
-                    keep.append(100 * both >= least * either)
-                yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v")], ["u", "v"]).filter(pa.array(keep))
+                sizes = [jaccard_counts(sets[distinct[x]], sets[distinct[y]]) for x, y in zip(left, right)]
+                yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v"), pa.array([x[0] for x in sizes], pa.int64()), pa.array([x[1] for x in sizes], pa.int64())], ["u", "v", "both", "either"])
 
     side = lambda s: texts.select(F.col("doc").alias(s), F.col("text").alias(f"text_{s}"))
-    return pairs.join(side("v"), "v").join(side("u"), "u").select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
+    return pairs.join(side("v"), "v").join(side("u"), "u").select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long, both long, either long")
+
 
+def _may_link(least: int) -> Column:
+    """Whether sizes and minhash values of u and v allow a link."""
+    sizes = 100 * F.least("n_u", "n_v") >= least * F.greatest("n_u", "n_v")
+    equal = F.lit(VALUES)
+    for i in range(VALUES // 16):  # a nibble that differs leaves one of its bits
+        x = F.get("marks_u", F.lit(i)).bitwiseXOR(F.get("marks_v", F.lit(i)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111))
+        equal = equal - F.bit_count(x)
+    return sizes & (equal >= LEAST_EQUAL)
 
-def _plausible(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    """Distinct pairs whose sizes, and minhash values, allow a link."""
-    side = lambda s: classes.select(F.col("doc").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("values").alias(f"values_{s}"))
-    both = pairs.distinct().join(side("u"), "u").join(side("v"), "v")
-    both = both.filter(100 * F.least("n_u", "n_v") >= least * F.greatest("n_u", "n_v"))
-    equal = sum((F.substring("values_u", 4 * i + 1, 4) == F.substring("values_v", 4 * i + 1, 4)).cast("int") for i in range(2 * M * HALF))
-    return both.filter(equal >= LEAST_EQUAL).select("u", "v")
+
+def _first_table() -> Column:
+    """The first table that u and v share: that of their first equal groups."""
+    equal = lambda start: F.array_position(F.zip_with(F.slice("groups_u", start, M), F.slice("groups_v", start, M), lambda a, b: a == b), True) - 1
+    return equal(1) * M + equal(M + 1)
+
+
+def _side(df: DataFrame, s: str) -> DataFrame:
+    """df as one side of pairs."""
+    return df.withColumnsRenamed({"doc": s, "n_shingles": f"n_{s}", "marks": f"marks_{s}", "groups": f"groups_{s}", "root": f"root_{s}", "far": f"far_{s}", "table": f"table_{s}", "key": f"key_{s}"})
 
 
 def near_duplicates(df: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,33 +128,35 @@ def near_duplicates(df: DataFrame, least: int = LEAST, id_col: str = "doc_id", t
     sketches = stored(_sketches(texts), "sketches")
     real = sketches.filter((F.col("n_shingles") > 0) & (F.col("doc_id") != NO_ID))
     # Classes of equal sets, by their smallest id.
-    classes = real.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("values").alias("values"))
+    classes = real.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("groups").alias("groups"), F.first("marks").alias("marks"))
     classes = stored(classes, "classes")
     # Table rows that share their bucket, each with the bucket's smallest class.
-    ordered = Window.partitionBy("key").orderBy("doc")
-    rows = _table_rows(classes).select("key", "doc", F.first("doc").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("head"), F.lag("doc").over(ordered).alias("before"), F.lead("doc").over(ordered).alias("after"))
-    shared = stored(rows.filter((F.coalesce("before", "doc") != F.col("doc")) | (F.coalesce("after", "doc") != F.col("doc"))).select("key", "doc", "head"), "shared")
+    ordered = Window.partitionBy("table", "key").orderBy("doc")
+    rows = _table_rows(classes).select("table", "key", "doc", F.first("doc").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("head"), F.lag("doc").over(ordered).alias("before"), F.lead("doc").over(ordered).alias("after"))
+    shared = stored(rows.filter((F.coalesce("before", "doc") != F.col("doc")) | (F.coalesce("after", "doc") != F.col("doc"))).select("table", "key", "doc", "head"), "shared")
     wanted = shared.select("doc").distinct()
     held = stored(texts.withColumnRenamed("doc_id", "doc").join(wanted, "doc", "left_semi"), "texts")
 
-    first = _plausible(shared.filter("doc <> head").select(F.col("head").alias("u"), F.col("doc").alias("v")), classes, least)
-    links = stored(_verified(first, held, least), "links")
+    sides = classes.select("doc", "n_shingles", "marks")
+    stars = shared.filter("doc <> head").select(F.col("head").alias("u"), F.col("doc").alias("v")).distinct()
+    stars = stars.join(_side(sides, "u"), "u").join(_side(sides, "v"), "v").filter(_may_link(least)).select("u", "v")
+    compared = stored(_compared(stars, held), "stars")
+    linked = 100 * F.col("both") >= least * F.col("either")
+    links = compared.filter(linked).select("u", "v")
     roots = components(links)
-    # Twice: the smallest class of each component in a bucket with that of the bucket's first component; then all that is left.
-    for last in (False, True):
-        at = shared.select("key", "doc").join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").select("key", "doc", F.coalesce("root", "doc").alias("root"))
-        mixed = at.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
-        inside = at.join(mixed.select("key", "least"), "key")
-        if last:
-            one = inside.select("key", F.col("doc").alias("x"), F.col("root").alias("x_root"))
-            pairs = inside.join(one, "key").filter(F.col("root") < F.col("x_root")).select(F.least("doc", "x").alias("u"), F.greatest("doc", "x").alias("v"))
-        else:
-            heads = inside.filter("root = least").groupBy("key").agg(F.min("doc").alias("x"))
-            pairs = inside.filter("root > least").join(heads, "key").select(F.least("doc", "x").alias("u"), F.greatest("doc", "x").alias("v"))
-        new = checkpointed(_plausible(pairs, classes, least))
-        if new.isEmpty():
-            continue
-        links = links.unionByName(stored(_verified(new, held, least), "links"))
+
+    # Buckets with more than one component, each class with its distance from the bucket's head where it has been compared.
+    at = shared.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    several = at.groupBy("table", "key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("table", "key")
+    distances = compared.select(F.col("u").alias("head"), F.col("v").alias("doc"), (1 - F.col("both") / F.col("either")).alias("far"))
+    inside = at.join(several, ["table", "key"]).join(distances, ["head", "doc"], "left").withColumn("far", F.when(F.col("doc") == F.col("head"), 0.0).otherwise(F.col("far"))).drop("head")
+    inside = inside.join(classes.select("doc", "n_shingles", "marks", "groups"), "doc")
+    near_head = F.coalesce(F.abs(F.col("far_u") - F.col("far_v")) <= 1 - least / 100 + 1e-9, F.lit(True))
+    apart = (F.col("table_u") == F.col("table_v")) & (F.col("key_u") == F.col("key_v")) & (F.col("root_u") < F.col("root_v"))
+    pairs = _side(inside, "u").join(_side(inside, "v"), apart & near_head & _may_link(least) & (_first_table() == F.col("table_u")))
+    new = checkpointed(pairs.select("u", "v"))
+    if not new.isEmpty():
+        links = links.unionByName(stored(_compared(new, held), "pairs").filter(linked).select("u", "v"))
         roots = components(links)
 
     by_class = classes.select("digest", F.col("doc").alias("node")).join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
