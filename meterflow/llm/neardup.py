@@ -10,7 +10,7 @@ one, the head, and linked classes are merged. Only classes that still share a bu
 there, within the join's condition: a pair goes on if its sizes allow a link, its distances from the common
 head differ by no more than a link's distance (Jaccard distance is a metric), and enough minhash values agree. It
 goes on once, from the first table that its texts share. Pairs within a component are never made. Of VALUES minhash values,
-kept to four bits each, a pair must share LEAST_EQUAL, which a pair of similarity 0.75 fails with probability 6e-5.
+kept to four bits each, a pair must share LEAST_EQUAL, which a pair of similarity 0.75 fails with probability 2.5e-4.
 
 Cases: texts without words have an empty set, size 0, and link with nothing. NULL ids take no part: size as usual, no
 component, kept. Rows with equal ids: all their sets count for the id. Other columns are ignored by ``near_duplicates`` and
@@ -39,7 +39,7 @@ GROUP_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 #: Least similarity in hundredths.
 LEAST = 75
 #: Minhash values of a class (those beyond the tables' only sharpen the estimate) and how many of them a pair must share.
-VALUES, LEAST_EQUAL = 128, 79
+VALUES, LEAST_EQUAL = 256, 172
 
 
 @lru_cache(1)
