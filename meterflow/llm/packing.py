@@ -2,9 +2,11 @@
 
 Each document is tokenised in the worker that reads it and ends with an end id; longer documents are cut into
 capacity-long pieces. Only piece sizes move: they are dealt by document id over as many tasks as their number asks for, and
-each task packs its pieces, largest first, by bounded-space best fit: a fixed number of open bins, a bitset with
+each task packs its pieces by bounded-space best fit: a fixed number of open bins, a bitset with
 a bit for each free space of which a bin is open (the best fit is the lowest set bit at or above the length), and
-when all bins are open the fullest one closes. The result depends on the rows alone, so a lost task packs the same again.
+when all bins are open the fullest one closes. Pieces come in lots of as many as bins may be open, in the order of a hash,
+and within a lot largest first: every lot is a sample of all lengths, so large pieces never close the bins that small ones
+would fill, whatever number of pieces a task has. The result depends on the rows alone, so a lost task packs the same again.
 
 Cases: NULL text is the empty text (one piece: its end id). Rows with equal ids are packed each on its own and NULL ids
 come back as NULL. Other columns are ignored. An empty table gives no rows.
@@ -72,6 +74,20 @@ def pack_sizes(lengths: Iterable[int], capacity: int = CAPACITY, open_bins: int
     return [bins.place(n) for n in lengths]
 
 
+def lots(batches: Iterable[pa.RecordBatch], size: int) -> Iterable[pa.RecordBatch]:
+    """The rows of the batches in their order, so many to a batch, however they have come."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        while rows >= size:
+            table = pa.Table.from_batches(held)
+            yield table.slice(0, size).combine_chunks().to_batches()[0]
+            held, rows = table.slice(size).to_batches(), rows - size
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """(doc_id key, piece, start, length, ids_crc32[, ids]) of every document."""
 
@@ -101,11 +117,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
 
     def run(batches):
         bins, first = BestFit(capacity, open_bins), TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in lots(batches, open_bins):
+            batch = batch.take(pa.array(np.argsort(-batch.column("length").to_numpy(), kind="stable")))
             placed = [bins.place(n) for n in batch.column("length").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([first + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())], [*batch.schema.names, "sequence_id", "offset"])
 
-    dealt = pieces.repartition(tasks, F.xxhash64("doc_id", "piece")).sortWithinPartitions(F.desc("length"), *[c for c, t in pieces.dtypes if c != "length" and not t.startswith("array")])
+    known = [c for c, t in pieces.dtypes if not t.startswith("array")]
+    dealt = pieces.repartition(tasks, F.xxhash64("doc_id", "piece")).sortWithinPartitions(F.xxhash64(*known), *known)
     schema = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes)
     return dealt.mapInArrow(run, f"{schema}, sequence_id long, offset long")
 
