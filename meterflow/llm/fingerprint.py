@@ -2,8 +2,8 @@
 
 A fingerprint holds, for PERMUTATIONS universal hash functions over a text's distinct five-word shingles (vectorised
 numpy), 16 bits of the least hash value, written in hexadecimal. The likeness of two fingerprints is the share of equal
-values, an unbiased estimate of the shingle sets' Jaccard similarity up to collisions of 2^-16. ``near_pairs`` joins
-bands of the signatures in Spark and verifies the similarity of the shingle sets themselves.
+values, an unbiased estimate of the shingle sets' Jaccard similarity up to collisions of 2^-16. ``near_duplicates`` joins
+bands of the signatures in Spark, verifies the similarity of the shingle sets themselves and gives every text its component.
 
 ``compare`` also edits each text: its last half is replaced by the first characters of the next document in descending
 order of id (after the last: the first). For that, documents are dealt by ranges of ids and sorted; the one neighbour
@@ -17,13 +17,16 @@ from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterflow.llm.common import id_back, partitions, slices, stored, texts_of
+from meterflow.llm.components import checkpointed, components
+from meterflow.llm.neardup import nibbles
 from meterflow.llm.shingles import Shingler, jaccard_counts, minhashes, permutations
 
 PERMUTATIONS = 128
@@ -64,31 +67,111 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return texts_of(df, id_col, text_col).mapInArrow(run, "doc_id long, n_chars long, fingerprint string").select(id_back("doc_id").alias(id_col), "n_chars", "fingerprint")
 
 
-def near_pairs(df: DataFrame, least: float = 0.75, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(a, b, intersection, union) of fingerprint classes, by their smallest ids, that share a band and whose shingle sets reach
-    the least similarity. Within a band's bucket the classes are linked to its smallest one, so a bucket of any size makes
-    as many pairs as it has members; classes that are alike only to other members are found through other bands."""
-    texts = texts_of(df, id_col, text_col)
-    marks = stored(fingerprints(texts), "fingerprints").filter("n_chars > 0")
-    classes = marks.groupBy("fingerprint").agg(F.min("doc_id").alias("doc"))
-    width = PERMUTATIONS * 4 // bands
-    keyed = classes.select("doc", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.substring("fingerprint", i * width + 1, F.lit(width)))).alias("band", "key"))
-    buckets = keyed.groupBy("band", "key").agg(F.min("doc").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    pairs = keyed.join(buckets, ["band", "key"]).filter("doc <> a").select("a", F.col("doc").alias("b")).distinct()
-    one, two = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
+def _least_equal(least: float, n: int = PERMUTATIONS, lost: float = 1e-6) -> int:
+    """How many of n minhash values two sets of the least similarity share, but for a share of lost."""
+    total = 0.0
+    for k in range(n + 1):
+        total += comb(n, k) * least**k * (1 - least) ** (n - k)
+        if total > lost:
+            return k
+    return n
+
+
+def _equal(u: str, v: str) -> Column:
+    """How many of the minhash values, kept to four bits, are equal."""
+    equal = F.lit(PERMUTATIONS)
+    for i in range(PERMUTATIONS // 16):  # a nibble that differs leaves one of its bits
+        x = F.get(u, F.lit(i)).bitwiseXOR(F.get(v, F.lit(i)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111))
+        equal = equal - F.bit_count(x)
+    return equal
+
+
+def _sketches(texts: DataFrame) -> DataFrame:
+    """(doc_id, text, n_shingles, digest of the set, fingerprint, minhash values kept to four bits) of (doc_id, text)."""
+
+    def run(batches):
+        shingler, (a, b) = _tools(PERMUTATIONS)
+        for batch in batches:
+            for part in slices(batch, 1_000_000):
+                hashes, counts = shingler.hashes(part.column("text"))
+                values, ends = minhashes(hashes, counts, a, b) & np.uint32(0xFFFF), np.cumsum(counts)
+                digests = [hashlib.blake2b(hashes[e - n : e].tobytes(), digest_size=16).hexdigest() for e, n in zip(ends.tolist(), counts.tolist())]
+                marks = pa.array(list(nibbles(values)), pa.list_(pa.int64()))
+                columns = [part.column("doc_id"), part.column("text"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array([x.tobytes().hex() for x in values.astype(">u2")], pa.string()), marks]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "n_shingles", "digest", "fingerprint", "marks"])
+
+    return texts.mapInArrow(run, "doc_id long, text string, n_shingles long, digest string, fingerprint string, marks array<long>")
+
+
+def _compared(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """(u, v, intersection, union) of the full sets of pairs of classes."""
 
     def run(batches):
         shingler, _ = _tools(PERMUTATIONS)
         for batch in batches:
-            for part in slices(batch, 1_000_000, "text_a"):
+            for part in slices(batch, 1_000_000, "text_u"):
                 n = part.num_rows
-                hashes, counts = shingler.hashes(part.column("text_a").to_pylist() + part.column("text_b").to_pylist())
+                hashes, counts = shingler.hashes(part.column("text_u").to_pylist() + part.column("text_v").to_pylist())
                 sets = np.split(hashes, np.cumsum(counts)[:-1])
                 both = [jaccard_counts(sets[i], sets[n + i]) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array([x[0] for x in both], pa.int64()), pa.array([x[1] for x in both], pa.int64())], ["a", "b", "intersection", "union"])
+                yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v"), pa.array([x[0] for x in both], pa.int64()), pa.array([x[1] for x in both], pa.int64())], ["u", "v", "intersection", "union"])
+
+    side = lambda s: held.select(F.col("digest").alias(s), F.col("text").alias(f"text_{s}"))
+    return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(run, "u string, v string, intersection long, union long")
+
 
-    checked = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, intersection long, union long")
-    return checked.filter(F.col("intersection") >= F.lit(least) * F.col("union"))
+def near_duplicates(df: DataFrame, least: float = 0.75, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Links (a, b, intersection, union) and members (id, class_id, component_id).
+
+    A class is the texts of one shingle set, by its smallest id. Within a band's bucket each class is compared with the smallest one; then,
+    where a bucket still has more than one component, the classes of different components with each other, if their sizes, their
+    distances from the bucket's smallest class (Jaccard distance is a metric) and their minhash values allow a link. So two classes that
+    share a band and reach the least similarity are in one component, linked to each other or through others; only such pairs
+    as are in one component already are not compared. The minhash values rule out one link of the least similarity in a million."""
+    sketches = stored(_sketches(texts_of(df, id_col, text_col)), "sketches")
+    real = sketches.filter("n_shingles > 0")
+    classes = stored(real.groupBy("digest").agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("n_shingles", "fingerprint", "marks")]), "classes")
+    width = PERMUTATIONS * 4 // bands
+    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.substring("fingerprint", i * width + 1, F.lit(width)))
+    sides = classes.select("digest", "doc", "n_shingles", "marks", keys.alias("keys"))
+    keyed = sides.select("digest", "doc", F.posexplode("keys").alias("band", "key"))
+    buckets = keyed.groupBy("band", "key").agg(F.min(F.struct("doc", "digest")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = stored(keyed.join(buckets.select("band", "key", F.col("least.digest").alias("head")), ["band", "key"]).drop("doc"), "shared")
+    held = stored(real.select("digest", "text").join(shared.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"]), "texts")
+    compared = stored(_compared(shared.filter("digest <> head").select(F.col("head").alias("u"), F.col("digest").alias("v")).distinct(), held), "stars")
+    linked = F.col("intersection") >= F.lit(least) * F.col("union")
+    links = compared.filter(linked)
+    roots = components(links.select("u", "v"))
+
+    at = shared.join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    several = at.groupBy("band", "key").agg(F.min("root").alias("first"), F.max("root").alias("last")).filter("first < last").select("band", "key")
+    distances = compared.select(F.col("u").alias("head"), F.col("v").alias("digest"), (1 - F.col("intersection") / F.col("union")).alias("far"))
+    inside = at.join(several, ["band", "key"]).join(distances, ["head", "digest"], "left").withColumn("far", F.coalesce("far", F.lit(0.0))).drop("head")
+    inside = inside.join(sides.drop("doc"), "digest")
+    one, two = (inside.withColumnRenamed("digest", s).withColumnsRenamed({c: f"{c}_{s}" for c in ("band", "key", "root", "far", "n_shingles", "marks", "keys")}) for s in "uv")
+    apart = (F.col("band_u") == F.col("band_v")) & (F.col("key_u") == F.col("key_v")) & (F.col("root_u") < F.col("root_v"))
+    sizes = F.least("n_shingles_u", "n_shingles_v") + 1e-9 >= F.lit(least) * F.greatest("n_shingles_u", "n_shingles_v")
+    near_head = F.abs(F.col("far_u") - F.col("far_v")) <= 1 - least + 1e-9
+    first_band = F.array_position(F.zip_with("keys_u", "keys_v", lambda x, y: x == y), True) - 1 == F.col("band_u")
+    new = checkpointed(one.join(two, apart & sizes & near_head & (_equal("marks_u", "marks_v") >= _least_equal(least)) & first_band).select("u", "v"))
+    if not new.isEmpty():
+        links = links.unionByName(stored(_compared(new, held), "pairs").filter(linked))
+        roots = components(links.select("u", "v"))
+
+    of = lambda s, name: classes.select(F.col("digest").alias(s), F.col("doc").alias(name))
+    named = links.join(of("u", "x"), "u").join(of("v", "y"), "v").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "intersection", "union")
+    rooted = classes.select("digest", "doc").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    tops = rooted.groupBy("root").agg(F.min("doc").alias("top"))
+    members = sketches.select("doc_id", "digest", "n_shingles").join(rooted.join(tops, "root").select("digest", "doc", "top"), "digest", "left")
+    own = lambda c: F.when(F.col("n_shingles") > 0, id_back(c)).otherwise(id_back("doc_id"))
+    return named.select(id_back("x").alias("a"), id_back("y").alias("b"), "intersection", "union"), members.select(id_back("doc_id").alias(id_col), own("doc").alias("class_id"), own("top").alias("component_id"))
+
+
+def near_pairs(df: DataFrame, least: float = 0.75, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The links of ``near_duplicates``: (a, b, intersection, union)."""
+    return near_duplicates(df, least, bands, id_col, text_col)[0]
 
 
 def _with_neighbours(texts: DataFrame, tasks: int) -> DataFrame:
