@@ -236,7 +236,7 @@ def recent_activity(t):
 
 def _train(t, kind, **changes):
     rows = forecast.training_features(t.hours.filter("supply_kwh IS NOT NULL"))
-    return learning.train_and_evaluate(rows, forecast.FEATURES, "supply_kwh", ["equipment_id"], "stat_hour", kind, **changes)
+    return learning.train_and_evaluate(rows, forecast.features(t.hours), "supply_kwh", ["equipment_id"], "stat_hour", kind, **changes)
 
 
 @query()
@@ -253,17 +253,19 @@ def boosted_metrics(t):
 
 @query()
 def forest_forecast(t):
-    """The next 24 hours of every unit by a random forest, with the seasonal profile's covariates."""
-    model, _ = _train(t, "forest")
-    future = forecast.future_features(t.hours).withColumns({c: F.lit(0.0) for c in ("temp_difference", "lag_1", "avg_168", "max_168")})
-    future = future.na.fill(0.0, ["lag_24", "lag_168", "avg_24", "max_24"])
-    return forecast.fixed_band(learning.predict(model, future), "prediction").select("equipment_id", "target_hour", "prediction", "confidence_lower", "confidence_upper")
+    """The next 24 hours of every unit by a random forest, with the covariates of the hour's profile, and a band of 1.28 RMSE of the
+    unit's held-out hours (none for a unit with too few of them)."""
+    model, held_out = _train(t, "forest")
+    future = forecast.future_features(t.hours).na.fill(0.0, forecast.features(t.hours))
+    out = learning.predict(model, future).join(held_out.select("equipment_id", "rmse"), "equipment_id", "left")
+    out = forecast.band(out, "prediction", "rmse", 1.28).withColumn("confidence_lower", F.when(F.col("rmse").isNotNull(), F.col("confidence_lower")))
+    return out.select("equipment_id", "target_hour", "prediction", "confidence_lower", "confidence_upper")
 
 
 @query()
 def forest_importances(t):
     model, _ = _train(t, "forest")
-    return learning.importances(model, forecast.FEATURES, t.spark)
+    return learning.importances(model, forecast.features(t.hours), t.spark)
 
 
 # Advice

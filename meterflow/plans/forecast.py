@@ -31,14 +31,28 @@ def signed_difference(df: DataFrame, name: str = "temp_difference") -> DataFrame
 
 
 def training_features(hours: DataFrame, value: str = "supply_kwh", ts: str = "stat_hour", keys: list[str] = ENTITY) -> DataFrame:
-    """Calendar, lag, trailing and difference features, NULLs as 0. All windows share one partitioning and order."""
-    out = signed_difference(calendar_features(hours, ts))
+    """Calendar, lag, trailing and difference features and the covariates, NULLs as 0. All windows share one partitioning and order."""
+    out = signed_difference(calendar_features(hours, ts)).withColumn("date_type", F.col("is_weekend"))
     out = windows.trailing(windows.lags(out, keys, [ts], value), keys, [ts], value)
     made = ["temp_difference", "lag_1", "lag_24", "lag_168", "avg_24", "max_24", "avg_168", "max_168"]
-    return out.na.fill(0.0, made)
+    return out.na.fill(0.0, made + covariates(hours))
 
 
-FEATURES = ["month", "day_of_week", "hour_of_day", "is_weekend", "season", "hour_sin", "hour_cos", "dow_sin", "dow_cos", "temp_difference", "lag_1", "lag_24", "lag_168", "avg_24", "max_24", "avg_168", "max_168"]
+#: Measured features; a future hour takes their mean of its hour of day.
+COVARIATES = ["avg_supply_temp", "avg_return_temp", "avg_pressure", "avg_flow", "avg_power", "operation_rate"]
+
+
+def covariates(hours: DataFrame) -> list[str]:
+    """Those of COVARIATES that the hourly table has."""
+    return [c for c in COVARIATES if c in hours.columns]
+
+
+def features(hours: DataFrame) -> list[str]:
+    """The features of a model on the hourly table."""
+    return FEATURES + covariates(hours)
+
+
+FEATURES = ["month", "day_of_week", "hour_of_day", "is_weekend", "date_type", "season", "hour_sin", "hour_cos", "dow_sin", "dow_cos", "temp_difference", "lag_1", "lag_24", "lag_168", "avg_24", "max_24", "avg_168", "max_168"]
 
 
 def feature_columns(df: DataFrame, target: str, without: list[str]) -> list[str]:
@@ -63,11 +77,18 @@ def future_hours(df: DataFrame, keys: list[str], ts: str, n: int = 24) -> DataFr
 
 
 def future_features(hours: DataFrame, keys: list[str] = ENTITY, ts: str = "stat_hour", value: str = "supply_kwh", n: int = 24) -> DataFrame:
-    """For every future hour the actual value 24 and 168 hours before where known, else the latest, and the latest trailing mean."""
-    latest = windows.latest_per_key(windows.trailing(hours, keys, [ts], value, (24,), ("avg", "max"), current=True), keys, [ts]).select(*keys, F.col(value).alias("latest"), "avg_24", "max_24")
+    """For every future hour the actual value 1, 24 and 168 hours before where known, else the latest, the latest trailing figures, and
+    the covariates' means of its hour of day with their temperature difference (0 where there are none)."""
+    trailing = windows.trailing(hours, keys, [ts], value, (24, 168), ("avg", "max"), current=True)
+    latest = windows.latest_per_key(trailing, keys, [ts]).select(*keys, F.col(value).alias("latest"), "avg_24", "max_24", "avg_168", "max_168")
+    known = covariates(hours)
+    profile = hours.groupBy(*keys, F.hour(ts).alias("hour_of_day")).agg(*[F.avg(c).alias(c) for c in known], F.count(F.lit(1)).alias("_n")).drop("_n")
     out = future_hours(hours, keys, ts, n).withColumnRenamed("target_hour", ts)
-    out = joins.at_offset(out, hours, keys, ts, value, (24, 168)).join(latest, keys, "left")
-    return calendar_features(out.withColumns({f"lag_{h}": F.coalesce(f"at_{h}", "latest") for h in (24, 168)}), ts).drop("at_24", "at_168").withColumnRenamed(ts, "target_hour")
+    out = joins.at_offset(out, hours, keys, ts, value, (1, 24, 168)).join(latest, keys, "left")
+    out = calendar_features(out.withColumns({f"lag_{h}": F.coalesce(f"at_{h}", "latest") for h in (1, 24, 168)}), ts).withColumn("date_type", F.col("is_weekend"))
+    out = out.join(profile, [*keys, "hour_of_day"], "left")
+    out = signed_difference(out).na.fill(0.0, ["temp_difference", *known]) if {"avg_supply_temp", "avg_return_temp", "system_type"} <= {*known, *keys} else out
+    return out.drop("at_1", "at_24", "at_168").withColumnRenamed(ts, "target_hour")
 
 
 #: Half widths of the seasonal forecast's band, with enough samples and without.
