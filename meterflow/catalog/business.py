@@ -247,8 +247,8 @@ def forest_metrics(t):
 
 @query()
 def boosted_metrics(t):
-    """Held-out metrics of boosted trees (20 rounds here; the default is 100)."""
-    return _train(t, "boosted", maxIter=20)[1]
+    """Held-out metrics of boosted trees."""
+    return _train(t, "boosted")[1]
 
 
 @query()
