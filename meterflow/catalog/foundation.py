@@ -298,11 +298,11 @@ def field_summary(t):
 # Windows
 
 _GAPS = """
-    SELECT *, CASE WHEN value IS NOT NULL THEN value WHEN theme = 'status' OR (theme IN ('temperature', 'power', 'pressure', 'flow', 'load') AND gap_s <= 90000) THEN before END AS filled FROM (
+    SELECT *, CASE WHEN value IS NOT NULL THEN value WHEN theme = 'status' OR (theme IN ('temperature', 'pressure', 'flow', 'power') AND gap_s <= 90000) THEN before END AS filled FROM (
         SELECT event_id, theme, value, floor(epoch(event_time))::BIGINT - floor(epoch(lag(event_time) OVER w))::BIGINT AS gap_s, lag(value) OVER w AS before FROM readings WINDOW w AS (PARTITION BY point_code ORDER BY event_time, event_id))"""
 
 
-@query(f"""SELECT event_id, gap_s, filled, CASE WHEN theme IN ('temperature', 'flow') AND value IS NULL AND gap_s > 90000 THEN 'long_missing' WHEN theme = 'cumulative' AND value IS NULL THEN 'cumulative_gap'
+@query(f"""SELECT event_id, gap_s, filled, CASE WHEN value IS NULL AND gap_s > 90000 THEN 'long_missing' WHEN theme IN ('cumulative', 'runtime') AND value IS NULL THEN 'cumulative_gap'
     WHEN theme = 'status' AND gap_s > 180000 THEN 'status_stale' ELSE 'normal' END AS quality_flag FROM ({_GAPS})""", doubles="filled")
 def gap_fill_and_flags(t):
     rows = windows.fill_gaps(t.readings, ["point_code"], "event_time", "value", "theme", ["event_id"], longest=90_000)

@@ -20,14 +20,14 @@ DEFAULT_PRICES = {"electricity": 0.8, "cooling": 0.3, "heating": 0.35, "gas": GA
 
 
 def water_power(flow, supply_temp, return_temp) -> Column:
-    """Cooling power in kW of a water flow, where flow and temperature difference are positive."""
+    """Cooling power in kW of a water flow, where the temperature difference is positive."""
     difference = col(return_temp) - col(supply_temp)
-    return F.when((col(flow) > 0) & (difference > 0), col(flow) * difference * WATER_KWH)
+    return F.when(difference > 0, col(flow) * difference * WATER_KWH)
 
 
 def power_or_estimate(power, run_flag, flow, supply_temp, return_temp, cop: float = DEFAULT_COP) -> Column:
-    """The measured power; where it is missing and the unit runs, what its cooling takes at a fixed efficiency."""
-    return F.coalesce(col(power), F.when(col(run_flag) > 0, water_power(flow, supply_temp, return_temp) / cop))
+    """The measured power; where it is missing, the unit runs and water flows, what its cooling takes at a fixed efficiency."""
+    return F.coalesce(col(power), F.when((col(run_flag) > 0) & (col(flow) > 0), water_power(flow, supply_temp, return_temp) / cop))
 
 
 def run_ratio(running, samples) -> Column:

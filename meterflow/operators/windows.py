@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from meterflow.functions.scalars import col
 
 Keys = Sequence[str]
-# Themes that are carried forward, longest gap of a continuous series and age of a status, in seconds.
-CONTINUOUS_THEMES = ["temperature", "power", "pressure", "flow", "load"]
+# Themes that are carried forward, themes of meters, longest gap of a continuous series and age of a status, in seconds.
+CONTINUOUS_THEMES = ["temperature", "pressure", "flow", "power"]
+METER_THEMES = ["cumulative", "runtime"]
 LONG_GAP_S, STALE_STATUS_S = 300, 3600
 
 
@@ -37,12 +38,12 @@ def fill_gaps(df: DataFrame, keys: Keys, ts: str, value: str, theme: str, order:
     return df.withColumn(name, F.when(F.col(value).isNotNull(), F.col(value)).when(may, before))
 
 
-def quality_flag(value, theme, gap, continuous: Sequence[str] = tuple(CONTINUOUS_THEMES), longest: int = LONG_GAP_S, stale: int = STALE_STATUS_S) -> Column:
-    """By precedence: long_missing, cumulative_gap, status_stale, normal. value: before any filling."""
+def quality_flag(value, theme, gap, meters: Sequence[str] = tuple(METER_THEMES), longest: int = LONG_GAP_S, stale: int = STALE_STATUS_S) -> Column:
+    """By precedence: long_missing (of any theme), cumulative_gap (a meter's), status_stale, normal. value: before any filling."""
     value, theme, gap = col(value), col(theme), col(gap)
     return (
-        F.when(theme.isin(*continuous) & value.isNull() & (gap > longest), "long_missing")
-        .when((theme == "cumulative") & value.isNull(), "cumulative_gap")
+        F.when(value.isNull() & (gap > longest), "long_missing")
+        .when(theme.isin(*meters) & value.isNull(), "cumulative_gap")
         .when((theme == "status") & (gap > stale), "status_stale")
         .otherwise("normal")
     )

@@ -13,9 +13,11 @@ CHANGE_LOG = f"schema string, `table` string, type string, log_file string, log_
 
 # Columns of the unified hourly table.
 HOURLY_KEYS = ["station_id", "system_type", "equipment_id", "stat_hour"]
-HOURLY_DOUBLES = [
+HOURLY_METRICS = [
     "avg_supply_temp", "max_supply_temp", "min_supply_temp", "avg_return_temp", "avg_pressure", "max_pressure", "min_pressure", "avg_flow", "max_flow", "min_flow",
     "avg_power", "max_power", "min_power", "energy_consumption_kwh", "energy_input_kwh", "cooling_capacity_kw", "supply_kwh", "cooling_supply_kwh", "heating_supply_kwh", "electric_supply_kwh",
     "runtime_hours", "cumulative_runtime_hours", "start_count",
 ]
-HOURLY = HOURLY_KEYS + HOURLY_DOUBLES + ["running_sample_count", "run_minutes", "operation_rate", "record_count", "supply_price_type", "metric_quality", "dt", "created_at", "updated_at"]
+HOURLY_DOUBLES = [*HOURLY_METRICS, "run_minutes", "operation_rate"]
+_REST = ["running_sample_count", "run_minutes", "operation_rate", "record_count", "supply_price_type", "metric_quality", "dt", "created_at", "updated_at"]
+HOURLY = HOURLY_KEYS + HOURLY_METRICS + _REST
