@@ -97,6 +97,11 @@ def distinct(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
 
 
+def strings(values: pa.Array) -> list[str]:
+    """What to_pylist gives for strings without NULLs, faster."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 def joined(codes: np.ndarray, values: list[bytes], dtype: str) -> tuple[np.ndarray, np.ndarray]:
     """What values[c] holds for each code one after another, and where each begins (and the last ends)."""
     flat = np.frombuffer(b"".join(values), dtype)
@@ -126,3 +131,38 @@ class Recent(dict):
             self.update((k, self.old[k]) for k in back)
             rest -= back
         return rest
+
+
+class RecentRows:
+    """A bounded cache of keys' integer sequences, which lie one after another in one array.
+
+    When it would get fuller than most, only the keys of the call at hand stay.
+    """
+
+    def __init__(self, most: int, dtype: str = "<u4"):
+        self.most, self.at, self.flat, self.starts = most, {}, np.zeros(0, dtype), np.zeros(1, np.int64)
+
+    def rows(self, keys: list, learn) -> np.ndarray:
+        """The row of each of the distinct keys. learn(new keys) gives (keys in any order, their values joined, sizes)."""
+        found = list(map(self.at.get, keys))
+        new = [k for k, row in zip(keys, found) if row is None]
+        if new:
+            if len(self.at) + len(new) > self.most:
+                known = [k for k, row in zip(keys, found) if row is not None]
+                self.flat, self.starts = self.gathered(np.array([row for row in found if row is not None], np.int64))
+                self.at = dict(zip(known, range(len(known))))
+            learned, flat, sizes = learn(new)
+            self.at.update(zip(learned, range(len(self.at), len(self.at) + len(learned))))
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+            self.flat = np.concatenate([self.flat, flat])
+            found = list(map(self.at.__getitem__, keys))
+        return np.array(found, np.int64)
+
+    def gathered(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows' values one after another, and where each row's begin (and the last one's end)."""
+        first = self.starts[rows]
+        sizes = self.starts[rows + 1] - first
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+        index = np.repeat(first - ends[:-1], sizes)
+        index += np.arange(len(index))
+        return self.flat[index], ends

@@ -3,7 +3,8 @@
 Documents are counted in the worker that reads them; (length, documents) is summed map-side before it moves, so a
 length that a third of all documents share is one row a task. ``suffix_sums`` adds, for each length that occurs,
 the documents and tokens at or above it, and from these what a limit of that length keeps. Lengths are
-grouped in ranges so that no task holds the whole histogram: sums within a range, plus the sums of the ranges above.
+grouped in ranges so that no task holds the whole histogram: sums within a range, plus the sums of the ranges above. The
+histogram is stored, as both need it.
 
 Cases: NULL text counts as empty (length 0). Ids and other columns are ignored, repeated rows count each. An empty
 table gives no rows.
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterflow.llm import wordtok
-from meterflow.llm.common import texts_of
+from meterflow.llm.common import slices, stored, texts_of
 
 #: Lengths in a range of the suffix sums.
 RANGE = 1024
@@ -26,8 +27,10 @@ def lengths(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     """(doc_id key, n_tokens) of every row."""
 
     def run(batches):
-        for part, ids in wordtok.encoded(batches, path):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64())], ["doc_id", "n_tokens"])
+        codec = wordtok.word_ids(path)
+        for batch in batches:
+            for part in slices(batch, wordtok.SLICE):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(codec.lengths(part.column("text")), pa.int64())], ["doc_id", "n_tokens"])
 
     return texts_of(df, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long")
 
@@ -40,7 +43,7 @@ def histogram(lengths: DataFrame, length_col: str = "n_tokens") -> DataFrame:
 def suffix_sums(hist: DataFrame) -> DataFrame:
     """For each length L: docs_at_least and tokens_at_least, docs_within and tokens_within (length <= L), truncated_tokens
     (sum of min(length, L)), lost_tokens (what the limit cuts off) and quantile (share of documents of length <= L)."""
-    rows = hist.withColumn("bucket", F.floor(F.col("n_tokens") / RANGE)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
+    rows = stored(hist, "histogram").withColumn("bucket", F.floor(F.col("n_tokens") / RANGE)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     ranges = rows.groupBy("bucket").agg(F.sum("n_docs").alias("range_docs"), F.sum("tokens").alias("range_tokens"))
     every = Window.partitionBy()
     above = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
@@ -68,8 +71,9 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
 
 def quantiles(sums: DataFrame, *shares: float) -> DataFrame:
     """(share, n_tokens): the least length within which at least that share of the documents lies."""
-    wanted = sums.sparkSession.createDataFrame([(float(x),) for x in shares], "share double")
-    return wanted.join(F.broadcast(sums.select("quantile", "n_tokens")), F.col("quantile") >= F.col("share")).groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))
+    least = [F.min(F.when(F.col("quantile") >= share, F.col("n_tokens"))).alias("n_tokens") for share in shares]
+    found = sums.agg(F.array(*[F.struct(F.lit(float(share)).alias("share"), x) for share, x in zip(shares, least)]).alias("found"))
+    return found.select(F.explode("found").alias("f")).select("f.share", "f.n_tokens").filter("n_tokens IS NOT NULL")
 
 
 def truncated_total(sums: DataFrame, limit: int) -> Column | DataFrame:
