@@ -198,7 +198,7 @@ def forecast_check(t):
     return audit.forecast_check(forecast.seasonal_forecast(t.hours), ["equipment_id"])
 
 
-@query("SELECT count(DISTINCT user_id) AS batches, count(*) AS rows, avg(s) AS mean_seconds, max(s) AS most_seconds FROM (SELECT user_id FROM events), (SELECT avg(s) AS x, max(s) AS s0 FROM (SELECT 1 AS s)) WHERE false" if False else """
+@query("""
     SELECT count(*) AS batches, sum(n) AS rows, avg(e - b) AS mean_seconds, max(e - b) AS most_seconds FROM (SELECT user_id, floor(epoch(min(ts)))::BIGINT AS b, floor(epoch(max(ts)))::BIGINT AS e, count(*) AS n FROM events GROUP BY ALL)""", doubles="mean_seconds", longs="rows most_seconds")
 def batch_log_metrics(t):
     """A log with a start and a finish line for each user's events."""

@@ -57,7 +57,7 @@ class Tables:
         system = F.array(*map(F.lit, SYSTEMS))
         rows = self.readings.withColumns({"stat_hour": F.date_trunc("hour", "event_time"), "system_type": F.get(system, (F.col("user_id") % 3).cast("int"))})
         out = rows.groupBy("station_id", "system_type", "equipment_id", "stat_hour").agg(
-            mean_or_null(mean("view"), of("view")).alias("avg_supply_temp"), mean_or_null(mean("click"), of("click")).alias("avg_return_temp"), mean_or_null(mean("purchase"), of("purchase")).alias("avg_flow"), mean_or_null(mean("error"), of("error")).alias("avg_power"),
+            mean_or_null(mean("view"), of("view")).alias("avg_supply_temp"), mean_or_null(mean("click"), of("click")).alias("avg_return_temp"), mean_or_null(mean("purchase"), of("purchase")).alias("avg_flow"), mean_or_null(mean("error"), of("error")).alias("avg_power"), mean_or_null(mean("signup"), of("signup")).alias("avg_pressure"),
             decimal_sum(of("error")).alias("energy_consumption_kwh"), decimal_sum(of("view", "click", "purchase")).alias("supply_kwh"), decimal_sum(of("view")).alias("cooling_supply_kwh"), decimal_sum(of("click")).alias("heating_supply_kwh"),
             decimal_sum(of("purchase")).alias("electric_supply_kwh"), F.count_if(of("signup") > 50).cast("double").alias("runs"), F.count(of("signup")).cast("double").alias("samples"), F.max(F.col("user_id") % 100).cast("double").alias("start_count"), F.count(F.lit(1)).alias("record_count"),
         )
@@ -97,7 +97,7 @@ CTES = {
         {_case("event_type", ROLES)} AS measure_role, {_case("event_type", THEMES)} AS theme, ts AS event_time, CASE WHEN event_id % 10 <> 0 THEN value END AS value FROM events""",
     "hours": f"""SELECT *, runtime_hours * 100 AS operation_rate, runtime_hours * 60 AS run_minutes FROM (
         SELECT station_id, CASE user_id % 3 WHEN 0 THEN 'chiller' WHEN 1 THEN 'heating' ELSE 'cchp' END AS system_type, equipment_id, date_trunc('hour', event_time) AS stat_hour,
-        {_dmean("view")} AS avg_supply_temp, {_dmean("click")} AS avg_return_temp, {_dmean("purchase")} AS avg_flow, {_dmean("error")} AS avg_power, {_dsum("error")} AS energy_consumption_kwh,
+        {_dmean("view")} AS avg_supply_temp, {_dmean("click")} AS avg_return_temp, {_dmean("purchase")} AS avg_flow, {_dmean("error")} AS avg_power, {_dmean("signup")} AS avg_pressure, {_dsum("error")} AS energy_consumption_kwh,
         {_dsum("view", "click", "purchase")} AS supply_kwh, {_dsum("view")} AS cooling_supply_kwh, {_dsum("click")} AS heating_supply_kwh, {_dsum("purchase")} AS electric_supply_kwh,
         max(user_id % 100)::DOUBLE AS start_count, count(*) AS record_count,
         count(*) FILTER (event_type = 'signup' AND value > 50)::DOUBLE / nullif(count(*) FILTER (event_type = 'signup' AND value IS NOT NULL), 0) AS runtime_hours

@@ -87,6 +87,10 @@ def report_month(t):
     return reports.system_report(t.hours, "month", t.price_row)
 
 
+def tariff_sql(hour: str) -> str:
+    return _TARIFF.format(h=hour)
+
+
 def chiller_sql(period: str, price: str) -> str:
     named, names, expected = _PERIODS[period]
     strict = lambda c: f"CASE WHEN count(*) FILTER (runtime_hours > 0 AND {c} IS NULL) = 0 THEN coalesce(sum({c}), 0) END"
@@ -124,6 +128,10 @@ def chiller_report_month(t):
            count(*) FILTER (avg_supply_temp IS NULL) AS avg_supply_temp_nulls, count(*) FILTER (avg_power IS NULL) AS avg_power_nulls, least(count(*) / 24.0, 1.0) AS completeness FROM (SELECT *, supply_kwh > 0 AS r FROM hours) GROUP BY ALL))""",
        doubles="avg_supply_temp_valid_rate avg_power_valid_rate completeness quality_score")
 def data_quality_day(t):
+    return quality_rows(t)
+
+
+def quality_rows(t):
     rows = t.hours.withColumn("day", F.to_date("stat_hour").cast("string"))
     return reports.data_quality(rows, ["avg_supply_temp", "avg_power"], F.col("supply_kwh") > 0, ["equipment_id", "day"])
 
@@ -151,7 +159,7 @@ def calendar_features(t):
     return made.select("event_id", "month", "day_of_month", "day_of_week", "hour_of_day", "is_weekend", "season", "hour_sin", "hour_cos", "dow_sin", "dow_cos", "month_sin", "month_cos")
 
 
-@query("""SELECT equipment_id, stat_hour, coalesce(CASE WHEN system_type = 'chiller' THEN avg_return_temp - avg_supply_temp ELSE avg_supply_temp - avg_return_temp END, 0) AS temp_difference, coalesce(lag(supply_kwh, 24) OVER w, 0) AS lag_24, coalesce(avg(supply_kwh) OVER (w ROWS BETWEEN 168 PRECEDING AND 1 PRECEDING), 0) AS avg_168
+@query("""SELECT equipment_id, stat_hour, CASE WHEN system_type = 'chiller' THEN 1 ELSE -1 END * (coalesce(avg_return_temp, 0) - coalesce(avg_supply_temp, 0)) AS temp_difference, coalesce(lag(supply_kwh, 24) OVER w, 0) AS lag_24, coalesce(avg(supply_kwh) OVER (w ROWS BETWEEN 168 PRECEDING AND 1 PRECEDING), 0) AS avg_168
     FROM hours WINDOW w AS (PARTITION BY system_type, equipment_id ORDER BY stat_hour)""", doubles="temp_difference lag_24 avg_168", times="stat_hour")
 def training_features(t):
     return forecast.training_features(t.hours).select("equipment_id", "stat_hour", "temp_difference", "lag_24", "avg_168")
@@ -165,12 +173,21 @@ def future_hours(t):
 _FUTURE = "SELECT system_type, equipment_id, o AS forecast_hour_offset, last_hour + o * INTERVAL 1 HOUR AS target_hour FROM (SELECT system_type, equipment_id, max(stat_hour) AS last_hour FROM hours GROUP BY ALL), range(1, 25) r(o)"
 
 
-@query(f"""SELECT f.equipment_id, f.target_hour, coalesce(a.supply_kwh, l.supply_kwh) AS lag_24, coalesce(b.supply_kwh, l.supply_kwh) AS lag_168, l.avg_24, l.max_24 FROM ({_FUTURE}) f
+_HOURLY_PROFILE = ", ".join(f"avg({c}) AS {c}" for c in forecast.COVARIATES)
+_PROFILED = ", ".join(f"coalesce(p.{c}, 0) AS {c}" for c in forecast.COVARIATES)
+
+
+@query(f"""SELECT f.equipment_id, f.target_hour, coalesce(c.supply_kwh, l.supply_kwh) AS lag_1, coalesce(a.supply_kwh, l.supply_kwh) AS lag_24, coalesce(b.supply_kwh, l.supply_kwh) AS lag_168, l.avg_24, l.max_24, l.avg_168, l.max_168, {_PROFILED},
+    CASE WHEN f.system_type = 'chiller' THEN 1 ELSE -1 END * (coalesce(p.avg_return_temp, 0) - coalesce(p.avg_supply_temp, 0)) AS temp_difference FROM ({_FUTURE}) f
+    LEFT JOIN hours c ON c.equipment_id = f.equipment_id AND c.stat_hour = f.target_hour - INTERVAL 1 HOUR
+    LEFT JOIN (SELECT equipment_id, hour(stat_hour) AS h, {_HOURLY_PROFILE} FROM hours GROUP BY ALL) p ON p.equipment_id = f.equipment_id AND p.h = hour(f.target_hour)
     LEFT JOIN hours a ON a.equipment_id = f.equipment_id AND a.stat_hour = f.target_hour - INTERVAL 24 HOUR LEFT JOIN hours b ON b.equipment_id = f.equipment_id AND b.stat_hour = f.target_hour - INTERVAL 168 HOUR
-    JOIN (SELECT equipment_id, stat_hour, supply_kwh, avg(supply_kwh) OVER w AS avg_24, max(supply_kwh) OVER w AS max_24 FROM hours WINDOW w AS (PARTITION BY equipment_id ORDER BY stat_hour ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)
-          QUALIFY row_number() OVER (PARTITION BY equipment_id ORDER BY stat_hour DESC) = 1) l ON l.equipment_id = f.equipment_id""", doubles="lag_24 lag_168 avg_24 max_24", times="target_hour")
+    JOIN (SELECT equipment_id, stat_hour, supply_kwh, coalesce(avg(supply_kwh) OVER d, supply_kwh) AS avg_24, coalesce(max(supply_kwh) OVER d, supply_kwh) AS max_24, coalesce(avg(supply_kwh) OVER w, supply_kwh) AS avg_168, coalesce(max(supply_kwh) OVER w, supply_kwh) AS max_168
+          FROM hours WINDOW d AS (PARTITION BY equipment_id ORDER BY stat_hour ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING), w AS (PARTITION BY equipment_id ORDER BY stat_hour ROWS BETWEEN 168 PRECEDING AND 1 PRECEDING)
+          QUALIFY row_number() OVER (PARTITION BY equipment_id ORDER BY stat_hour DESC) = 1) l ON l.equipment_id = f.equipment_id""",
+       doubles=f"lag_1 lag_24 lag_168 avg_24 max_24 avg_168 max_168 temp_difference {' '.join(forecast.COVARIATES)}", times="target_hour")
 def future_features(t):
-    return forecast.future_features(t.hours).select("equipment_id", "target_hour", "lag_24", "lag_168", "avg_24", "max_24")
+    return forecast.future_features(t.hours).select("equipment_id", "target_hour", "lag_1", "lag_24", "lag_168", "avg_24", "max_24", "avg_168", "max_168", *forecast.COVARIATES, "temp_difference")
 
 
 FORECAST_SQL = f"""
@@ -214,7 +231,7 @@ def metrics_from_forecast(t):
 
 
 @query("""
-    SELECT equipment_id, count(*) AS n, avg(abs(a - p)) AS mae, sqrt(avg((a - p) * (a - p))) AS rmse, avg(abs(a - p) / a) FILTER (a > 0) * 100 AS mape, stddev_samp(a - p) AS residual_std, 1 - sum((a - p) * (a - p)) / (var_pop(a) * count(*)) AS r2
+    SELECT equipment_id, count(*) AS n, avg(abs(a - p)) AS mae, sqrt(avg((a - p) * (a - p))) AS rmse, avg(abs(a - p) / a) FILTER (a > 0) * 100 AS mape, stddev_pop(a - p) AS residual_std, 1 - sum((a - p) * (a - p)) / (var_pop(a) * count(*)) AS r2
     FROM (SELECT equipment_id, supply_kwh AS a, lag(supply_kwh, 24) OVER (PARTITION BY equipment_id ORDER BY stat_hour) AS p FROM hours) WHERE a IS NOT NULL AND p IS NOT NULL GROUP BY ALL""", doubles="mae rmse mape residual_std r2")
 def evaluate_lag_forecast(t):
     """Metrics of the value 24 rows before as a forecast."""
@@ -222,9 +239,15 @@ def evaluate_lag_forecast(t):
     return forecast.evaluate(rows, ["equipment_id"], "supply_kwh", "lag_24")
 
 
-@query("""SELECT equipment_id, stat_hour, greatest(supply_kwh - 10 * 1.2816, 0) AS confidence_lower, supply_kwh + 10 * 1.2816 AS confidence_upper FROM hours""", doubles="confidence_lower confidence_upper", times="stat_hour")
+@query("""
+    WITH lagged AS (SELECT equipment_id, stat_hour, supply_kwh AS a, lag(supply_kwh, 24) OVER (PARTITION BY equipment_id ORDER BY stat_hour) AS p FROM hours)
+    SELECT equipment_id, stat_hour, greatest(p - s * 1.2816, 0) AS confidence_lower, p + s * 1.2816 AS confidence_upper
+    FROM lagged JOIN (SELECT equipment_id, stddev_pop(a - p) AS s FROM lagged WHERE a IS NOT NULL AND p IS NOT NULL GROUP BY ALL) USING (equipment_id) WHERE p IS NOT NULL AND s IS NOT NULL""", doubles="confidence_lower confidence_upper", times="stat_hour")
 def confidence_band(t):
-    return forecast.band(t.hours.filter("true"), "supply_kwh", F.lit(10.0)).select("equipment_id", "stat_hour", F.when(F.col("supply_kwh").isNull(), F.lit(0.0)).otherwise(F.col("confidence_lower")).alias("confidence_lower"), "confidence_upper")
+    """The value 24 rows before as a forecast, with a band by the deviation of the unit's own residuals."""
+    rows = windows.lags(t.hours, ["equipment_id"], ["stat_hour"], "supply_kwh", (24,)).filter("lag_24 IS NOT NULL")
+    spread = forecast.evaluate(rows, ["equipment_id"], "supply_kwh", "lag_24").select("equipment_id", "residual_std")
+    return forecast.band(rows.join(spread, "equipment_id"), "lag_24", "residual_std").select("equipment_id", "stat_hour", "confidence_lower", "confidence_upper")
 
 
 @query("""
@@ -245,6 +268,13 @@ def forest_metrics(t):
     return _train(t, "forest")[1]
 
 
+@query()
+def forest_metrics_by_unit(t):
+    """Held-out metrics of a random forest of its own for each unit."""
+    rows = forecast.training_features(t.hours.filter("supply_kwh IS NOT NULL"))
+    return learning.train_each(rows, forecast.features(t.hours), "supply_kwh", "equipment_id", "stat_hour")[1]
+
+
 @query()
 def boosted_metrics(t):
     """Held-out metrics of boosted trees."""
@@ -291,7 +321,7 @@ def forecast_metrics(t):
     return advice.forecast_metrics(forecast.seasonal_forecast(t.hours), ["equipment_id"])
 
 
-_HITS = f"""
+HITS_SQL = f"""
     SELECT station_id, equipment_id, unnest(list_filter([CASE WHEN c > 0 AND f < c * 0.7 AND u >= 2 THEN 'R001' END, CASE WHEN c > 0 AND f > c * 1.3 AND u < 3 THEN 'R002' END, CASE WHEN run_flag > 0 AND (d < 3 OR d > 8) THEN 'R003' END,
            CASE WHEN avg_cop < 2.5 AND operation_rate > 50 THEN 'R004' END, CASE WHEN start_count_24h > 10 THEN 'R005' END, CASE WHEN operation_rate > 95 AND high_load_hours > 6 THEN 'R006' END], lambda x: x IS NOT NULL)) AS rule_id
     FROM (SELECT n.*, avg_cooling_6h AS c, coalesce(forecast_cooling_6h, 0) AS f, sum(run_flag) OVER (PARTITION BY station_id) AS u, avg_return_temp - avg_supply_temp AS d, avg_cop FROM ({_NOW}) n
@@ -304,12 +334,12 @@ def advised(t):
     return advice.advise(found)
 
 
-@query(_HITS)
+@query(HITS_SQL)
 def advice_rules(t):
     return advised(t).select("station_id", "equipment_id", "rule_id")
 
 
-@query(f"SELECT CASE WHEN rule_id IN ('R002', 'R003', 'R006') THEN 'high' ELSE 'medium' END AS risk_level, count(*) AS rows FROM ({_HITS}) GROUP BY ALL")
+@query(f"SELECT CASE WHEN rule_id IN ('R002', 'R003', 'R006') THEN 'high' ELSE 'medium' END AS risk_level, count(*) AS rows FROM ({HITS_SQL}) GROUP BY ALL")
 def advice_by_risk(t):
     return advice.by_risk(advised(t))
 

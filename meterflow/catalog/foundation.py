@@ -194,9 +194,14 @@ def values_at_offsets(t):
     return joins.at_offset(t.hours.select("equipment_id", "stat_hour"), t.hours, ["equipment_id"], "stat_hour", "supply_kwh", [1, 24])
 
 
-@query("SELECT c_custkey AS custkey, 'customers' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'orders' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
+@query("""
+    WITH a AS (SELECT c_custkey AS custkey FROM customer WHERE c_mktsegment <> 'BUILDING'), b AS (SELECT DISTINCT o_custkey AS custkey FROM orders WHERE o_orderpriority LIKE '1%')
+    SELECT custkey, 'customers' AS side FROM a WHERE custkey NOT IN (FROM b) UNION ALL SELECT custkey, 'orders' FROM b WHERE custkey NOT IN (FROM a)""")
 def key_coverage(t):
-    return joins.coverage(t.customer.select(F.col("c_custkey").alias("custkey")), t.orders.select(F.col("o_custkey").alias("custkey")), ["custkey"], ("customers", "orders"))
+    """Customers outside a segment against customers with an urgent order: each side has some of its own."""
+    customers = t.customer.filter("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("custkey"))
+    orders = t.orders.filter(F.col("o_orderpriority").startswith("1")).select(F.col("o_custkey").alias("custkey"))
+    return joins.coverage(customers, orders, ["custkey"], ("customers", "orders"))
 
 
 @query("""
@@ -413,6 +418,8 @@ def recompute_affected(t):
     return microbatch.recompute(rows, rows.filter("event_id % 97 = 0"), ["station_id"], build)
 
 
-@query("SELECT event_id, point_code, value FROM readings WHERE event_id BETWEEN 1000 AND 2000", doubles="value")
+@query("SELECT event_id, point_code, value FROM readings WHERE event_id BETWEEN (SELECT max(event_id) * 2 // 5 FROM readings) AND (SELECT max(event_id) * 3 // 5 FROM readings)", doubles="value")
 def replay_interval(t):
-    return microbatch.replay(t.readings, "event_id", 1000, 2000).select("event_id", "point_code", "value")
+    """The middle fifth of the table."""
+    last = t.events.agg(F.max("event_id")).first()[0] or 0
+    return microbatch.replay(t.readings, "event_id", last * 2 // 5, last * 3 // 5).select("event_id", "point_code", "value")

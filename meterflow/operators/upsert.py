@@ -44,17 +44,42 @@ def write_partitions(df: DataFrame, path: str, partition_by: Keys) -> None:
 
 
 def merge_into(spark: SparkSession, path: str, source: DataFrame, keys: Keys, partition_by: Keys, staging: str, how=upsert) -> None:
-    """Merge source into the table at path, reading and writing just the partitions it touches.
+    """Merge source, one row for each key, into the table at path, reading and writing just the partitions it touches: those of
+    its rows, and those where its keys are now.
 
-    The merged rows are staged first, as a table can't be overwritten while it is read.
+    The merged rows are staged first, as a table can't be overwritten while it is read. Partitions are swapped one after another:
+    a reader that must not see some of them new and others old waits for the end, or reads by a version of the whole table.
     """
+    source = source.dropDuplicates(list(keys))
     if not exists(spark, path):
-        source.dropDuplicates(list(keys)).write.partitionBy(*partition_by).parquet(path)
+        source.write.partitionBy(*partition_by).parquet(path)
         return
-    touched = source.select(*partition_by).distinct()
-    target = spark.read.parquet(path).join(touched, list(partition_by), "left_semi")
-    how(target, source, keys).write.mode("overwrite").parquet(staging)
-    write_partitions(spark.read.parquet(staging), path, partition_by)
+    _swap(spark, path, lambda target: how(target, source, keys), source, keys, partition_by, staging)
+
+
+def replace_groups_into(spark: SparkSession, path: str, source: DataFrame, group: Keys, partition_by: Keys, staging: str) -> None:
+    """Delete all rows of the source's groups from every partition of the table at path, then add the source; an empty one changes nothing."""
+    if not exists(spark, path):
+        source.write.partitionBy(*partition_by).parquet(path)
+        return
+    _swap(spark, path, lambda target: replace_groups(target, source, group), source, group, partition_by, staging)
+
+
+def _swap(spark: SparkSession, path: str, merged, source: DataFrame, keys: Keys, partition_by: Keys, staging: str) -> None:
+    """Rewrite the partitions that have the source's keys or get its rows. One that gets no row any more is deleted."""
+    table = spark.read.parquet(path)
+    found = table.join(source.select(*keys).distinct(), list(keys), "left_semi").select(*partition_by)
+    touched = source.select(*[F.col(c).cast(table.schema[c].dataType) for c in partition_by]).unionByName(found).distinct()
+    touched.write.mode("overwrite").parquet(f"{staging}/touched")
+    touched = spark.read.schema(touched.schema).parquet(f"{staging}/touched")
+    merged(table.join(touched, list(partition_by), "left_semi")).write.mode("overwrite").parquet(f"{staging}/merged")
+    rows = spark.read.parquet(f"{staging}/merged")
+    write_partitions(rows, path, partition_by)
+    left = touched.join(rows.select(*[F.col(c).cast(touched.schema[c].dataType) for c in partition_by]).distinct(), list(partition_by), "left_anti")
+    for gone in left.toLocalIterator():  # partitions, not rows
+        where = "/".join(f"{c}={gone[c]}" for c in partition_by)
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{where}")
+        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
 def align(df: DataFrame, like: DataFrame) -> DataFrame:

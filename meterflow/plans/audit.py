@@ -38,9 +38,9 @@ def timeliness(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
 
 
 def last_hours(df: DataFrame, ts: str, n: int) -> DataFrame:
-    """Rows of the last n hours before the table's latest time, which is one row and so is broadcast."""
-    latest = df.agg(F.max(ts).alias("_latest"))
-    return aggregates.with_prices(df, latest).filter(F.col(ts) > F.col("_latest") - F.make_dt_interval(F.lit(0), F.lit(n))).drop("_latest")
+    """Rows of the last n hours before the table's latest time. That one value is read first, so that the filter reaches the scan."""
+    latest = df.agg(F.max(ts).alias("latest")).first()["latest"]
+    return df.filter("false") if latest is None else df.filter(F.col(ts) > F.lit(latest) - F.make_dt_interval(F.lit(0), F.lit(n)))
 
 
 def counter_audit(df: DataFrame, keys: Sequence[str], bucket: str, value: str, caps: Sequence[float]) -> DataFrame:
@@ -63,6 +63,59 @@ def forecast_check(forecast: DataFrame, keys: Sequence[str], expected: int = 24)
     return forecast.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.min(p).alias("least"), F.max(p).alias("most"), F.avg(p).alias("mean"), F.avg(width).alias("mean_width"), F.count_if(p < 0).alias("negative"), F.count_if(p.isNull()).alias("missing"), (F.count(F.lit(1)) == expected).alias("complete"))
 
 
+def revenue_reconciliation(forecast: DataFrame, revenue: DataFrame, keys: Sequence[str], carriers: dict[str, str], eps: float = 1e-4) -> DataFrame:
+    """One row: hours that only one of forecast and revenue has, amounts that differ between them, and sums that contradict each other.
+
+    carriers: each one's price column. revenue: predicted amounts by carrier, their prices, predicted_energy_kwh, energy_price, predicted_energy_cost, predicted_supply_revenue
+    and predicted_profit.
+    """
+    c = F.col
+    amount = lambda x: f"predicted_{x}_kwh"
+    left = forecast.select(*keys, *[c(amount(x)).alias(f"forecast_{x}") for x in carriers], F.lit(True).alias("_forecast"))
+    sold = sum((c(amount(x)) * c(price) for x, price in carriers.items()), F.lit(0.0))
+    off = lambda a, b: F.count_if(F.abs(a - b) > eps)
+    cost, income, profit = c("predicted_energy_cost"), c("predicted_supply_revenue"), c("predicted_profit")
+    return left.join(revenue.withColumn("_revenue", F.lit(True)), list(keys), "full").agg(
+        F.count_if(c("_forecast").isNull()).alias("missing_forecast"), F.count_if(c("_revenue").isNull()).alias("missing_revenue"), *[off(c(f"forecast_{x}"), c(amount(x))).alias(f"{x}_mismatch") for x in carriers],
+        off(cost, c("predicted_energy_kwh") * c("energy_price")).alias("cost_mismatch"), off(income, sold).alias("revenue_mismatch"), off(profit, income - cost).alias("profit_mismatch"),
+        F.count_if(cost < 0).alias("negative_cost"), F.count_if(profit.isNull()).alias("missing_profit"),
+    )
+
+
+def required_fields(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """A row for each field that must not be NULL: rows, NULLs and whether it passes. One pass over df."""
+    one = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(f).isNull()).alias(f"_{i}") for i, f in enumerate(fields)])
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_{i}").alias("nulls")) for i, f in enumerate(fields)])
+    return one.select("rows", F.explode(each).alias("x")).select("x.field", "rows", "x.nulls", (F.col("x.nulls") == 0).alias("passes"))
+
+
+def zero_forecast(hours: DataFrame, forecast: DataFrame, revenue: DataFrame, key: str = "equipment_id", ts: str = "stat_hour", recent: int = 96) -> DataFrame:
+    """By equipment, why a forecast may be zero: past and recent supply, hours with any, mean operation rate, and what is predicted."""
+    supply = F.coalesce("supply_kwh", F.lit(0.0))
+    figures = lambda suffix: [F.count(F.lit(1)).alias(f"hours{suffix}"), F.sum(supply).alias(f"supply{suffix}"), F.count_if(F.col("supply_kwh") > 0).alias(f"positive{suffix}"), F.avg("operation_rate").alias(f"operation_rate{suffix}")]
+    past = hours.groupBy(key).agg(*figures(""), F.max(ts).alias("last_hour"))
+    late = windows.latest_per_key(hours, [key], [ts], recent).groupBy(key).agg(*figures("_recent"))
+    ahead = forecast.groupBy(key).agg(F.count(F.lit(1)).alias("forecast_hours"), F.sum("predicted_supply_kwh").alias("predicted_supply"), F.count_if(F.col("predicted_supply_kwh") > 0).alias("positive_forecast"))
+    money = revenue.groupBy(key).agg(F.sum("predicted_supply_revenue").alias("predicted_revenue"), F.sum("predicted_profit").alias("predicted_profit"))
+    return past.join(late, key, "left").join(ahead, key, "left").join(money, key, "left")
+
+
+def lake_statistics(tables: dict[str, DataFrame], fields: Sequence[str], distinct: Sequence[str] = (), totals: Sequence[str] = (), total=F.sum) -> DataFrame:
+    """(table_name, statistic, figure as text) for every table: rows, least and most of the fields it has, distinct counts and totals."""
+
+    def of(name: str, df: DataFrame) -> DataFrame:
+        text = lambda x, f: F.date_format(x, "yyyy-MM-dd HH:mm:ss") if dict(df.dtypes)[f].startswith("timestamp") else x.cast("string")
+        made = {"rows": F.count(F.lit(1)).cast("string")}
+        made |= {f"{n}_{f}": text(g(f), f) for f in fields if f in df.columns for n, g in (("least", F.min), ("most", F.max))}
+        made |= {f"distinct_{f}": F.countDistinct(f).cast("string") for f in distinct if f in df.columns}
+        made |= {f"total_{f}": F.format_string("%.2f", F.coalesce(total(f), F.lit(0.0)).cast("double")) for f in totals if f in df.columns}
+        one = df.agg(*[c.alias(k) for k, c in made.items()])
+        each = F.array(*[F.struct(F.lit(k).alias("statistic"), F.col(k).alias("figure")) for k in made])
+        return one.select(F.lit(name).alias("table_name"), F.explode(each).alias("x")).select("table_name", "x.statistic", "x.figure")
+
+    return reduce(DataFrame.unionByName, [of(name, df) for name, df in tables.items()])
+
+
 def batch_log_metrics(lines: DataFrame, text: str = "value") -> DataFrame:
     """One row from a log's start and finish lines: batches, rows, mean and longest duration in seconds."""
     stamp = F.try_to_timestamp(F.regexp_extract(text, r"(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)", 1))

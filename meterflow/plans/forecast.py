@@ -25,8 +25,8 @@ def calendar_features(df: DataFrame, ts: str = "stat_hour") -> DataFrame:
 
 
 def signed_difference(df: DataFrame, name: str = "temp_difference") -> DataFrame:
-    """Return less supply for cooling, supply less return for the others."""
-    supply, back = F.col("avg_supply_temp"), F.col("avg_return_temp")
+    """Return less supply for cooling, supply less return for the others; a missing one counts as 0."""
+    supply, back = F.coalesce("avg_supply_temp", F.lit(0.0)), F.coalesce("avg_return_temp", F.lit(0.0))
     return df.withColumn(name, F.when(F.col("system_type") == "chiller", back - supply).otherwise(supply - back))
 
 
@@ -77,10 +77,11 @@ def future_hours(df: DataFrame, keys: list[str], ts: str, n: int = 24) -> DataFr
 
 
 def future_features(hours: DataFrame, keys: list[str] = ENTITY, ts: str = "stat_hour", value: str = "supply_kwh", n: int = 24) -> DataFrame:
-    """For every future hour the actual value 1, 24 and 168 hours before where known, else the latest, the latest trailing figures, and
-    the covariates' means of its hour of day with their temperature difference (0 where there are none)."""
-    trailing = windows.trailing(hours, keys, [ts], value, (24, 168), ("avg", "max"), current=True)
-    latest = windows.latest_per_key(trailing, keys, [ts]).select(*keys, F.col(value).alias("latest"), "avg_24", "max_24", "avg_168", "max_168")
+    """For every future hour the actual value 1, 24 and 168 hours before where known, else the latest, the trailing figures of the latest
+    hour's own features, and the covariates' means of its hour of day with their temperature difference (0 where there are none)."""
+    trailing = windows.trailing(hours, keys, [ts], value)
+    figures = ["avg_24", "max_24", "avg_168", "max_168"]
+    latest = windows.latest_per_key(trailing, keys, [ts]).select(*keys, F.col(value).alias("latest"), *[F.coalesce(c, value).alias(c) for c in figures])
     known = covariates(hours)
     profile = hours.groupBy(*keys, F.hour(ts).alias("hour_of_day")).agg(*[F.avg(c).alias(c) for c in known], F.count(F.lit(1)).alias("_n")).drop("_n")
     out = future_hours(hours, keys, ts, n).withColumnRenamed("target_hour", ts)
@@ -129,7 +130,7 @@ def evaluate(df: DataFrame, keys: list[str], actual: str, prediction: str) -> Da
     a, e = F.col(actual), F.col(actual) - F.col(prediction)
     out = df.filter(a.isNotNull() & F.col(prediction).isNotNull()).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (F.avg(F.when(a > 0, F.abs(e) / a)) * 100).alias("mape"),
-        F.stddev_samp(e).alias("residual_std"), F.sum(e * e).alias("_sse"), F.var_pop(a).alias("_var"),
+        F.stddev_pop(e).alias("residual_std"), F.sum(e * e).alias("_sse"), F.var_pop(a).alias("_var"),
     )
     return out.withColumn("r2", 1 - scalars.safe_div("_sse", F.col("_var") * F.col("n"))).drop("_sse", "_var")
 

@@ -1,7 +1,11 @@
-"""Tree regressions with Spark ML: one pooled model over all entities, whose index is a feature; scoring and persistence."""
+"""Tree regressions with Spark ML: one pooled model over all entities, whose index is a feature, or one for each of a few; scoring and
+persistence."""
 
 from __future__ import annotations
 
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -41,6 +45,27 @@ def train_and_evaluate(df: DataFrame, features: list[str], label: str, keys: lis
     return model, forecast.evaluate(predict(model, marked.filter("NOT is_train")), keys, label, "prediction")
 
 
+#: Models that are trained one by one at most, and how many of them at a time.
+MOST_MODELS, AT_ONCE = 500, 4
+
+
+def train_each(df: DataFrame, features: list[str], label: str, key: str, ts: str, kind: str = "forest", **changes) -> tuple[dict, DataFrame]:
+    """A model of its own for each entity's first 80 %, by entity, and all metrics on the rest; entities with too few rows have none.
+
+    Every model is a job of its own: right for a plant's units, not for millions of entities, which the pooled model is for.
+    """
+    marked = split(df, [key], ts)
+    entities = [r[key] for r in marked.select(key).distinct().orderBy(key).limit(MOST_MODELS + 1).collect()]
+    if len(entities) > MOST_MODELS:
+        raise ValueError(f"more than {MOST_MODELS} entities: use the pooled model")
+    own = lambda e: marked.filter(F.col(key) == e)
+    with ThreadPool(AT_ONCE) as pool:
+        models = dict(zip(entities, pool.map(lambda e: pipeline(features, label, key, kind, **changes).fit(own(e).filter("is_train")), entities)))
+    tested = [predict(model, own(e).filter("NOT is_train")).select(key, label, "prediction") for e, model in models.items()]
+    none = marked.limit(0).select(key, label, F.lit(0.0).alias("prediction"))
+    return models, forecast.evaluate(reduce(DataFrame.unionByName, tested, none), [key], label, "prediction")
+
+
 def importances(model: PipelineModel, features: list[str], spark, most: int = 8) -> DataFrame:
     """The features that matter most, and all of that as JSON."""
     ranked = sorted(zip([*features, "entity_index"], model.stages[-1].featureImportances.toArray().tolist()), key=lambda x: -x[1])[:most]

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meterflow.functions import classify
 from meterflow.functions.scalars import finite
 
 #: Default and largest limits.
@@ -33,6 +34,14 @@ def query(df: DataFrame, equal: dict | None = None, between: tuple[str, object,
     return df.withColumns(doubles) if doubles else df
 
 
+def active_advice(advice: DataFrame, system: str | None = None, equal: dict | None = None, limit: int = 100) -> DataFrame:
+    """The latest active advice; a system that a row doesn't name is told from its equipment's id."""
+    inferred = classify.system_of_equipment(F.col("equipment_id"))
+    known = F.coalesce("system_type", inferred) if "system_type" in advice.columns else inferred
+    rows = advice.filter("is_active").withColumn("system_type", known)
+    return query(rows, {"system_type": system, **(equal or {})}, None, ["-advice_time", "equipment_id", "rule_id"], limit)
+
+
 def distinct_values(df: DataFrame, *columns: str, fallback: DataFrame | None = None) -> DataFrame:
     """Distinct values in order; from the fallback table if df has none."""
     out = df.select(*columns).distinct()

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterflow.operators.upsert import exists
+from meterflow.operators.upsert import exists, new_rows
 
 
 @dataclass(frozen=True)
@@ -60,3 +60,12 @@ def write_control(df: DataFrame, lake: Lake, table: str) -> None:
 def partition_price_sync(prices: DataFrame, source_type: str) -> DataFrame:
     """Price rows marked as full or incremental, with their month as partition."""
     return prices.withColumns({"source_type": F.lit(source_type), "ym": F.date_format(F.try_to_timestamp(F.col("updated_at").cast("string")), "yyyyMM")})
+
+
+def write_price_sync(prices: DataFrame, path: str, source_type: str) -> None:
+    """Write prices below path by month: a full sync replaces the table, an incremental one adds the rows whose id and update are new."""
+    spark, rows = prices.sparkSession, partition_price_sync(prices, source_type)
+    if source_type == "full" or not exists(spark, path):
+        rows.dropDuplicates(["id", "updated_at"]).write.mode("overwrite").partitionBy("ym").parquet(path)
+    else:
+        new_rows(spark.read.parquet(path), rows, ["id", "updated_at"]).write.mode("append").partitionBy("ym").parquet(path)
