@@ -183,7 +183,7 @@ _PROFILED = ", ".join(f"coalesce(p.{c}, 0) AS {c}" for c in forecast.COVARIATES)
     LEFT JOIN (SELECT equipment_id, hour(stat_hour) AS h, {_HOURLY_PROFILE} FROM hours GROUP BY ALL) p ON p.equipment_id = f.equipment_id AND p.h = hour(f.target_hour)
     LEFT JOIN hours a ON a.equipment_id = f.equipment_id AND a.stat_hour = f.target_hour - INTERVAL 24 HOUR LEFT JOIN hours b ON b.equipment_id = f.equipment_id AND b.stat_hour = f.target_hour - INTERVAL 168 HOUR
     JOIN (SELECT equipment_id, stat_hour, supply_kwh, coalesce(avg(supply_kwh) OVER d, supply_kwh) AS avg_24, coalesce(max(supply_kwh) OVER d, supply_kwh) AS max_24, coalesce(avg(supply_kwh) OVER w, supply_kwh) AS avg_168, coalesce(max(supply_kwh) OVER w, supply_kwh) AS max_168
-          FROM hours WINDOW d AS (PARTITION BY equipment_id ORDER BY stat_hour ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING), w AS (PARTITION BY equipment_id ORDER BY stat_hour ROWS BETWEEN 168 PRECEDING AND 1 PRECEDING)
+          FROM hours WINDOW d AS (PARTITION BY equipment_id ORDER BY stat_hour ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), w AS (PARTITION BY equipment_id ORDER BY stat_hour ROWS BETWEEN 167 PRECEDING AND CURRENT ROW)
           QUALIFY row_number() OVER (PARTITION BY equipment_id ORDER BY stat_hour DESC) = 1) l ON l.equipment_id = f.equipment_id""",
        doubles=f"lag_1 lag_24 lag_168 avg_24 max_24 avg_168 max_168 temp_difference {' '.join(forecast.COVARIATES)}", times="target_hour")
 def future_features(t):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from meterflow.catalog.base import query
 from meterflow.catalog.business import FORECAST_SQL, HITS_SQL, REVENUE_SQL, advised, chiller_sql, quality_rows, report_sql, revenue_of, tariff_sql
+from meterflow.operators import joins
 from meterflow.plans import audit, forecast, reports, serve
 
 # Serving
@@ -139,3 +140,32 @@ def governance_gate_fails(t):
     code = F.concat(F.when(key % 40 == 0, "Q").otherwise("P"), F.when(key % 25 == 1, key - 1).otherwise(key).cast("string"))
     points = t.part.select(code.alias("code"), F.when(key % 30 != 0, F.col("p_type")).alias("role"))
     return audit.governance_gate(t.lineitem.select(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("point")), points, "point", "code", "role", "P")
+
+
+# The workloads of the published benchmark, over 20 copies of every station
+
+COPIES = 20
+ENTITY = ["station_id", "system_type", "equipment_id"]
+_COPIES = f"(SELECT h.* REPLACE (station_id || '_' || i AS station_id) FROM hours h, range({COPIES}) r(i))"
+
+
+def copied(hours, copies: int = COPIES):
+    return joins.replicate(hours, copies, "station_id")
+
+
+@query(f"""SELECT count(*) AS output_rows, sum(supply) AS supply_checksum, sum(energy) AS energy_checksum, max(peak) AS peak, max(rate) AS rate FROM (SELECT station_id, system_type, equipment_id, stat_hour::DATE AS d, max(supply_kwh) AS peak, sum(supply_kwh) AS supply,
+    sum(energy_consumption_kwh) AS energy, avg(operation_rate) AS rate FROM {_COPIES} GROUP BY ALL)""", doubles="supply_checksum energy_checksum peak rate")
+def scaled_report_workload(t):
+    return audit.report_workload(copied(t.hours), ENTITY)
+
+
+@query(f"""SELECT count(*) AS output_rows, sum(n) AS latest_hours, sum(s) AS supply_checksum FROM (SELECT station_id, system_type, equipment_id, count(*) AS n, sum(supply_kwh) AS s
+    FROM (SELECT *, row_number() OVER (PARTITION BY station_id, system_type, equipment_id ORDER BY stat_hour DESC) AS rn FROM {_COPIES}) WHERE rn <= 168 GROUP BY ALL)""", doubles="supply_checksum", longs="latest_hours")
+def scaled_latest_workload(t):
+    return audit.latest_workload(copied(t.hours), ENTITY)
+
+
+@query(f"""SELECT count(*) AS output_rows, count(l) AS lagged_rows, avg(a) AS rolling_checksum, max(m) AS most FROM (SELECT lag(supply_kwh, 24) OVER w AS l, avg(supply_kwh) OVER (w ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS a, max(supply_kwh) OVER (w ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS m
+    FROM {_COPIES} WINDOW w AS (PARTITION BY station_id, system_type, equipment_id ORDER BY stat_hour)) WHERE a IS NOT NULL""", doubles="rolling_checksum most")
+def scaled_feature_workload(t):
+    return audit.feature_workload(copied(t.hours), ENTITY)

@@ -135,3 +135,23 @@ def recent_window_report(hours: DataFrame, keys: Sequence[str], ts: str, value:
     """Workload: the latest n rows of each entity, summed."""
     rn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(ts)))
     return hours.withColumn("rn", rn).filter(F.col("rn") <= n).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.sum(value).alias(f"sum_{value}"))
+
+
+def report_workload(hours: DataFrame, keys: Sequence[str], ts: str = "stat_hour") -> DataFrame:
+    """One row: how many day reports there are, and their sums."""
+    days = hours.groupBy(*keys, F.to_date(ts).alias("stat_date")).agg(
+        F.max("supply_kwh").alias("peak"), F.min("supply_kwh").alias("valley"), F.sum("supply_kwh").alias("supply"), F.sum("energy_consumption_kwh").alias("energy"), F.avg("operation_rate").alias("rate"), F.count(F.lit(1)).alias("hours"),
+    )
+    return days.agg(F.count(F.lit(1)).alias("output_rows"), F.sum("supply").alias("supply_checksum"), F.sum("energy").alias("energy_checksum"), F.max("peak").alias("peak"), F.max("rate").alias("rate"))
+
+
+def latest_workload(hours: DataFrame, keys: Sequence[str], ts: str = "stat_hour", n: int = 168) -> DataFrame:
+    """One row: the latest n hours of every entity, counted and summed."""
+    latest = recent_window_report(hours, keys, ts, "supply_kwh", n)
+    return latest.agg(F.count(F.lit(1)).alias("output_rows"), F.sum("rows").alias("latest_hours"), F.sum("sum_supply_kwh").alias("supply_checksum"))
+
+
+def feature_workload(hours: DataFrame, keys: Sequence[str], ts: str = "stat_hour") -> DataFrame:
+    """One row: trailing features of every hour that has some."""
+    made = windows.trailing(windows.lags(hours, keys, [ts], "supply_kwh", (24,)), keys, [ts], "supply_kwh", (24,)).filter("avg_24 IS NOT NULL")
+    return made.agg(F.count(F.lit(1)).alias("output_rows"), F.count("lag_24").alias("lagged_rows"), F.avg("avg_24").alias("rolling_checksum"), F.max("max_24").alias("most"))

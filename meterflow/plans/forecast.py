@@ -77,9 +77,9 @@ def future_hours(df: DataFrame, keys: list[str], ts: str, n: int = 24) -> DataFr
 
 
 def future_features(hours: DataFrame, keys: list[str] = ENTITY, ts: str = "stat_hour", value: str = "supply_kwh", n: int = 24) -> DataFrame:
-    """For every future hour the actual value 1, 24 and 168 hours before where known, else the latest, the trailing figures of the latest
-    hour's own features, and the covariates' means of its hour of day with their temperature difference (0 where there are none)."""
-    trailing = windows.trailing(hours, keys, [ts], value)
+    """For every future hour the actual value 1, 24 and 168 hours before where known, else the latest, the trailing figures up to
+    the latest hour, and the covariates' means of its hour of day with their temperature difference (0 where there are none)."""
+    trailing = windows.trailing(hours, keys, [ts], value, current=True)
     figures = ["avg_24", "max_24", "avg_168", "max_168"]
     latest = windows.latest_per_key(trailing, keys, [ts]).select(*keys, F.col(value).alias("latest"), *[F.coalesce(c, value).alias(c) for c in figures])
     known = covariates(hours)

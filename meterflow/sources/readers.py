@@ -9,8 +9,21 @@ from meterflow.functions.scalars import as_ts
 from meterflow.sources import schemas
 
 
+def kafka_options(servers: str, pattern: str = "sensor_.*", starting: str = "latest", most: int | None = 15_000, ending: str | None = None) -> dict[str, str]:
+    """Options of a Kafka read: all topics of a pattern, from where, how many records a trigger takes at most; lost data is no error.
+
+    With ending the read is bounded, and takes no cap.
+    """
+    if starting not in ("earliest", "latest"):
+        raise ValueError("starting is earliest or latest")
+    out = {"kafka.bootstrap.servers": servers, "subscribePattern": pattern, "startingOffsets": starting, "failOnDataLoss": "false"}
+    if ending:
+        return out | {"endingOffsets": ending}
+    return out | ({"maxOffsetsPerTrigger": str(most)} if most else {})
+
+
 def stream_envelopes(spark: SparkSession, path: str | None = None, fmt: str = "json", max_files: int | None = None, **options) -> DataFrame:
-    """A stream of message envelopes: from Kafka (fmt="kafka" with its options), or from files of the same columns."""
+    """A stream of message envelopes: from Kafka (fmt="kafka" with ``kafka_options``), or from files of the same columns."""
     reader = spark.readStream.format(fmt)
     if fmt == "kafka":
         return reader.options(**options).load()

@@ -12,7 +12,7 @@ from meterflow import catalog
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: A part of every group, so that the suite stays short; the driver compares all of them.
-NAMES = ["decode_messages", "flatten_change_log", "price_dimension", "extract_dictionary", "upsert_orders", "classify_points", "enrich_facts", "reconcile_orders", "seasonal_profiles", "gap_fill_and_flags", "counter_delta", "proportional_allocation", "hour_grid", "report_day", "report_week", "chiller_report_month", "data_quality_day", "seasonal_forecast", "revenue_forecast", "advice_rules", "serve_supply_curve", "latest_snapshot", "governance_gate", "recompute_affected"]
+NAMES = ["decode_messages", "flatten_change_log", "price_dimension", "extract_dictionary", "upsert_orders", "classify_points", "enrich_facts", "reconcile_orders", "seasonal_profiles", "gap_fill_and_flags", "counter_delta", "proportional_allocation", "hour_grid", "report_day", "report_week", "chiller_report_month", "data_quality_day", "seasonal_forecast", "revenue_forecast", "advice_rules", "serve_supply_curve", "latest_snapshot", "governance_gate", "recompute_affected", "point_fact", "minute_status", "system_hours", "future_features", "serve_advice", "revenue_reconciliation", "lake_statistics", "scaled_report_workload", "scaled_latest_workload", "scaled_feature_workload"]
 
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables here")
 
