@@ -17,7 +17,7 @@ import hashlib
 import heapq
 import re
 import warnings
-from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,38 +26,42 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterflow.llm.common import NO_ID, Recent, distinct, id_back, joined, slices, texts_of
+from meterflow.llm.common import RecentRows, distinct, slices, strings, texts_of, worker_tools
 
 LONG = 400
-#: Pieces, words and decoded runs that a worker keeps, per generation.
-RECENT = 250_000
-#: Bytes of text that are encoded at a time.
-SLICE = 4_000_000
+#: Pieces, words and decoded runs that a worker keeps.
+RECENT = 400_000
+#: Bytes of text that are encoded at a time, and pieces or runs in a query.
+SLICE, QUERY = 6_000_000, 50_000
+#: Bits for a position within a piece.
+POSITION = 9
 #: White space other than the space and the line feed.
-_OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]")
+_OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
-#: Token-position rows; place = word * 65536 + position. A pair's number orders by rank, then position.
+#: Token-position rows; place = word * 512 + position. A pair's number orders by rank, then position; the right one of
+#: the two rows that a word contracts goes.
 ENCODE = """
 WITH RECURSIVE tok AS (
-  SELECT place, id, lead(id) OVER win AS next_id, lead(place) OVER win AS next_place, lag(place) OVER win AS last_place, false AS done
+  SELECT place, id, lead(id) OVER win AS next_id, lead(place) OVER win AS next_place, false AS done
   FROM (SELECT r.place, b.id FROM new_bytes r JOIN single_bytes b ON b.byte = r.byte) WINDOW win AS (ORDER BY place)
   UNION ALL
-  (WITH pairs AS (SELECT t.place, t.place >> 16 AS word, t.id, t.last_place, m.rank * 65536 + (t.place & 65535) AS pair
+  (WITH pairs AS (SELECT t.place, t.next_place, t.place >> 9 AS word, t.id, m.rank * 512 + (t.place & 511) AS pair
                   FROM tok t LEFT JOIN merges m
-                    ON m.both = CASE WHEN t.next_place >> 16 = t.place >> 16 THEN t.id * 65536 + t.next_id END
+                    ON m.left_right = CASE WHEN t.next_place >> 9 = t.place >> 9 THEN t.id::UINTEGER * 65536::UINTEGER + t.next_id::UINTEGER END
                   WHERE NOT t.done),
-        best AS (SELECT word, min(pair) AS pair FROM pairs GROUP BY word),
-        kept AS (SELECT p.place, CASE WHEN p.pair = b.pair THEN b.pair // 65536 ELSE p.id END AS id, b.pair IS NULL AS done
+        best AS (SELECT word, min(pair) AS pair, arg_min(next_place, pair) AS gone FROM pairs GROUP BY word),
+        kept AS (SELECT p.place, CASE WHEN p.pair = b.pair THEN b.pair >> 9 ELSE p.id END AS id, b.pair IS NULL AS done
                  FROM pairs p JOIN best b ON p.word = b.word
-                 WHERE b.pair IS NULL OR p.last_place IS DISTINCT FROM (b.word << 16) + b.pair % 65536)
-   SELECT place, id, lead(id) OVER win, lead(place) OVER win, lag(place) OVER win, done
+                 WHERE b.pair IS NULL OR p.place <> b.gone)
+   SELECT place, id, lead(id) OVER win, lead(place) OVER win, done
    FROM kept WINDOW win AS (ORDER BY place)))
-SELECT place >> 16 AS word, id FROM tok WHERE done ORDER BY place"""
+SELECT place >> 9 AS word, id FROM tok WHERE done ORDER BY place"""
 
+#: Id rows of runs in groups: the runs of a group one after another.
 DECODE = """
-SELECT r, unhex(string_agg(hex, '' ORDER BY pos)) AS bytes
-FROM (SELECT r, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM new_runs) JOIN vocabulary USING (id)
-GROUP BY r"""
+SELECT run_group, unhex(string_agg(hex, '' ORDER BY pos)) AS bytes
+FROM new_ids JOIN vocabulary USING (id) GROUP BY run_group ORDER BY run_group"""
+GROUP = 512
 
 
 class Codec:
@@ -67,27 +71,32 @@ class Codec:
         import duckdb
 
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+        top = max(self.ranks.values()) + 1
+        if top > 65536:
+            raise ValueError("pairs of ids are numbered in 32 bits: at most 65,536 tokens")
         self.pattern = regex.compile(pattern)
-        self.words, self.pieces, self.runs = Recent(RECENT), Recent(RECENT), Recent(RECENT)
+        self.words, self.pieces, self.runs = RecentRows(RECENT), RecentRows(RECENT), RecentRows(RECENT, "u1")
         warnings.filterwarnings("ignore", message="Arrow output on a DB-API")
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
-        both, rank = [], []
-        for token, r in self.ranks.items():
-            for i in range(1, len(token)):
-                x, y = self.ranks.get(token[:i]), self.ranks.get(token[i:])
-                if x is not None and y is not None:
-                    both.append(x * 65536 + y), rank.append(r)
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        pairs = [(x << 16 | y, r) for token, r in self.ranks.items() for x, y in self._halves(token)]
         for name, columns in {
-            "merges": {"both": pa.array(both, pa.int64()), "rank": pa.array(rank, pa.int64())},
-            "single_bytes": {"byte": pa.array(range(256), pa.uint8()), "id": pa.array([self.ranks[bytes([i])] for i in range(256)], pa.int64())},
+            "merges": {"left_right": pa.array([p for p, _ in pairs], pa.uint32()), "rank": pa.array([r for _, r in pairs], pa.int32())},
+            "single_bytes": {"byte": pa.array(range(256), pa.uint8()), "id": pa.array([self.ranks[bytes([i])] for i in range(256)], pa.int32())},
             "vocabulary": {"id": pa.array(list(self.ranks.values()), pa.int32()), "hex": pa.array([x.hex() for x in self.ranks], pa.string())},
         }.items():
             self.db.register("given", pa.table(columns))
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
-        top = max(self.ranks.values()) + 1
-        self.opens = np.zeros(top, bool)  # tokens at which a run begins
+        self.opens, self.sizes = np.zeros(top, bool), np.zeros(top, np.int64)  # tokens at which a run begins, and all tokens' sizes
         self.opens[[i for token, i in self.ranks.items() if token[:1] == b" "]] = True
+        self.sizes[list(self.ranks.values())] = list(map(len, self.ranks))
+
+    def _halves(self, token: bytes):
+        """The ids of every two tokens that make the token."""
+        for i in range(1, len(token)):
+            x, y = self.ranks.get(token[:i]), self.ranks.get(token[i:])
+            if x is not None and y is not None:
+                yield x, y
 
     def _query(self, name: str, rows: pa.Table, sql: str) -> pa.Table:
         self.db.register(name, rows)
@@ -95,27 +104,24 @@ class Codec:
         self.db.unregister(name)
         return out
 
-    def _learn_pieces(self, pieces: set[str]) -> None:
-        """Put the ids of all given pieces into the cache."""
-        new = []
-        for piece in self.pieces.missing(pieces):
-            raw = piece.encode()
-            if (whole := self.ranks.get(raw)) is not None:
-                self.pieces[piece] = whole.to_bytes(4, "little")
-            elif len(raw) > LONG:
-                self.pieces[piece] = np.array(self.merged(raw), "<u4").tobytes()
-            else:
-                new.append(piece)
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
-            raw = [x.encode() for x in part]
-            sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-            words = np.repeat(np.arange(len(raw)), sizes)
-            at = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            out = self._query("new_bytes", pa.table({"place": (words << 16) + at, "byte": np.frombuffer(b"".join(raw), np.uint8)}), ENCODE)
-            ids = out.column("id").to_numpy().astype("<u4").tobytes()
-            ends = (np.searchsorted(out.column("word").to_numpy(), np.arange(len(raw) + 1)) * 4).tolist()
-            self.pieces.update((w, ids[x:y]) for w, x, y in zip(part, ends, ends[1:]))
+    def _piece_ids(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(pieces, their ids one after another, how many each has): tokens as they are, long ones by the heap, all others by the query."""
+        raw = [x.encode() for x in pieces]
+        known = [(p, self.ranks[x]) for p, x in zip(pieces, raw) if x in self.ranks]
+        rest = [(p, x) for p, x in zip(pieces, raw) if x not in self.ranks]
+        long, rest = [(p, self.merged(x)) for p, x in rest if len(x) > LONG], [(p, x) for p, x in rest if len(x) <= LONG]
+        ids = [np.array([i for _, i in known], "<u4"), *(np.array(x, "<u4") for _, x in long)]
+        sizes = [np.ones(len(known), np.int64), np.array([len(x) for _, x in long], np.int64)]
+        for i in range(0, len(rest), QUERY):
+            part = [x for _, x in rest[i : i + QUERY]]
+            lengths = np.fromiter(map(len, part), np.int64, len(part))
+            words = np.repeat(np.arange(len(part)), lengths)
+            at = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            rows = {"place": ((words << POSITION) + at).astype(np.int32), "byte": np.frombuffer(b"".join(part), np.uint8)}
+            out = self._query("new_bytes", pa.table(rows), ENCODE)
+            ids.append(out.column("id").to_numpy().astype("<u4"))
+            sizes.append(np.bincount(out.column("word").to_numpy(), minlength=len(part)))
+        return [p for p, _ in known + long + rest], np.concatenate(ids), np.concatenate(sizes)
 
     def merged(self, raw: bytes) -> list[int]:
         """The ids of one long piece: a heap of pairs over a linked list."""
@@ -141,39 +147,59 @@ class Codec:
             offer(before[i])
         return [x for x, a in zip(ids, alive) if a]
 
+    def _joined(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of every list of pieces, and where each list's begin (and the last one's end)."""
+        codes, pieces = distinct(pa.array(list(chain.from_iterable(lists)), pa.string()))
+        flat, at = self.pieces.gathered(self.pieces.rows(strings(pieces), self._piece_ids)[codes])
+        return flat, at[np.concatenate([[0], np.cumsum(list(map(len, lists)), dtype=np.int64)])]
+
+    def _word_ids(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The ids of words with a space before them."""
+        find = self.pattern.findall
+        flat, at = self._joined([find(" " + w) for w in words])
+        return words, flat, np.diff(at)
+
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers.
 
         A word may be taken with the one space before it if no other white space touches that space; such texts
         are split by Arrow, which also finds the distinct words. The others are split by the pattern as a whole.
         """
-        plain, whole, heads = [], [], []
+        plain, heads = [], []
         for i, text in enumerate(texts.to_pylist()):
             if "  " in text or " \n" in text or "\n " in text or _OTHER_SPACE.search(text):
-                whole.append(i)
                 heads.append(self.pattern.findall(text))
             else:
                 plain.append(i)
                 heads.append(self.pattern.findall(text.partition(" ")[0]))
+        first, at = self._joined(heads)
+        raw, ends = first.tobytes(), (at * 4).tolist()
+        out = [raw[a:b] for a, b in zip(ends, ends[1:])]
         split = pc.split_pattern(texts.take(pa.array(plain, pa.int64())), " ")
         sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False)
         flat = split.flatten()
         tail = np.ones(len(flat), bool)
         tail[(np.cumsum(sizes) - sizes).astype(np.int64)] = False  # the first word has no space before it
         codes, words = distinct(flat.filter(pa.array(tail)))
-        words = words.to_pylist()
-        new = {w: self.pattern.findall(" " + w) for w in self.words.missing(set(words))}
-        self._learn_pieces(set().union(*heads, *new.values()))
-        piece = self.pieces.__getitem__
-        for w, parts in new.items():
-            self.words[w] = b"".join(map(piece, parts))
-        ids, at = joined(codes, list(map(self.words.__getitem__, words)), "<u4")
+        ids, at = self.words.gathered(self.words.rows(strings(words), self._word_ids)[codes])
         raw, ends = ids.tobytes(), (at[np.concatenate([[0], np.cumsum(sizes - 1)]).astype(np.int64)] * 4).tolist()
-        out = [b"".join(map(piece, h)) for h in heads]
         for i, a, b in zip(plain, ends, ends[1:]):
             out[i] += raw[a:b]
         return out
 
+    def _run_bytes(self, runs: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The bytes behind runs of ids."""
+        made, sizes = [], []
+        for i in range(0, len(runs), QUERY):
+            part = runs[i : i + QUERY]
+            ids, lengths = np.frombuffer(b"".join(part), "<u4").astype(np.int32), np.fromiter(map(len, part), np.int64, len(part)) // 4
+            group = (np.repeat(np.arange(len(part)), lengths) // GROUP).astype(np.int32)
+            out = self._query("new_ids", pa.table({"run_group": group, "pos": np.arange(len(ids), dtype=np.int32), "id": ids}), DECODE)
+            made += out.column("bytes").to_pylist()
+            ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.sizes[ids])])[np.concatenate([[0], np.cumsum(lengths)])]
+            sizes.append(np.diff(ends))
+        return runs, np.frombuffer(b"".join(made), "u1"), np.concatenate(sizes)
+
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes behind each list of ids: distinct runs of ids that begin with a space are looked up or queried."""
         flat, sizes = np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], np.int64)
@@ -183,26 +209,13 @@ class Codec:
         at = np.flatnonzero(begins)
         offsets = np.append(at, len(flat)).astype(np.int32) * 4
         codes, runs = distinct(pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(flat.tobytes())]))
-        runs = runs.to_pylist()
-        new = list(self.runs.missing(set(runs)))
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
-            for r in part:
-                self.runs[r] = b""
-            part_ids = np.frombuffer(b"".join(part), "<u4").astype(np.int32)
-            ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in part])]).astype(np.int32)
-            rows = pa.table({"r": pa.array(np.arange(len(part), dtype=np.int32)), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(part_ids))})
-            out = self._query("new_runs", rows, DECODE)
-            for r, raw in zip(out.column("r").to_pylist(), out.column("bytes").to_pylist()):
-                self.runs[part[r]] = raw
-        made, ends = joined(codes, list(map(self.runs.__getitem__, runs)), "u1")
+        made, ends = self.runs.gathered(self.runs.rows(strings(runs), self._run_bytes)[codes])
         raw, docs = made.tobytes(), ends[np.searchsorted(at, np.append(starts, len(flat)))].tolist()
         return [raw[a:b] for a, b in zip(docs, docs[1:])]
 
 
-@lru_cache(2)
 def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+    return worker_tools(("bytes", path, pattern), lambda: Codec(path, pattern))
 
 
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,7 +228,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
                 ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in c.encode(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return texts_of(df, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>").select(id_back("doc_id").alias(id_col), "ids")
+    return texts_of(df, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>").select(F.col("doc_id").alias(id_col), "ids")
 
 
 def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -227,8 +240,8 @@ def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_c
             raw = c.decode([np.array(x or [], "<u4").tobytes() for x in batch.column("ids").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw, pa.binary())], ["doc_id", "bytes"])
 
-    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(ids_col).alias("ids"))
-    return rows.mapInArrow(run, "doc_id long, bytes binary").select(id_back("doc_id").alias(id_col), "bytes")
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids"))
+    return rows.mapInArrow(run, "doc_id long, bytes binary").select(F.col("doc_id").alias(id_col), "bytes")
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,4 +255,4 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
                 hexed = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), hexed(ids), hexed(c.decode(ids))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return texts_of(df, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumn("doc_id", id_back("doc_id"))
+    return texts_of(df, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
