@@ -11,10 +11,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Stands for a NULL id inside an operator; it sorts after every real id.
-NO_ID = 2**63 - 1
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -58,22 +54,25 @@ def dropped(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, none if there is no such folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return sorted(x.getPath().getName() for x in files.listStatus(p)) if files.exists(p) else []
 
 
-def id_key(name: str = "doc_id") -> Column:
-    """The id as a key that is never NULL."""
-    return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def id_back(name: str) -> Column:
-    return F.when(F.col(name) != NO_ID, F.col(name))
+def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: tuple = ()) -> DataFrame:
+    """Only the id and the text (NULL: empty), so that other columns and their names don't matter."""
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *extra)
 
 
-def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: tuple = ()) -> DataFrame:
-    """Only the id (as key) and the text (NULL: empty), so that other columns and their names don't matter."""
-    return df.select(id_key(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *extra)
+def as_rows(df: DataFrame, *columns: Column) -> DataFrame:
+    """The columns given, and every row of df as one struct named row, so that no column of df meets a name of an operator."""
+    return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), *columns)
 
 
 def slices(batch: pa.RecordBatch, chars: int = 2_000_000, column: str = "text"):
@@ -102,35 +101,16 @@ def strings(values: pa.Array) -> list[str]:
     return values.to_numpy(zero_copy_only=False).tolist()
 
 
-def joined(codes: np.ndarray, values: list[bytes], dtype: str) -> tuple[np.ndarray, np.ndarray]:
-    """What values[c] holds for each code one after another, and where each begins (and the last ends)."""
-    flat = np.frombuffer(b"".join(values), dtype)
-    sizes = np.fromiter(map(len, values), np.int64, len(values)) // flat.itemsize
-    each = sizes[codes]
-    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(each)])
-    index = np.repeat((np.cumsum(sizes) - sizes)[codes] - ends[:-1], each)
-    index += np.arange(len(index))
-    return flat[index], ends
-
-
-class Recent(dict):
-    """A bounded cache: two generations, of which the older one goes when the younger one is full."""
-
-    def __init__(self, most: int):
-        super().__init__()
-        self.most, self.old = most, {}
-
-    def missing(self, keys: set) -> set:
-        """The keys that are in neither generation; those of the older one move to the younger one."""
-        if len(self) > self.most:
-            self.old = dict(self)
-            self.clear()
-        rest = keys.difference(self)
-        if self.old:
-            back = rest.intersection(self.old)
-            self.update((k, self.old[k]) for k in back)
-            rest -= back
-        return rest
+_TOOLS: dict = {}
+
+
+def worker_tools(key: tuple, make):
+    """What a worker keeps from task to task. It keeps one such thing at a time: workers live on from stage to stage, and what an
+    earlier stage has kept must not add to what this one needs."""
+    if key not in _TOOLS:
+        _TOOLS.clear()
+        _TOOLS[key] = make()
+    return _TOOLS[key]
 
 
 class RecentRows:

@@ -2,7 +2,8 @@
 
 In each round every node points to its smallest neighbour, if that is smaller than itself. Pointers are followed to their
 roots by doubling, edges are moved to the roots and those within a root go. A round is one grouping and a few
-equi-joins; a hub's many edges are summed map-side or split by adaptive execution, and every table is checkpointed.
+equi-joins; a hub's many edges are summed map-side or split by adaptive execution. Every table is stored in the shared folder,
+in as many parts as its rows are worth, so that small tables take few tasks.
 """
 
 from __future__ import annotations
@@ -10,35 +11,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterflow.llm.common import shared_dir
+from meterflow.llm.common import scratch
 
+#: Rows of an edge table that are worth a task.
+ROWS_PER_TASK = 50_000
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+
+def _stored(df: DataFrame, rows: int) -> DataFrame:
+    """df, written in parts for about so many rows and read again."""
+    path = scratch(df.sparkSession, "edges")
+    df.coalesce(-(-rows // ROWS_PER_TASK) or 1).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _pairs(edges: DataFrame, u: str, v: str) -> DataFrame:
+    return edges.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v")).filter("u < v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the edges (u, v): root is the smallest node that is reachable."""
-    edges = checkpointed(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v").distinct())
+    """(node, root) for every node of the stored edges (u, v): root is the smallest node that is reachable."""
+    rows = edges.count()
+    edges = _stored(_pairs(edges, "u", "v"), rows)
     done = None
-    while not edges.isEmpty():
-        parents = edges.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("root"))
-        parents = checkpointed(parents)
+    while rows := edges.count():
+        parents = _stored(edges.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("root")), rows)
         while True:  # pointer doubling
             up = parents.select(F.col("node").alias("root"), F.col("root").alias("up"))
-            jumped = checkpointed(parents.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")))
+            jumped = _stored(parents.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")), rows)
             parents = jumped.select("node", "root")
             if jumped.filter("moved").isEmpty():
                 break
         root = lambda side: parents.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
         moved = edges.join(root("u"), "u", "left").join(root("v"), "v", "left").select(F.coalesce("u_root", "u").alias("a"), F.coalesce("v_root", "v").alias("b"))
-        edges = checkpointed(moved.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u < v").distinct())
+        edges = _stored(_pairs(moved, "a", "b"), rows)
         if done is None:
             done = parents
         else:  # what has been contracted before follows its root
             up = parents.select(F.col("node").alias("root"), F.col("root").alias("up"))
-            done = checkpointed(done.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")).unionByName(parents))
+            done = _stored(done.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")).unionByName(parents), rows)
     if done is None:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return done.unionByName(done.select(F.col("root").alias("node"), "root").distinct())

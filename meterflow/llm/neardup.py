@@ -2,52 +2,71 @@
 
 A text's set: its distinct five-word shingles. Two collections of M groups of HALF minhash values each give M * M table keys, one
 for every pair of a group of the first and a group of the second collection: 2 * M * HALF minhash values serve tables
-that would need M * M * 2 * HALF. At similarity s two texts share a table with probability (1 - (1 - s**HALF)**M)**2,
-0.9995 at 0.75 and 0.99999 at 0.85. Every link is confirmed on the full sets.
+that would need M * M * 2 * HALF. At similarity s two texts share a table with probability (1 - (1 - s**HALF)**M)**2; M follows from
+the least similarity (10 for 0.75), so that a link of just that similarity shares one with 0.9995. Every link is confirmed on the full sets.
 
 Equal sets are one class (grouped by a 128-bit digest). In a table's bucket each class is compared with the bucket's smallest
-one, the head, and linked classes are merged. Only classes that still share a bucket with another component meet that component's members
+one, the head, and linked classes are merged. Where many classes of a head's buckets stay outside its component, a few of them are
+further heads, compared with all those of other components, and so on in rounds, so that a large group of edited copies grows
+together without meeting pair by pair. Only classes that still share a bucket with another component meet that component's members
 there, within the join's condition: a pair goes on if its sizes allow a link, its distances from the common
 head differ by no more than a link's distance (Jaccard distance is a metric), and enough minhash values agree. It
 goes on once, from the first table that its texts share. Pairs within a component are never made. Of VALUES minhash values,
-kept to four bits each, a pair must share LEAST_EQUAL, which a pair of similarity 0.75 fails with probability 2.5e-4.
+kept to four bits each, a pair must share as many as a link of the least similarity has but for LOST of all cases.
 
 Cases: texts without words have an empty set, size 0, and link with nothing. NULL ids take no part: size as usual, no
 component, kept. Rows with equal ids: all their sets count for the id. Other columns are ignored by ``near_duplicates`` and
-kept by ``without_near_duplicates``. Empty tables give empty tables.
+kept by ``without_near_duplicates``, whatever their names. Empty tables give empty tables.
 """
 
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
+from collections.abc import Callable
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterflow.llm.common import NO_ID, id_back, id_key, slices, stored, texts_of
-from meterflow.llm.components import checkpointed, components
-from meterflow.llm.shingles import WORDS, Shingler, jaccard_counts, minhashes, mixed, permutations
+from meterflow.llm.common import as_rows, slices, stored, texts_of, worker_tools
+from meterflow.llm.components import components
+from meterflow.llm.shingles import WORDS, Shingler, minhashes, mixed, permutations
 
-#: Groups in each collection, minhash values in each group.
-M, HALF = 10, 2
+#: Minhash values in each group.
+HALF = 2
 SEED = 7
 #: Odd multipliers that turn a group into one number.
 GROUP_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 #: Least similarity in hundredths.
 LEAST = 75
-#: Minhash values of a class (those beyond the tables' only sharpen the estimate) and how many of them a pair must share.
-VALUES, LEAST_EQUAL = 256, 172
+#: Minhash values of a class (those beyond the tables' only sharpen the estimate), and the share of links that each of the two estimates may miss.
+VALUES, LOST = 256, 2.6e-4
+#: Heads with more classes outside their component get further heads beside them, so many in a round, for so many rounds at most.
+FEW_OUTSIDE, HEADS, ROUNDS = 16, 6, 4
+
+
+def groups_for(least: int) -> int:
+    """Groups in each collection: a pair of the least similarity shares one of a collection's but for LOST of all cases."""
+    return max(1, min(ceil(log(LOST) / log(1 - min(least, 99) ** HALF / 100**HALF)), VALUES // (2 * HALF)))
+
+
+def least_equal(least: float, values: int = VALUES, lost: float = LOST) -> int:
+    """How many of so many minhash values two sets of the least similarity (a share) agree in, but for a share of lost."""
+    total = 0.0
+    for k in range(values + 1):
+        total += comb(values, k) * least**k * (1 - least) ** (values - k)
+        if total > lost:
+            return k
+    return values
 
 
-@lru_cache(1)
 def _tools() -> tuple[Shingler, tuple]:
-    return Shingler(WORDS), permutations(VALUES, SEED)
+    return worker_tools(("near",), lambda: (Shingler(WORDS), permutations(VALUES, SEED)))
 
 
-def _sketches(texts: DataFrame) -> DataFrame:
+def _sketches(texts: DataFrame, m: int) -> DataFrame:
     """(doc_id, n_shingles, digest of the set, minhash values) of (doc_id, text)."""
 
     def run(batches):
@@ -55,15 +74,22 @@ def _sketches(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 1_000_000):
                 hashes, counts = shingler.hashes(part.column("text"))
-                values, ends = minhashes(hashes, counts, a, b), np.cumsum(counts)
-                digests = [hashlib.blake2b(hashes[e - n : e].tobytes(), digest_size=16).digest() for e, n in zip(ends.tolist(), counts.tolist())]
-                groups = mixed(values[:, : 2 * M * HALF].reshape(-1, 2 * M, HALF).astype(np.uint64) @ GROUP_MIX).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), _lists(groups), _lists(nibbles(values))], ["doc_id", "n_shingles", "digest", "groups", "marks"])
+                values = minhashes(hashes, counts, a, b)
+                digests = set_digests(hashes, counts)
+                groups = mixed(values[:, : 2 * m * HALF].reshape(-1, 2 * m, HALF).astype(np.uint64) @ GROUP_MIX).astype(np.uint32).view(np.int32)
+                columns = [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), lists(groups), lists(nibbles(values))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "groups", "marks"])
 
     return texts.mapInArrow(run, "doc_id long, n_shingles long, digest binary, groups array<int>, marks array<long>")
 
 
-def _lists(rows: np.ndarray) -> pa.Array:
+def set_digests(hashes: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """A 128-bit digest of each sorted set; the sets lie one after another."""
+    raw, ends = memoryview(hashes.tobytes()), (np.cumsum(counts) * 8).tolist()
+    return [hashlib.blake2b(raw[e - 8 * n : e], digest_size=16).digest() for e, n in zip(ends, counts.tolist())]
+
+
+def lists(rows: np.ndarray) -> pa.Array:
     offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(rows).ravel()))
 
@@ -74,100 +100,130 @@ def nibbles(values: np.ndarray) -> np.ndarray:
     return (low << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64).view(np.int64)
 
 
-def _table_rows(classes: DataFrame) -> DataFrame:
-    """(table, key, doc): M * M rows for each class."""
-    first, second = F.slice("groups", 1, M), F.slice("groups", M + 1, M)
-    keys = F.flatten(F.transform(first, lambda x, i: F.transform(second, lambda y, j: F.struct((i * M + j).alias("table"), F.xxhash64(i * M + j, x, y).alias("key")))))
+def _table_rows(classes: DataFrame, m: int) -> DataFrame:
+    """(table, key, doc): m * m rows for each class."""
+    first, second = F.slice("groups", 1, m), F.slice("groups", m + 1, m)
+    pair = lambda x, i, y, j: F.struct((i * m + j).alias("table"), F.xxhash64(i * m + j, x, y).alias("key"))
+    keys = F.flatten(F.transform(first, lambda x, i: F.transform(second, lambda y, j: pair(x, i, y, j))))
     return classes.select("doc", F.explode(keys).alias("k")).select("k.table", "k.key", "doc")
 
 
-def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(u, v, both, either): sizes of intersection and union of the full sets. texts: (doc, text), a row for each class at least."""
+def _first_table(m: int) -> Column:
+    """The first table that u and v share: that of their first equal groups."""
+    equal = lambda start: F.array_position(F.zip_with(F.slice("groups_u", start, m), F.slice("groups_v", start, m), lambda a, b: a == b), True) - 1
+    return equal(1) * m + equal(m + 1)
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """(doc, shingles): the set of each (doc, text), as hashes."""
 
     def run(batches):
         shingler, _ = _tools()
         for batch in batches:
-            for part in slices(batch, 1_000_000, "text_u"):
-                left, right = part.column("text_u").to_pylist(), part.column("text_v").to_pylist()
-                distinct = {x: i for i, x in enumerate(dict.fromkeys(left + right))}
-                hashes, counts = shingler.hashes(list(distinct))
-                sets = np.split(hashes, np.cumsum(counts)[:-1])
-                sizes = [jaccard_counts(sets[distinct[x]], sets[distinct[y]]) for x, y in zip(left, right)]
-                yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v"), pa.array([x[0] for x in sizes], pa.int64()), pa.array([x[1] for x in sizes], pa.int64())], ["u", "v", "both", "either"])
+            for part in slices(batch, 1_000_000):
+                hashes, counts = shingler.hashes(part.column("text"))
+                ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.ListArray.from_arrays(ends, pa.array(hashes.view(np.int64)))], ["doc", "shingles"])
 
-    side = lambda s: texts.select(F.col("doc").alias(s), F.col("text").alias(f"text_{s}"))
-    return pairs.join(side("v"), "v").join(side("u"), "u").select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long, both long, either long")
+    return texts.mapInArrow(run, "doc long, shingles array<long>")
 
 
-def _may_link(least: int) -> Column:
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v, both, either): sizes of intersection and union of the full sets."""
+    side = lambda s: sets.select(F.col("doc").alias(s), F.col("shingles").alias(f"set_{s}"))
+    both = F.size(F.array_intersect("set_u", "set_v")).cast("long")
+    met = pairs.join(side("v"), "v").join(side("u"), "u").select("u", "v", both.alias("both"), (F.size("set_u") + F.size("set_v")).alias("total"))
+    return met.select("u", "v", "both", (F.col("total") - F.col("both")).alias("either"))
+
+
+def _may_link(least: int, values: int) -> Column:
     """Whether sizes and minhash values of u and v allow a link."""
-    sizes = 100 * F.least("n_u", "n_v") >= least * F.greatest("n_u", "n_v")
-    equal = F.lit(VALUES)
-    for i in range(VALUES // 16):  # a nibble that differs leaves one of its bits
+    sizes = 100 * F.least("n_shingles_u", "n_shingles_v") >= least * F.greatest("n_shingles_u", "n_shingles_v")
+    equal = F.lit(values)
+    for i in range(values // 16):  # a nibble that differs leaves one of its bits
         x = F.get("marks_u", F.lit(i)).bitwiseXOR(F.get("marks_v", F.lit(i)))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111))
         equal = equal - F.bit_count(x)
-    return sizes & (equal >= LEAST_EQUAL)
-
-
-def _first_table() -> Column:
-    """The first table that u and v share: that of their first equal groups."""
-    equal = lambda start: F.array_position(F.zip_with(F.slice("groups_u", start, M), F.slice("groups_v", start, M), lambda a, b: a == b), True) - 1
-    return equal(1) * M + equal(M + 1)
+    return sizes & (equal >= least_equal(least / 100, values))
 
 
 def _side(df: DataFrame, s: str) -> DataFrame:
-    """df as one side of pairs."""
-    return df.withColumnsRenamed({"doc": s, "n_shingles": f"n_{s}", "marks": f"marks_{s}", "groups": f"groups_{s}", "root": f"root_{s}", "far": f"far_{s}", "table": f"table_{s}", "key": f"key_{s}"})
-
-
-def near_duplicates(df: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row."""
-    texts = texts_of(df, id_col, text_col)
-    sketches = stored(_sketches(texts), "sketches")
-    real = sketches.filter((F.col("n_shingles") > 0) & (F.col("doc_id") != NO_ID))
-    # Classes of equal sets, by their smallest id.
-    classes = real.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("groups").alias("groups"), F.first("marks").alias("marks"))
-    classes = stored(classes, "classes")
-    # Table rows that share their bucket, each with the bucket's smallest class.
-    ordered = Window.partitionBy("table", "key").orderBy("doc")
-    rows = _table_rows(classes).select("table", "key", "doc", F.first("doc").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("head"), F.lag("doc").over(ordered).alias("before"), F.lead("doc").over(ordered).alias("after"))
-    shared = stored(rows.filter((F.coalesce("before", "doc") != F.col("doc")) | (F.coalesce("after", "doc") != F.col("doc"))).select("table", "key", "doc", "head"), "shared")
-    wanted = shared.select("doc").distinct()
-    held = stored(texts.withColumnRenamed("doc_id", "doc").join(wanted, "doc", "left_semi"), "texts")
-
-    sides = classes.select("doc", "n_shingles", "marks")
-    stars = shared.filter("doc <> head").select(F.col("head").alias("u"), F.col("doc").alias("v")).distinct()
-    stars = stars.join(_side(sides, "u"), "u").join(_side(sides, "v"), "v").filter(_may_link(least)).select("u", "v")
-    compared = stored(_compared(stars, held), "stars")
-    linked = 100 * F.col("both") >= least * F.col("either")
-    links = compared.filter(linked).select("u", "v")
-    roots = components(links)
+    """df as one side of pairs: doc becomes s, every other column gets its name as suffix."""
+    return df.withColumnsRenamed({c: s if c == "doc" else f"{c}_{s}" for c in df.columns})
+
+
+def linked(classes: DataFrame, rows: DataFrame, texts: DataFrame, least: int, values: int, first_table: Column) -> tuple[DataFrame, DataFrame]:
+    """Links (u, v, both, either) and (node, root) for every class that has a link.
+
+    classes: stored (doc, n_shingles, marks and what first_table needs); rows: (table, key, doc); texts: (doc, text) with a text of
+    each class at least. Two classes that share a bucket and reach the least similarity are in one component at the end.
+    """
+    buckets = rows.groupBy("table", "key").agg(F.min("doc").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    shared = stored(rows.join(buckets, ["table", "key"]), "shared")
+    held = stored(_sets(texts.join(shared.select("doc").distinct(), "doc", "left_semi")), "sets")
+    sides, may = classes.select("doc", "n_shingles", "marks"), _may_link(least, values)
+    reached = 100 * F.col("both") >= least * F.col("either")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.distinct().join(_side(sides, "u"), "u").join(_side(sides, "v"), "v").filter(may).select("u", "v")
+        return stored(_compared(wanted, held), "compared")
+
+    # A head's group: all classes that share a bucket with it where it is the smallest, each once however many buckets they share.
+    groups = stored(shared.filter("doc <> head").select("head", "doc").distinct(), "groups")
+    stars = compared(groups.select(F.col("head").alias("u"), F.col("doc").alias("v")))
+    links = stars.filter(reached)
+    roots = components(links.select("u", "v"))
+    for turn in range(ROUNDS):
+        root = lambda of, name: roots.select(F.col("node").alias(of), F.col("root").alias(name))  # noqa: B023, E731
+        at = groups.join(root("doc", "root"), "doc", "left").join(root("head", "top"), "head", "left")
+        at = at.select("head", "doc", F.coalesce("root", "doc").alias("root"), F.coalesce("top", "head").alias("top"))
+        chosen = [F.min(F.struct(F.xxhash64("doc", F.lit(turn * HEADS + i)).alias("h"), "doc", "root")) for i in range(HEADS)]
+        heads = at.filter("root <> top").groupBy("head").agg(F.count(F.lit(1)).alias("n"), F.array(*chosen).alias("further")).filter(F.col("n") > FEW_OUTSIDE)
+        heads = heads.select("head", F.explode("further").alias("h")).select("head", F.col("h.doc").alias("u"), F.col("h.root").alias("root_u")).distinct()
+        heads = stored(heads, "heads")
+        if heads.isEmpty():
+            break
+        new = compared(at.join(heads, "head").filter("root <> root_u").select("u", F.col("doc").alias("v"))).filter(reached)
+        if new.isEmpty():
+            break
+        links = links.unionByName(new)
+        roots = components(links.select("u", "v"))
 
     # Buckets with more than one component, each class with its distance from the bucket's head where it has been compared.
     at = shared.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
     several = at.groupBy("table", "key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("table", "key")
-    distances = compared.select(F.col("u").alias("head"), F.col("v").alias("doc"), (1 - F.col("both") / F.col("either")).alias("far"))
-    inside = at.join(several, ["table", "key"]).join(distances, ["head", "doc"], "left").withColumn("far", F.when(F.col("doc") == F.col("head"), 0.0).otherwise(F.col("far"))).drop("head")
-    inside = inside.join(classes.select("doc", "n_shingles", "marks", "groups"), "doc")
+    distances = stars.select(F.col("u").alias("head"), F.col("v").alias("doc"), (1 - F.col("both") / F.col("either")).alias("far"))
+    inside = at.join(several, ["table", "key"]).join(distances, ["head", "doc"], "left")
+    inside = inside.withColumn("far", F.when(F.col("doc") == F.col("head"), 0.0).otherwise(F.col("far"))).drop("head").join(classes, "doc")
     near_head = F.coalesce(F.abs(F.col("far_u") - F.col("far_v")) <= 1 - least / 100 + 1e-9, F.lit(True))
     apart = (F.col("table_u") == F.col("table_v")) & (F.col("key_u") == F.col("key_v")) & (F.col("root_u") < F.col("root_v"))
-    pairs = _side(inside, "u").join(_side(inside, "v"), apart & near_head & _may_link(least) & (_first_table() == F.col("table_u")))
-    new = checkpointed(pairs.select("u", "v"))
-    if not new.isEmpty():
-        links = links.unionByName(stored(_compared(new, held), "pairs").filter(linked).select("u", "v"))
-        roots = components(links)
+    pairs = _side(inside, "u").join(_side(inside, "v"), apart & near_head & may & (first_table == F.col("table_u")))
+    last = stored(pairs.select("u", "v"), "pairs")
+    if not last.isEmpty():
+        links = links.unionByName(stored(_compared(last, held), "compared").filter(reached))
+        roots = components(links.select("u", "v"))
+    return links, roots
+
 
+def near_duplicates(df: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row."""
+    texts, m = texts_of(df, id_col, text_col), groups_for(least)
+    sketches = stored(_sketches(texts, m), "sketches")
+    real = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    # Classes of equal sets, by their smallest id.
+    classes = real.groupBy("digest").agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("n_shingles", "groups", "marks")])
+    classes = stored(classes, "classes")
+    _, roots = linked(classes.drop("digest"), _table_rows(classes, m), texts.withColumnRenamed("doc_id", "doc"), least, VALUES, _first_table(m))
     by_class = classes.select("digest", F.col("doc").alias("node")).join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     out = sketches.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
-    component = F.when(F.col("doc_id") != NO_ID, F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id")))
-    out = out.select(id_back("doc_id").alias("doc_id"), "n_shingles", component.alias("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id")))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def without_near_duplicates(df: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that stay: of each component the smallest id."""
     found = near_duplicates(df, least, id_col, text_col)
-    gone = found.filter("NOT kept").select(F.col("doc_id").alias("_key")).distinct()
-    return df.withColumn("_key", id_key(id_col)).join(gone, "_key", "left_anti").select(*df.columns)
+    gone = found.filter("NOT kept").select(F.col("doc_id").alias("key")).distinct()
+    return as_rows(df, F.col(id_col).cast("long").alias("key")).join(gone, "key", "left_anti").select("row.*")

@@ -8,10 +8,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from meterflow.llm.common import Recent, distinct
+from meterflow.llm.common import RecentRows, distinct, strings
 
 WORDS = 5
-RECENT_WORDS = 300_000
+RECENT_WORDS = 500_000
 #: Odd multipliers that mix the words of a shingle.
 _STEP, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -27,7 +27,12 @@ class Shingler:
     """Distinct shingles of texts; keeps the hashes of recent words."""
 
     def __init__(self, words: int = WORDS):
-        self.words, self.recent = words, Recent(RECENT_WORDS)
+        self.words, self.recent = words, RecentRows(RECENT_WORDS, "<u8")
+
+    @staticmethod
+    def _hashed(words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        raw = b"".join([hashlib.blake2b(w.encode(), digest_size=8).digest() for w in words])
+        return words, np.frombuffer(raw, "<u8"), np.ones(len(words), np.int64)
 
     def hashes(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(distinct shingle hashes of all texts one after another, how many each text has).
@@ -40,10 +45,8 @@ class Shingler:
         full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)  # white space at an end leaves an empty word there
         sizes = np.diff(np.concatenate([[0], np.cumsum(full)])[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])])
         codes, words = distinct(flat.filter(pa.array(full)))
-        words = words.to_pylist()
-        for w in self.recent.missing(set(words)):
-            self.recent[w] = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-        flat = np.fromiter(map(self.recent.__getitem__, words), np.uint64, len(words))[codes]
+        rows = self.recent.rows(strings(words), self._hashed)
+        flat = self.recent.flat[rows][codes]
         counts = np.where(sizes >= k, sizes - k + 1, np.minimum(sizes, 1))
         if not len(flat):
             return np.zeros(0, np.uint64), counts
@@ -78,9 +81,3 @@ def minhashes(hashes: np.ndarray, counts: np.ndarray, a: np.ndarray, b: np.ndarr
         for j in range(len(a)):
             out[full, j] = np.minimum.reduceat(((hashes * a[j] + b[j]) >> np.uint64(32)).astype(np.uint32), starts)
     return out
-
-
-def jaccard_counts(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
-    """(size of the intersection, of the union) of two sorted sets."""
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both, len(x) + len(y) - both
