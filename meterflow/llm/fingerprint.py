@@ -6,37 +6,32 @@ values, an unbiased estimate of the shingle sets' Jaccard similarity up to colli
 bands of the signatures in Spark, verifies the similarity of the shingle sets themselves and gives every text its component.
 
 ``compare`` also edits each text: its last half is replaced by the first characters of the next document in descending
-order of id (after the last: the first). For that, documents are dealt by ranges of ids and sorted; the one neighbour
-beyond each range is dealt to it too.
+order of id (after the last: the first). For that, documents are dealt by ranges of ids, one to a task, and sorted; the one
+neighbour beyond each range is dealt to it too.
 
 Cases: NULL text is the empty text: no shingles, a fingerprint of its own, likeness 1 to other empty texts. Equal ids are
-ordered by text; NULL ids come first in descending order. Other columns are ignored; an empty table gives no rows.
+ordered by a hash of their text; NULL ids come first in descending order. Other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
-from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterflow.llm.common import id_back, partitions, slices, stored, texts_of
-from meterflow.llm.components import checkpointed, components
-from meterflow.llm.neardup import nibbles
-from meterflow.llm.shingles import Shingler, jaccard_counts, minhashes, permutations
+from meterflow.llm.common import partitions, slices, stored, texts_of, worker_tools
+from meterflow.llm.neardup import LEAST, linked, lists, nibbles, set_digests
+from meterflow.llm.shingles import Shingler, minhashes, permutations
 
 PERMUTATIONS = 128
 SEED = 11
-BANDS = 32
 
 
-@lru_cache(1)
 def _tools(n: int) -> tuple[Shingler, tuple]:
-    return Shingler(), permutations(n, SEED)
+    return worker_tools(("fingerprints", n), lambda: (Shingler(), permutations(n, SEED)))
 
 
 def signatures(texts: list[str], n: int = PERMUTATIONS) -> np.ndarray:
@@ -64,134 +59,92 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 texts = part.column("text").to_pylist()
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in texts], pa.int64()), pa.array([x.tobytes().hex() for x in signatures(texts)])], ["doc_id", "n_chars", "fingerprint"])
 
-    return texts_of(df, id_col, text_col).mapInArrow(run, "doc_id long, n_chars long, fingerprint string").select(id_back("doc_id").alias(id_col), "n_chars", "fingerprint")
-
-
-def _least_equal(least: float, n: int = PERMUTATIONS, lost: float = 1e-6) -> int:
-    """How many of n minhash values two sets of the least similarity share, but for a share of lost."""
-    total = 0.0
-    for k in range(n + 1):
-        total += comb(n, k) * least**k * (1 - least) ** (n - k)
-        if total > lost:
-            return k
-    return n
-
-
-def _equal(u: str, v: str) -> Column:
-    """How many of the minhash values, kept to four bits, are equal."""
-    equal = F.lit(PERMUTATIONS)
-    for i in range(PERMUTATIONS // 16):  # a nibble that differs leaves one of its bits
-        x = F.get(u, F.lit(i)).bitwiseXOR(F.get(v, F.lit(i)))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111))
-        equal = equal - F.bit_count(x)
-    return equal
+    return texts_of(df, id_col, text_col).mapInArrow(run, "doc_id long, n_chars long, fingerprint string").select(F.col("doc_id").alias(id_col), "n_chars", "fingerprint")
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
-    """(doc_id, text, n_shingles, digest of the set, fingerprint, minhash values kept to four bits) of (doc_id, text)."""
+    """(doc_id, n_shingles, digest of the set, fingerprint, minhash values kept to four bits) of (doc_id, text)."""
 
     def run(batches):
         shingler, (a, b) = _tools(PERMUTATIONS)
         for batch in batches:
             for part in slices(batch, 1_000_000):
                 hashes, counts = shingler.hashes(part.column("text"))
-                values, ends = minhashes(hashes, counts, a, b) & np.uint32(0xFFFF), np.cumsum(counts)
-                digests = [hashlib.blake2b(hashes[e - n : e].tobytes(), digest_size=16).hexdigest() for e, n in zip(ends.tolist(), counts.tolist())]
-                marks = pa.array(list(nibbles(values)), pa.list_(pa.int64()))
-                columns = [part.column("doc_id"), part.column("text"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array([x.tobytes().hex() for x in values.astype(">u2")], pa.string()), marks]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "n_shingles", "digest", "fingerprint", "marks"])
-
-    return texts.mapInArrow(run, "doc_id long, text string, n_shingles long, digest string, fingerprint string, marks array<long>")
-
+                values = minhashes(hashes, counts, a, b) & np.uint32(0xFFFF)
+                fingerprints = pa.array([x.tobytes().hex() for x in values.astype(">u2")], pa.string())
+                columns = [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(set_digests(hashes, counts), pa.binary()), fingerprints, lists(nibbles(values))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "fingerprint", "marks"])
 
-def _compared(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """(u, v, intersection, union) of the full sets of pairs of classes."""
+    return texts.mapInArrow(run, "doc_id long, n_shingles long, digest binary, fingerprint string, marks array<long>")
 
-    def run(batches):
-        shingler, _ = _tools(PERMUTATIONS)
-        for batch in batches:
-            for part in slices(batch, 1_000_000, "text_u"):
-                n = part.num_rows
-                hashes, counts = shingler.hashes(part.column("text_u").to_pylist() + part.column("text_v").to_pylist())
-                sets = np.split(hashes, np.cumsum(counts)[:-1])
-                both = [jaccard_counts(sets[i], sets[n + i]) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v"), pa.array([x[0] for x in both], pa.int64()), pa.array([x[1] for x in both], pa.int64())], ["u", "v", "intersection", "union"])
-
-    side = lambda s: held.select(F.col("digest").alias(s), F.col("text").alias(f"text_{s}"))
-    return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(run, "u string, v string, intersection long, union long")
 
-
-def near_duplicates(df: DataFrame, least: float = 0.75, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def near_duplicates(df: DataFrame, least: int = LEAST, bands: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Links (a, b, intersection, union) and members (id, class_id, component_id).
 
-    A class is the texts of one shingle set, by its smallest id. Within a band's bucket each class is compared with the smallest one; then,
-    where a bucket still has more than one component, the classes of different components with each other, if their sizes, their
-    distances from the bucket's smallest class (Jaccard distance is a metric) and their minhash values allow a link. So two classes that
-    share a band and reach the least similarity are in one component, linked to each other or through others; only such pairs
-    as are in one component already are not compared. The minhash values rule out one link of the least similarity in a million."""
-    sketches = stored(_sketches(texts_of(df, id_col, text_col)), "sketches")
-    real = sketches.filter("n_shingles > 0")
-    classes = stored(real.groupBy("digest").agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("n_shingles", "fingerprint", "marks")]), "classes")
+    A class is the texts of one shingle set, by its smallest id. The signature's bands are the tables of ``neardup.linked``, which
+    verifies candidates on the full sets, so two classes that share a band and reach the least similarity (in hundredths) are
+    in one component, linked to each other or through others; only pairs that are in one component already are not compared.
+    NULL ids take no part in classes and links; such a row gets the class of its set, if a row with an id has made one. bands: as many as a link of the least similarity needs, if not given.
+    """
+    bands = bands or bands_for(least)
+    texts = texts_of(df, id_col, text_col)
+    sketches = stored(_sketches(texts), "sketches")
+    real = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     width = PERMUTATIONS * 4 // bands
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.substring("fingerprint", i * width + 1, F.lit(width)))
-    sides = classes.select("digest", "doc", "n_shingles", "marks", keys.alias("keys"))
-    keyed = sides.select("digest", "doc", F.posexplode("keys").alias("band", "key"))
-    buckets = keyed.groupBy("band", "key").agg(F.min(F.struct("doc", "digest")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = stored(keyed.join(buckets.select("band", "key", F.col("least.digest").alias("head")), ["band", "key"]).drop("doc"), "shared")
-    held = stored(real.select("digest", "text").join(shared.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"]), "texts")
-    compared = stored(_compared(shared.filter("digest <> head").select(F.col("head").alias("u"), F.col("digest").alias("v")).distinct(), held), "stars")
-    linked = F.col("intersection") >= F.lit(least) * F.col("union")
-    links = compared.filter(linked)
-    roots = components(links.select("u", "v"))
-
-    at = shared.join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    several = at.groupBy("band", "key").agg(F.min("root").alias("first"), F.max("root").alias("last")).filter("first < last").select("band", "key")
-    distances = compared.select(F.col("u").alias("head"), F.col("v").alias("digest"), (1 - F.col("intersection") / F.col("union")).alias("far"))
-    inside = at.join(several, ["band", "key"]).join(distances, ["head", "digest"], "left").withColumn("far", F.coalesce("far", F.lit(0.0))).drop("head")
-    inside = inside.join(sides.drop("doc"), "digest")
-    one, two = (inside.withColumnRenamed("digest", s).withColumnsRenamed({c: f"{c}_{s}" for c in ("band", "key", "root", "far", "n_shingles", "marks", "keys")}) for s in "uv")
-    apart = (F.col("band_u") == F.col("band_v")) & (F.col("key_u") == F.col("key_v")) & (F.col("root_u") < F.col("root_v"))
-    sizes = F.least("n_shingles_u", "n_shingles_v") + 1e-9 >= F.lit(least) * F.greatest("n_shingles_u", "n_shingles_v")
-    near_head = F.abs(F.col("far_u") - F.col("far_v")) <= 1 - least + 1e-9
-    first_band = F.array_position(F.zip_with("keys_u", "keys_v", lambda x, y: x == y), True) - 1 == F.col("band_u")
-    new = checkpointed(one.join(two, apart & sizes & near_head & (_equal("marks_u", "marks_v") >= _least_equal(least)) & first_band).select("u", "v"))
-    if not new.isEmpty():
-        links = links.unionByName(stored(_compared(new, held), "pairs").filter(linked))
-        roots = components(links.select("u", "v"))
-
-    of = lambda s, name: classes.select(F.col("digest").alias(s), F.col("doc").alias(name))
-    named = links.join(of("u", "x"), "u").join(of("v", "y"), "v").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "intersection", "union")
-    rooted = classes.select("digest", "doc").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    tops = rooted.groupBy("root").agg(F.min("doc").alias("top"))
-    members = sketches.select("doc_id", "digest", "n_shingles").join(rooted.join(tops, "root").select("digest", "doc", "top"), "digest", "left")
-    own = lambda c: F.when(F.col("n_shingles") > 0, id_back(c)).otherwise(id_back("doc_id"))
-    return named.select(id_back("x").alias("a"), id_back("y").alias("b"), "intersection", "union"), members.select(id_back("doc_id").alias(id_col), own("doc").alias("class_id"), own("top").alias("component_id"))
-
-
-def near_pairs(df: DataFrame, least: float = 0.75, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    classes = real.groupBy("digest").agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("n_shingles", "fingerprint", "marks")])
+    classes = stored(classes.withColumn("keys", keys).drop("fingerprint"), "classes")
+    rows = classes.select("doc", F.posexplode("keys").alias("table", "key"))
+    first_band = F.array_position(F.zip_with("keys_u", "keys_v", lambda x, y: x == y), True) - 1
+    links, roots = linked(classes.drop("digest"), rows, texts.withColumnRenamed("doc_id", "doc"), least, PERMUTATIONS, first_band)
+    by_class = classes.select("digest", "doc").join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("digest", "doc", F.coalesce("root", "doc").alias("root"))
+    members = sketches.select("doc_id", "digest", "n_shingles").join(by_class, "digest", "left")
+    own = lambda c: F.when(F.col("n_shingles") > 0, F.col(c)).otherwise(F.col("doc_id"))
+    named = links.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), F.col("both").alias("intersection"), F.col("either").alias("union")).distinct()
+    return named, members.select(F.col("doc_id").alias(id_col), own("doc").alias("class_id"), own("root").alias("component_id"))
+
+
+def bands_for(least: int, lost: float = 1e-4) -> int:
+    """The fewest bands (a power of two) of which a pair of the least similarity shares one, but for a share of lost."""
+    bands = 1
+    while bands < PERMUTATIONS and (1 - (least / 100) ** (PERMUTATIONS // bands)) ** bands > lost:
+        bands *= 2
+    return bands
+
+
+def near_pairs(df: DataFrame, least: int = LEAST, bands: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The links of ``near_duplicates``: (a, b, intersection, union)."""
     return near_duplicates(df, least, bands, id_col, text_col)[0]
 
 
+#: Rows of the sample from which the bounds of a range are told.
+SAMPLED = 200
+
+
 def _with_neighbours(texts: DataFrame, tasks: int) -> DataFrame:
-    """(part, own, doc_id, text): each document in its range of ids, and for each range the document after its last in descending order."""
-    ids = texts.select("doc_id")
-    bounds = sorted(set(ids.agg(F.percentile_approx("doc_id", [i / tasks for i in range(1, tasks)], 10_000).alias("b")).first()["b"] or []))
-    part = F.lit(0)
-    if bounds:
-        part = F.coalesce(F.array_size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("doc_id"))), F.lit(0))
-    with_part = texts.withColumn("part", part)
-    # The largest id of each range that has rows, to be dealt to the next such range too; the largest of all goes to the first.
-    tops = [(r["part"], r["top"]) for r in with_part.groupBy("part").agg(F.max("doc_id").alias("top")).orderBy("part").collect()]
-    goes = {top: tops[(i + 1) % len(tops)][0] for i, (_, top) in enumerate(tops)}
-    if not goes:
-        return with_part.select("part", F.lit(True).alias("own"), "doc_id", "text")
-    moves = F.broadcast(texts.sparkSession.createDataFrame(list(goes.items()), "doc_id long, to int"))  # a row for each range
-    mark = lambda where, own: F.struct(where.cast("int").alias("part"), F.lit(own).alias("own"))
-    own = mark(F.col("part"), True)
-    targets = F.when(F.col("to").isNotNull(), F.array(own, mark(F.col("to"), False))).otherwise(F.array(own))
-    return with_part.join(moves, "doc_id", "left").select(F.explode(targets).alias("t"), "doc_id", "text").select("t.part", "t.own", "doc_id", "text")
+    """(part, own, none, doc_id, mark, text): each document in its range of the order, and for each range the document after its last.
+
+    The order: NULL ids first, then falling ids, rows of equal ids by a hash of their text. The ranges' bounds come from a sample
+    (SAMPLED rows a range) like those of any range partitioning; only they, and each range's first row without its text, visit the driver.
+    """
+    spark = texts.sparkSession
+    keyed = texts.select(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("mark"), "text")
+    place = F.struct("none", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "mark")
+    n = keyed.count()
+    if not n:
+        return keyed.select(F.lit(0).alias("part"), F.lit(True).alias("own"), *keyed.columns)
+    sample = sorted(tuple(r["p"]) for r in keyed.sample(min(1.0, SAMPLED * tasks / n), seed=SEED).select(place.alias("p")).collect())
+    bounds = sorted({sample[len(sample) * i // tasks] for i in range(1, tasks)}) if sample else []
+    literal = lambda b: F.struct(F.lit(b[0]).alias("none"), F.lit(b[1]).cast("long").alias("doc_id"), F.lit(b[2]).cast("long").alias("mark"))
+    part = F.array_size(F.filter(F.array(*map(literal, bounds)), lambda b: b < place)) if bounds else F.lit(0)
+    own = keyed.select(part.alias("part"), F.lit(True).alias("own"), *keyed.columns)
+    # The first row of each range that has rows, to follow the last one of the next higher such range; the first of all follows the last.
+    tops = [(r["part"], *r["top"]) for r in own.groupBy("part").agg(F.max(place).alias("top")).orderBy("part").collect()]
+    goes = [(tops[(i + 1) % len(tops)][0], *top[1:]) for i, top in enumerate(tops)]
+    moves = F.broadcast(spark.createDataFrame(goes, "to int, to_none boolean, to_id long, to_mark long"))  # a row for each range
+    same = (F.col("none") == F.col("to_none")) & (F.coalesce("doc_id", F.lit(0)) == F.col("to_id")) & (F.col("mark") == F.col("to_mark"))
+    beyond = keyed.join(moves, same).groupBy("to").agg(*[F.first(c).alias(c) for c in keyed.columns])
+    return own.unionByName(beyond.select(F.col("to").alias("part"), F.lit(False).alias("own"), *keyed.columns))
 
 
 def compare(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,7 +181,7 @@ def compare(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         if ready:
             yield out(ready)
 
-    # Within a range in descending order; the neighbour from the range before (for the first range: the last) comes after all own rows.
-    ordered = dealt.repartition(tasks, "part").sortWithinPartitions("part", F.desc("own"), F.desc("doc_id"), F.desc("text"))
+    # A range is a task, in descending order; the neighbour from the range below (for the lowest range: the highest) comes after all own rows.
+    ordered = dealt.repartitionById(tasks, F.col("part")).sortWithinPartitions(*map(F.desc, ("own", "none", "doc_id", "mark", "text")))
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return ordered.mapInArrow(run, schema).withColumn("doc_id", id_back("doc_id"))
+    return ordered.mapInArrow(run, schema)

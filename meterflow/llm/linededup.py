@@ -1,36 +1,44 @@
 """Line deduplication with levelled sorted runs of line hashes.
 
 Documents come in batches of ascending id. A run is a table of line hashes, bucketed and sorted by hash, with the document that
-owns each. A batch's hashes (one row for each, with its smallest document) are anti-joined with every run, bucket by
-bucket without moving the runs; what is left is owned by the batch and becomes a run of level 0. When a level has FANOUT runs
-they are compacted into one run of the next level, so a batch meets few runs however many came before. At the end every
+owns each. A batch's hashes (one row for each, with its smallest document) are merge-anti-joined with every run, bucket by
+bucket without moving or sorting the runs; what is left is owned by the batch and becomes a run of level 0. When a level has FANOUT
+runs they are merged into one run of the next level, so a batch meets few runs however many came before. At the end every
 document gets the hashes it owns and keeps just those lines, whose number is bounded by the document's own lines: a line
-that a third of all documents share is owned by one of them.
+that a third of all documents share is owned by one of them. Runs in a folder of their own outlive the call: a batch of another
+day is deduplicated against them, and adds its own.
 
 A line's key: the line without ``[\\x20\\x09-\\x0D]`` at both ends, A-Z in lower case. Keys shorter than MIN_CHARS code
 points always stay. A key's hash has 128 bits.
 
-Cases: NULL or empty text is one empty line. Rows with the same id count as one document (so do all rows with NULL
-id, which comes last). Extra columns are ignored by ``dedup_lines`` and kept by ``dedup_texts``. Empty tables give empty tables.
+Cases: NULL or empty text is one empty line. A document is an id and a text (by a 64-bit hash): rows alike in both count as
+one, rows of one id with other texts are documents of their own in the order of that hash, and so are rows of NULL id, which
+come last. Extra columns are ignored by ``dedup_lines`` and kept by ``dedup_texts``, whatever their names. Empty tables give
+empty tables.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import uuid
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterflow.llm.common import NO_ID, dropped, id_back, id_key, partitions, scratch, texts_of
+from meterflow.llm.common import as_rows, dropped, listed, partitions, scratch, slices, worker_tools
 
 SPACE = " \t\n\x0b\x0c\r"
 MIN_CHARS = 10
 BATCHES = 4
 FANOUT = 3
 _HASH = struct.Struct("<qq")
+RUN_COLUMNS = ["hi", "lo", "doc", "part"]
 
 
 def line_hash(line: str, min_chars: int = MIN_CHARS) -> bytes | None:
@@ -44,34 +52,71 @@ def halves(h: bytes) -> tuple[int, int]:
 
 
 class Runs:
-    """Runs of line hashes by level, as bucketed tables in the shared folder."""
+    """Runs of line hashes by level, as bucketed tables in a folder; each run's name tells its level and number of buckets.
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout, self.buckets = spark, fanout, partitions(spark)
-        self.path, self.name, self.made = scratch(spark, "runs"), f"runs_{uuid.uuid4().hex}", 0
-        self.levels: list[list[str]] = [[]]
+    Spark's setting for the order of bucketed scans is on while a run is read: a run has one file a bucket, so that its order holds.
+    """
 
-    def add(self, lines: DataFrame) -> None:
-        """Anti-join a batch of (doc, hi, lo) with the runs and add what it owns as a new run."""
-        own = lines.groupBy("hi", "lo").agg(F.min("doc").alias("doc"))
-        for run in self.tables():
-            own = own.join(self.spark.table(run).select("hi", "lo"), ["hi", "lo"], "left_anti")
-        self._put(0, own)
-
-    def _put(self, level: int, rows: DataFrame) -> None:
-        name = f"{self.name}_{self.made}"
-        self.made += 1
-        dealt = rows.repartition(self.buckets, "hi", "lo")
-        dealt.write.bucketBy(self.buckets, "hi", "lo").sortBy("hi", "lo").option("path", f"{self.path}/{name}").saveAsTable(name)
-        if level == len(self.levels):
+    ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    NAME = re.compile(r"run_([0-9]+)_([0-9]+)_[0-9a-f]{32}$")
+
+    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT):
+        self.spark, self.fanout, self.levels = spark, fanout, [[]]
+        self.path = path or scratch(spark, "runs")
+        for name in listed(spark, self.path):
+            if m := self.NAME.search(name):
+                self._register(name, int(m[2]))
+                self._of(int(m[1])).append(name)
+
+    def _of(self, level: int) -> list[str]:
+        while level >= len(self.levels):
             self.levels.append([])
-        self.levels[level].append(name)
-        if len(self.levels[level]) >= self.fanout:
-            old, self.levels[level] = self.levels[level], []
-            self._put(level + 1, self.rows(old))
+        return self.levels[level]
+
+    def _register(self, name: str, buckets: int) -> None:
+        columns = ", ".join(f"{c} BIGINT" for c in RUN_COLUMNS)
+        layout = f"USING parquet CLUSTERED BY (hi, lo) SORTED BY (hi, lo) INTO {buckets} BUCKETS LOCATION '{self.path}/{name}'"
+        self.spark.sql(f"CREATE TABLE {name} ({columns}) {layout}")
+
+    @contextmanager
+    def _in_order(self):
+        before = self.spark.conf.get(self.ORDERED, "false")
+        self.spark.conf.set(self.ORDERED, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(self.ORDERED, before)
+
+    def add(self, lines: DataFrame) -> None:
+        """Anti-join a batch of (hi, lo, doc, part) with the runs and add what it owns as a new run."""
+        first = F.struct(F.col("doc").isNull().alias("none"), "doc", "part")  # NULL ids come last
+        with self._in_order():
+            own = lines.groupBy("hi", "lo").agg(F.min(first).alias("owner"))
+            for run in self.tables():
+                own = own.join(self.spark.table(run).select("hi", "lo").hint("merge"), ["hi", "lo"], "left_anti")
+            buckets = partitions(self.spark)
+            self._put(0, own.select("hi", "lo", "owner.doc", "owner.part").repartition(buckets, "hi", "lo"), buckets)
+
+    def _put(self, level: int, rows: DataFrame, buckets: int) -> None:
+        name = f"run_{level}_{buckets}_{uuid.uuid4().hex}"
+        rows.write.bucketBy(buckets, "hi", "lo").sortBy("hi", "lo").option("path", f"{self.path}/{name}").saveAsTable(name)
+        at = self._of(level)
+        at.append(name)
+        if len(at) >= self.fanout:
+            old, self.levels[level] = at, []
+            self._put(level + 1, self._merged(old), buckets)
             for x in old:
                 self._drop(x)
 
+    def _merged(self, names: list[str]) -> DataFrame:
+        """Runs of disjoint hashes as one: full merge joins, bucket by bucket, so nothing is shuffled or sorted."""
+        first, *others = (self.spark.table(x) for x in names)
+        for other in others:
+            other = other.withColumnsRenamed({"doc": "doc_2", "part": "part_2"}).withColumn("here", F.lit(True)).hint("merge")
+            pick = lambda c: F.when(F.col("here"), F.col(f"{c}_2")).otherwise(F.col(c)).alias(c)
+            first = first.join(other, ["hi", "lo"], "full").select("hi", "lo", pick("doc"), pick("part"))
+        return first
+
     def _drop(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         dropped(self.spark, f"{self.path}/{name}")
@@ -79,54 +124,48 @@ class Runs:
     def tables(self) -> list[str]:
         return [x for level in self.levels for x in level]
 
-    def rows(self, names: list[str] | None = None) -> DataFrame:
-        """(hi, lo, doc) of the given runs, or of all."""
-        out = None
-        for x in self.tables() if names is None else names:
-            out = self.spark.table(x) if out is None else out.unionByName(self.spark.table(x))
-        return out
-
-    def forget(self) -> None:
-        """Take the tables out of the catalog; their files stay for readers."""
+    def close(self) -> DataFrame | None:
+        """Take the tables out of the catalog; their files stay. Gives all rows (hi, lo, doc, part)."""
+        files = [f"{self.path}/{x}" for x in self.tables()]
         for x in self.tables():
             self.spark.sql(f"DROP TABLE IF EXISTS {x}")
+        schema = ", ".join(f"{c} long" for c in RUN_COLUMNS)
+        return self.spark.read.schema(schema).parquet(*files)
 
 
 def hashed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc, hi, lo) for each distinct key of each row of (doc_id, text)."""
+    """(hi, lo, doc, part) for each distinct key of each row of (doc, part, text)."""
 
     def run(batches):
+        worker_tools(("lines",), lambda: None)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids, his, los = [], [], []
-                for d, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+            for piece in slices(batch, 4_000_000):
+                docs, parts, his, los = [], [], [], []
+                for d, k, text in zip(*(piece.column(c).to_pylist() for c in ("doc", "part", "text"))):
                     for h in {h for x in text.split("\n") if (h := line_hash(x, min_chars))}:
                         hi, lo = halves(h)
-                        ids.append(d), his.append(hi), los.append(lo)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, his, los)], ["doc", "hi", "lo"])
+                        docs.append(d), parts.append(k), his.append(hi), los.append(lo)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (his, los, docs, parts)], RUN_COLUMNS)
 
-    return docs.mapInArrow(run, "doc long, hi long, lo long")
+    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in RUN_COLUMNS))
 
 
-def _owned(docs: DataFrame, batches: int, min_chars: int) -> DataFrame:
-    """(doc, owned array<struct<hi, lo>>) of (doc_id, text)."""
+def _owned(docs: DataFrame, batches: int, min_chars: int, folder: str | None) -> DataFrame:
+    """(doc, part, owned array<struct<hi, lo>>) of (doc, part, text)."""
     spark = docs.sparkSession
-    bounds = docs.select("doc_id").filter(F.col("doc_id") != NO_ID).agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000).alias("b")).first()["b"] or []
+    shares = [i / batches for i in range(1, batches)]
+    bounds = docs.select("doc").agg(F.percentile_approx("doc", shares, 10_000).alias("b")).first()["b"] or []
     staged, batch = scratch(spark, "lines"), F.lit(0)
     for b in sorted(set(bounds)):
-        batch = batch + (F.col("doc") > b).cast("int")
+        batch = batch + F.coalesce((F.col("doc") > b).cast("int"), F.lit(1))
     lines = hashed_lines(docs, min_chars).withColumn("batch", batch)
     lines.write.partitionBy("batch").parquet(staged)
-    read = spark.read.schema("doc long, hi long, lo long, batch int").parquet(staged)
-    runs = Runs(spark)
+    read = spark.read.schema(", ".join(f"{c} long" for c in RUN_COLUMNS) + ", batch int").parquet(staged)
+    runs = Runs(spark, folder)
     for b in range(len(set(bounds)) + 1):
-        runs.add(read.filter(F.col("batch") == b).select("doc", "hi", "lo"))
+        runs.add(read.filter(F.col("batch") == b).select(*RUN_COLUMNS))
     dropped(spark, staged)
-    files = [f"{runs.path}/{x}" for x in runs.tables()]
-    runs.forget()
-    rows = spark.read.schema("hi long, lo long, doc long").parquet(*files)
-    return rows.groupBy("doc").agg(F.collect_list(F.struct("hi", "lo")).alias("owned"))
+    return runs.close().groupBy("doc", "part").agg(F.collect_list(F.struct("hi", "lo")).alias("owned"))
 
 
 def _kept(text: str, owned: set, min_chars: int) -> tuple[int, int, str]:
@@ -137,43 +176,46 @@ def _kept(text: str, owned: set, min_chars: int) -> tuple[int, int, str]:
 
 def _owned_sets(column: pa.Array):
     """The set of hashes of each row."""
-    for row in column:
-        yield set() if not row.is_valid else {_HASH.pack(x["hi"], x["lo"]) for x in row.as_py()}
+    flat = column.flatten()
+    hashes = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in ("hi", "lo")], 1).astype("<i8").tobytes()
+    each, at = [hashes[i : i + _HASH.size] for i in range(0, len(hashes), _HASH.size)], 0
+    for n in pc.list_value_length(column).to_pylist():
+        yield set(each[at : at + (n or 0)])
+        at += n or 0
 
 
-def _rebuilt(df: DataFrame, batches: int, min_chars: int, schema: str, make) -> DataFrame:
-    """df has _doc, _text and others; make gets a batch and its rows' (n_lines, n_dropped, text)."""
-    owned = _owned(df.select(F.col("_doc").alias("doc_id"), F.col("_text").alias("text")), batches, min_chars)
-    joined = df.join(owned.select(F.col("doc").alias("_doc"), F.col("owned").alias("_owned")), "_doc", "left")
+def _document(text_col: str, id_col: str) -> list[Column]:
+    """The document of a row: its id and a hash of its text; and the text."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return [F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("part"), text.alias("text")]
 
-    def run(rows):
-        for batch in rows:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                done = [_kept(t, o, min_chars) for t, o in zip(part.column("_text").to_pylist(), _owned_sets(part.column("_owned")))]
-                yield make(part, done)
 
-    return joined.mapInArrow(run, schema)
+def _kept_texts(rows: DataFrame, carried: list[str], batches: int, min_chars: int, folder: str | None) -> DataFrame:
+    """carried columns, n_lines, n_dropped and the lines that stay, of (doc, part, text and carried)."""
+    owned = _owned(rows.select("doc", "part", "text"), batches, min_chars, folder)
+    mine = owned.withColumnsRenamed({"doc": "doc_2", "part": "part_2"})
+    joined = rows.join(mine, F.col("doc").eqNullSafe(F.col("doc_2")) & (F.col("part") == F.col("part_2")), "left").select(*carried, "text", "owned")
 
+    def run(batches):
+        for batch in batches:
+            for piece in slices(batch, 4_000_000):
+                done = [_kept(t, o, min_chars) for t, o in zip(piece.column("text").to_pylist(), _owned_sets(piece.column("owned")))]
+                columns = [pa.array([x[i] for x in done], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in carried), *columns], [*carried, "n_lines", "n_dropped", "text"])
 
-def dedup_lines(df: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_lines, n_dropped, text) for each row."""
+    schema = rows.select(*carried).schema.add("n_lines", "long").add("n_dropped", "long").add("text", "string")
+    return joined.mapInArrow(run, schema)
 
-    def make(part, done):
-        return pa.RecordBatch.from_arrays([part.column("_doc"), pa.array([x[0] for x in done], pa.int64()), pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done])], ["doc_id", "n_lines", "n_dropped", "text"])
 
-    rows = texts_of(df, id_col, text_col).toDF("_doc", "_text")
-    return _rebuilt(rows, batches, min_chars, "doc_id long, n_lines long, n_dropped long, text string", make).withColumn("doc_id", id_back("doc_id"))
+def dedup_lines(df: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
+    """(doc_id, n_lines, n_dropped, text) for each row. folder: where runs of earlier calls are and this call's stay."""
+    rows = df.select(*_document(text_col, id_col))
+    return _kept_texts(rows, ["doc"], batches, min_chars, folder).withColumnRenamed("doc", "doc_id")
 
 
-def dedup_texts(df: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_texts(df: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
     """df with each text replaced by its lines that stay; a NULL text stays NULL."""
-    names = df.columns
-    rows = df.withColumns({"_doc": id_key(id_col), "_text": F.coalesce(F.col(text_col), F.lit(""))})
-
-    def make(part, done):
-        was = part.column(text_col)
-        texts = pa.array([x[2] if v else None for x, v in zip(done, was.is_valid().to_pylist())], pa.string())
-        return pa.RecordBatch.from_arrays([texts if n == text_col else part.column(n) for n in names], names)
-
-    return _rebuilt(rows, batches, min_chars, df.schema, make)
+    rows = as_rows(df, *_document(text_col, id_col))
+    made = _kept_texts(rows, ["row"], batches, min_chars, folder)
+    clean = F.when(F.col("row").getField(text_col).isNotNull(), F.col("text"))
+    return made.select(*[clean.alias(n) if n == text_col else F.col("row").getField(n).alias(n) for n in df.columns])

@@ -1,7 +1,7 @@
 """Best-fit packing of tokenised documents into sequences of fixed capacity.
 
 Each document is tokenised in the worker that reads it and ends with an end id; longer documents are cut into
-capacity-long pieces. Only piece sizes move: they are dealt by document id over as many tasks as their number asks for, and
+capacity-long pieces. Only piece sizes move: they are dealt evenly over as many tasks as their number asks for, and
 each task packs its pieces by bounded-space best fit: a fixed number of open bins, a bitset with
 a bit for each free space of which a bin is open (the best fit is the lowest set bit at or above the length), and
 when all bins are open the fullest one closes. Pieces come in lots of as many as bins may be open, in the order of a hash,
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterflow.llm import wordtok
-from meterflow.llm.common import id_back, partitions, stored, texts_of
+from meterflow.llm.common import partitions, stored, texts_of
 
 CAPACITY = 2048
 #: Bins open at a time in a task.
@@ -89,7 +89,7 @@ def lots(batches: Iterable[pa.RecordBatch], size: int) -> Iterable[pa.RecordBatc
 
 
 def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """(doc_id key, piece, start, length, ids_crc32[, ids]) of every document."""
+    """(doc_id, piece, start, length, ids_crc32[, ids]) of every document."""
 
     def run(batches):
         end = np.array([end_id], "<u4").tobytes()
@@ -123,7 +123,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([first + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())], [*batch.schema.names, "sequence_id", "offset"])
 
     known = [c for c, t in pieces.dtypes if not t.startswith("array")]
-    dealt = pieces.repartition(tasks, F.xxhash64("doc_id", "piece")).sortWithinPartitions(F.xxhash64(*known), *known)
+    dealt = pieces.repartition(tasks).sortWithinPartitions(F.xxhash64(*known), *known)
     schema = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes)
     return dealt.mapInArrow(run, f"{schema}, sequence_id long, offset long")
 
@@ -131,4 +131,4 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
 def pack_documents(df: DataFrame, path: str, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Every document's pieces and their places. The sizes are stored once, as their number decides how many tasks pack."""
     made = pieces(df, path, capacity, end_id, id_col, text_col, with_ids)
-    return pack(stored(made, "pieces"), capacity, open_bins).withColumn("doc_id", id_back("doc_id"))
+    return pack(stored(made, "pieces"), capacity, open_bins)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterflow.llm.common import NO_ID, id_back, slices, texts_of
+from meterflow.llm.common import slices, texts_of, worker_tools
 
 MOST_POSITIVES, MOST_UNLABELLED, MOST_CALIBRATION = 4000, 8000, 4000
 THRESHOLD = 0.3
@@ -170,7 +170,7 @@ def score(df: DataFrame, model: Model | float, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores(model, part.column("text").to_pylist()))], ["doc_id", "score"])
 
     rows = texts_of(df, id_col, text_col).mapInArrow(run, "doc_id long, score double")
-    return rows.select(id_back("doc_id").alias("doc_id"), F.when(F.col("doc_id") == NO_ID, False).otherwise(held_out()).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def scores(model: Model | float, texts: list[str]) -> np.ndarray:
@@ -181,8 +181,10 @@ def kept(df: DataFrame, model: Model | float, text_col: str = "text", threshold:
     """The rows of df, whole, whose text the model accepts."""
 
     def run(batches):
+        worker_tools(("quality",), lambda: None)
         for batch in batches:
-            texts = [x or "" for x in batch.column(text_col).to_pylist()]
-            yield batch.filter(pa.array(scores(model, texts) >= threshold))
+            for part in slices(batch, column=text_col):
+                texts = [x or "" for x in part.column(text_col).to_pylist()]
+                yield part.filter(pa.array(scores(model, texts) >= threshold))
 
     return df.mapInArrow(run, df.schema)

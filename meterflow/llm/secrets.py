@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterflow.llm.common import id_back, texts_of
+from meterflow.llm.common import as_rows, texts_of
 
 #: Kinds and their patterns, in the order of listing.
 KINDS = ["assign", "access", "hex", "random"]
@@ -136,16 +136,16 @@ def scan(df: DataFrame, model: list[float] | None = None, id_col: str = "doc_id"
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of each row. A model that is not given is trained on df."""
     rows = _scanned(texts_of(df, id_col, text_col).toDF("_id", "_text"), model)
     size = lambda c: F.size(c).cast("long").alias("n" + c)
-    return rows.select(id_back("_id").alias("doc_id"), size("_assign"), size("_access"), size("_hex"), F.sha2(_listed("_base"), 256).alias("base_sha256"), _listed("_spans").alias("spans"))
+    return rows.select(F.col("_id").alias("doc_id"), size("_assign"), size("_access"), size("_hex"), F.sha2(_listed("_base"), 256).alias("base_sha256"), _listed("_spans").alias("spans"))
 
 
 def redact(df: DataFrame, model: list[float] | None = None, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """df with every span of a text replaced by the mark, overlapping spans by one; a NULL text stays NULL."""
-    names = df.columns
-    rows = _scanned(df.withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))), model)
+    rows = _scanned(as_rows(df, F.coalesce(F.col(text_col), F.lit("")).alias("_text")), model)
     before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.array_max(F.transform(F.slice("_spans", F.lit(1), i), lambda s: s["end"])))
     piece = lambda s, i: F.when(s["start"] >= before(i), F.concat(F.substring("_text", before(i) + 1, s["start"] - before(i)), F.lit(mark))).otherwise(F.lit(""))
     count = F.size("_spans")
     clean = F.concat(F.array_join(F.transform("_spans", piece), ""), F.substring(F.col("_text"), before(count) + 1, F.length("_text")))
-    out = rows.withColumn("_clean", F.when(count > 0, clean).otherwise(F.col(text_col)))
-    return out.select(*[F.col("_clean").alias(n) if n == text_col else F.col(n) for n in names])
+    was = F.col("row").getField(text_col)
+    out = rows.withColumn("_clean", F.when(count > 0, clean).otherwise(was))
+    return out.select(*[F.col("_clean").alias(n) if n == text_col else F.col("row").getField(n).alias(n) for n in df.columns])

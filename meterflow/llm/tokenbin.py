@@ -3,13 +3,16 @@
 A file holds the documents of one range of ids, in ascending order. Ids are packed with the least bits that the
 vocabulary needs, in blocks of BLOCK ids that start on a byte; block and document offsets follow the ids, so that numpy unpacks any
 block by itself. Layout: the blocks; int64 document ids; int64 first id of each document, and one past the last; int64 byte offset of each
-block, and one past the last; then TAIL (magic, bits, block size, documents, ids, blocks).
+block, and one past the last; then TAIL (magic, bits, block size, documents, how many of them, at the end, have no id, ids, blocks).
 
 A writing task names its file after its partition and attempt and reports the name in its row. The manifest
 holds the rows of the tasks that Spark has accepted, so files of lost or repeated attempts are never read.
 
-Cases: NULL text is the empty text (only its end id). NULL ids come last and back as NULL; equal ids are written one after
-another. Other columns are ignored; an empty table gives a manifest without documents.
+Cases: NULL text is the empty text (only its end id). NULL ids come last and back as NULL; rows of equal ids are written one after
+another in the order of their texts' hashes, so a repeated task writes the same file, and such rows can be split over files. Other
+columns are ignored; an empty table gives a manifest without documents.
+
+Files are written by the workers through pyarrow, which knows file, hdfs, s3, gs and abfs; Hadoop's names of the same stores are translated.
 """
 
 from __future__ import annotations
@@ -25,11 +28,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterflow.llm import wordtok
-from meterflow.llm.common import NO_ID, id_back, partitions, scratch, texts_of
+from meterflow.llm.common import partitions, scratch, texts_of
 
 BLOCK = 4096
-MAGIC = b"TOKBITS1"
-TAIL = struct.Struct("<8sIIqqq")
+MAGIC = b"TOKBITS2"
+TAIL = struct.Struct("<8sIIqqqq")
+#: Hadoop's names of stores, and pyarrow's.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasb": "abfs", "wasbs": "abfs", "webhdfs": "hdfs"}
 _MANIFEST = "shard int, file string, n_docs long, n_ids long"
 
 
@@ -54,10 +59,18 @@ def unpacked(raw: bytes, bits: int, n: int) -> np.ndarray:
     return (each << np.arange(bits - 1, -1, -1, dtype=np.uint32)).sum(1, dtype=np.uint32).astype("<u4")
 
 
-def _filesystem(uri: str):
+def pyarrow_uri(path: str) -> str:
+    """The path as pyarrow names it."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return f"file://{path}"
+    return f"{SCHEMES.get(scheme, scheme)}:{rest}"
+
+
+def _filesystem(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    return fs.FileSystem.from_uri(pyarrow_uri(path))
 
 
 class Writer:
@@ -65,11 +78,12 @@ class Writer:
 
     def __init__(self, sink, bits: int):
         self.sink, self.bits = sink, bits
-        self.rest, self.docs, self.starts, self.blocks = np.zeros(0, "<u4"), [], [0], [0]
+        self.rest, self.docs, self.unnamed, self.starts, self.blocks = np.zeros(0, "<u4"), [], 0, [0], [0]
 
-    def add(self, doc_ids: list[int], ids: list[bytes]) -> None:
-        """Documents and their ids as little-endian unsigned 32-bit integers."""
-        self.docs += doc_ids
+    def add(self, doc_ids: list[int | None], ids: list[bytes]) -> None:
+        """Documents (those without an id last) and their ids as little-endian unsigned 32-bit integers."""
+        self.docs += [0 if x is None else x for x in doc_ids]
+        self.unnamed += sum(x is None for x in doc_ids)
         for x in ids:
             self.starts.append(self.starts[-1] + len(x) // 4)
         new = np.concatenate([self.rest, np.frombuffer(b"".join(ids), "<u4")])
@@ -88,7 +102,7 @@ class Writer:
             self._block(self.rest)
         for x in (self.docs, self.starts, self.blocks):
             self.sink.write(np.array(x, "<i8").tobytes())
-        self.sink.write(TAIL.pack(MAGIC, self.bits, BLOCK, len(self.docs), self.starts[-1], len(self.blocks) - 1))
+        self.sink.write(TAIL.pack(MAGIC, self.bits, BLOCK, len(self.docs), self.unnamed, self.starts[-1], len(self.blocks) - 1))
 
 
 class Reader:
@@ -96,12 +110,13 @@ class Reader:
 
     def __init__(self, source):
         self.source, size = source, source.size()
-        magic, self.bits, self.block, docs, self.n_ids, blocks = TAIL.unpack(source.read_at(TAIL.size, size - TAIL.size))
+        magic, self.bits, self.block, docs, unnamed, self.n_ids, blocks = TAIL.unpack(source.read_at(TAIL.size, size - TAIL.size))
         if magic != MAGIC:
             raise ValueError("not a file of packed token ids")
         n = (docs + docs + 1 + blocks + 1) * 8
         index = np.frombuffer(source.read_at(n, size - TAIL.size - n), "<i8")
         self.doc_ids, self.starts, self.blocks = index[:docs], index[docs : 2 * docs + 1], index[2 * docs + 1 :]
+        self.no_id = np.arange(docs) >= docs - unnamed
 
     def ids(self, start: int, end: int) -> np.ndarray:
         """Ids start to end of the file; only their blocks are read."""
@@ -144,7 +159,8 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str
             writer.close()
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([name]), pa.array([len(writer.docs)], pa.int64()), pa.array([writer.starts[-1]], pa.int64())], ["shard", "file", "n_docs", "n_ids"])
 
-    ordered = texts_of(df, id_col, text_col).repartitionByRange(shards or partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    order = [F.asc_nulls_last("doc_id"), F.xxhash64("text")]
+    ordered = texts_of(df, id_col, text_col).repartitionByRange(shards or partitions(spark), *order).sortWithinPartitions(*order, "text")
     ordered.mapInArrow(run, _MANIFEST).write.parquet(f"{path}/manifest")
     return f"{path}/manifest"
 
@@ -165,7 +181,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
                     for docs, ids in reader.documents():
                         raw, at = memoryview(ids.tobytes()), (reader.starts[docs.start : docs.stop + 1] - reader.starts[docs.start]).tolist()
                         each = [raw[4 * a : 4 * b] for a, b in zip(at, at[1:])]
-                        columns = [pa.array(reader.doc_ids[docs.start : docs.stop]), pa.array(reader.starts[docs.start : docs.stop] + first), pa.array(np.diff(at), pa.int64()), pa.array([zlib.crc32(x) for x in each], pa.int64())]
+                        columns = [pa.array(reader.doc_ids[docs.start : docs.stop], mask=reader.no_id[docs.start : docs.stop]), pa.array(reader.starts[docs.start : docs.stop] + first), pa.array(np.diff(at), pa.int64()), pa.array([zlib.crc32(x) for x in each], pa.int64())]
                         names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                         if with_ids:
                             columns.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in each], pa.list_(pa.int32())))
@@ -173,7 +189,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
                         yield pa.RecordBatch.from_arrays(columns, names)
 
     dealt = files.select("shard", "file", "before").repartitionByRange(partitions(spark), "shard")
-    return dealt.mapInArrow(run, schema).withColumn("doc_id", id_back("doc_id"))
+    return dealt.mapInArrow(run, schema)
 
 
 def round_trip(df: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,4 +199,4 @@ def round_trip(df: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "do
     return read(df.sparkSession, path)
 
 
-__all__ = ["NO_ID", "Reader", "Writer", "bits_for", "packed", "read", "round_trip", "unpacked", "write"]
+__all__ = ["Reader", "Writer", "bits_for", "packed", "read", "round_trip", "unpacked", "write"]

@@ -5,12 +5,13 @@ by falling weight. A query's positive contributions come from one term of each d
 largest one in the postings); everything else only lowers a score. With the k-th best score of some seed vectors as
 threshold, terms whose bounds sum up to less are non-essential: a vector that no essential term has can't reach the
 threshold. Essential postings are traversed, non-essential terms are probed from the largest bound down while a candidate stays
-competitive, and what is left is scored exactly. Shards of vectors (by id hash) meet blocks of queries; each meeting gives at most
-k rows a query, and a ranking window merges the shards.
+competitive, and what is left is scored exactly. A task has one shard of vectors (by id hash): its rows come first, their postings are
+built once, and the queries stream past them, a batch at a time. Each shard gives at most k rows a query, and a ranking window
+merges the shards.
 
 Cases: rows with NULL id, NULL vector, or a NULL or non-finite component take no part. Shorter vectors are filled with
 zeros; an empty vector scores 0. Of rows with equal ids the least vector counts. Ties go to the smaller id. Scores are exact while
-they fit 64 bits. Other columns are ignored; empty tables give no rows.
+they and the components fit 64 bits. Other columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 K = 5
 SCALE = 256
-#: Vectors in a shard and queries in a block at most, on average; shards that small tables are split into.
-SHARD, BLOCK, LEAST_SHARDS = 65_536, 4096, 32
+#: Vectors in a shard on average; shards that small tables are split into.
+SHARD, LEAST_SHARDS = 65_536, 32
 
 
 class Shard:
@@ -78,18 +79,26 @@ class Shard:
         return [(int(exact[i]), int(self.ids[rest[i]])) for i in best]
 
 
-def _matrix(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, integer vectors) of distinct ids in ascending order."""
-    rows = dict(sorted(zip(table.column("vec_id").to_pylist(), map(tuple, table.column("embedding").to_pylist())), reverse=True))
-    ids = np.array(sorted(rows), np.int64)
-    out = np.zeros((len(ids), width), np.int64)
-    for row, i in zip(out, ids.tolist()):
-        row[: len(rows[i])] = np.floor(SCALE * np.array(rows[i], float))
-    return ids, out
+def _matrix(column: pa.Array) -> np.ndarray:
+    """The integer vectors of a list column, as wide as the widest."""
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = np.floor(SCALE * column.flatten().to_numpy(zero_copy_only=False)).astype(np.int64)
+    out = np.zeros((len(sizes), sizes.max(initial=0)), np.int64)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = flat
+    return out
 
 
-def _widest(table: pa.Table) -> int:
-    return pc.max(pc.list_value_length(table.column("embedding"))).as_py() or 0 if table.num_rows else 0
+def _wide(rows: np.ndarray, width: int) -> np.ndarray:
+    """rows with so many columns: zeros are added; what other vectors lack can't count and goes."""
+    return np.pad(rows, ((0, 0), (0, max(0, width - rows.shape[1]))))[:, :width]
+
+
+def _shard(ids: list[np.ndarray], rows: list[np.ndarray]) -> Shard:
+    """Of equal ids, which follow one another, the first counts."""
+    width = max(x.shape[1] for x in rows)
+    ids, rows = np.concatenate(ids), np.concatenate([_wide(x, width) for x in rows])
+    first = np.append(True, ids[1:] != ids[:-1])
+    return Shard(ids[first], rows[first])
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -99,22 +108,30 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
         .filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
         .filter(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     )
-    vectors, queries = fit(vectors), fit(queries)
-    n, m = vectors.count(), queries.count()
-    shards, blocks = max(-(-n // SHARD), min(LEAST_SHARDS, -(-n // 256)), 1), max(1, -(-m // BLOCK))
-    deal = lambda df, own, of, other, others: df.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(of)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
-    left = deal(vectors, "shard", shards, "block", blocks).groupBy("shard", "block")
-    right = deal(queries, "block", blocks, "shard", shards).groupBy("shard", "block")
-
-    def meet(vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        out = []
-        if vectors.num_rows and queries.num_rows:
-            width = max(_widest(vectors), _widest(queries))
-            shard = Shard(*_matrix(vectors, width))
-            for q, query in zip(*_matrix(queries, width)):
-                out += [(int(q), i, s) for s, i in shard.search(int(q), query, k)]
-        return pa.table({name: pa.array([r[j] for r in out], pa.int64()) for j, name in enumerate(("query_id", "vec_id", "score"))})
-
-    found = left.cogroup(right).applyInArrow(meet, "query_id long, vec_id long, score long")
+    vectors, queries = fit(vectors), fit(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    n = vectors.count()
+    shards = max(-(-n // SHARD), min(LEAST_SHARDS, -(-n // 256)), 1)
+    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    own = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), "vec_id", "embedding")
+    asked = queries.select(every.alias("shard"), F.lit(True).alias("asks"), "vec_id", "embedding")
+    dealt = own.unionByName(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions("asks", "vec_id", "embedding")
+
+    def run(batches):
+        ids, rows, shard = [], [], None
+        for batch in batches:
+            asks = batch.column("asks").to_numpy(zero_copy_only=False)
+            split = int(np.searchsorted(asks, True))  # the shard's own rows come first
+            if split:
+                part = batch.slice(0, split)
+                ids.append(part.column("vec_id").to_numpy()), rows.append(_matrix(part.column("embedding")))
+            if split == len(asks) or not ids:
+                continue
+            shard = shard or _shard(ids, rows)
+            part, out = batch.slice(split), []
+            for q, query in zip(part.column("vec_id").to_pylist(), _wide(_matrix(part.column("embedding")), shard.vectors.shape[1])):
+                out += [(q, i, s) for s, i in shard.search(q, query, k)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64()) for j in range(3)], ["query_id", "vec_id", "score"])
+
+    found = dealt.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

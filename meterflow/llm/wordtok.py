@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 import os
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -16,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-from meterflow.llm.common import RecentRows, distinct, slices, strings
+from meterflow.llm.common import RecentRows, distinct, slices, strings, worker_tools
 
 #: Words and pieces whose ids a worker keeps.
 RECENT_WORDS, RECENT_PIECES = 600_000, 500_000
@@ -128,9 +127,8 @@ def _word_pattern(own: dict) -> str:
     return split["pattern"]["Regex"]
 
 
-@lru_cache(4)
 def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+    return worker_tools(("words", path), lambda: WordIds(path))
 
 
 def encoded(batches, path: str):
