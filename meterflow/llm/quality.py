@@ -3,8 +3,10 @@
 Features are shares and ratios of a whole text: letters, case, punctuation, repeated words and lines, lengths. A small network learns
 from trusted positives (labelled rows of quality 1) and unlabelled texts by the non-negative unbiased risk
 ``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))``. The class prior is estimated from the labelled rows, and the scores are calibrated
-on them so that a score reads as a probability. Training takes bounded samples, the rows of smallest id hash:
-MOST_POSITIVES, MOST_UNLABELLED and MOST_CALIBRATION. Scoring runs in the workers over all rows; only the model's few kilobytes move.
+on them so that a score reads as a probability. Training takes bounded samples of labelled rows, those of smallest id hash:
+MOST_POSITIVES trusted positives, MOST_UNLABELLED texts whose label it does not look at (so that they are drawn as the labels were, and the
+prior holds for them), and MOST_CALIBRATION for the prior and the calibration. One pass finds all three: no more than MOST_UNLABELLED rows of
+either label reach the driver. Scoring runs in the workers over all rows; only the model's few kilobytes move.
 
 Held-out rows (crc32 of the id as text, mod 5, is 0) give neither labels nor unlabelled texts.
 
@@ -19,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterflow.llm.common import slices, texts_of, worker_tools
@@ -137,12 +139,13 @@ def train(df: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     spark = df.sparkSession
     ids = df.select(F.col(id_col).cast("long").alias("doc_id")).filter(F.col("doc_id").isNotNull() & ~held_out()).distinct()
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label IN (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
-    rows, order = ids.join(known, "doc_id", "left"), [F.xxhash64("doc_id"), F.col("doc_id")]
-    take = lambda use, where, most: rows.filter(where).orderBy(*order).limit(most).select(F.lit(use).alias("use"), "doc_id", "label")
-    chosen = take("p", "label = 1", MOST_POSITIVES).unionByName(take("u", "true", MOST_UNLABELLED)).unionByName(take("c", "label IS NOT NULL", MOST_CALIBRATION)).collect()
-    positives = {r["doc_id"] for r in chosen if r["use"] == "p"}
-    unlabelled = {r["doc_id"] for r in chosen if r["use"] == "u"}
-    labelled = {r["doc_id"]: r["label"] for r in chosen if r["use"] == "c"}
+    place = F.row_number().over(Window.partitionBy("label").orderBy("mark", "doc_id"))
+    marked = ids.join(known, "doc_id").withColumn("mark", F.xxhash64("doc_id")).withColumn("place", place)
+    chosen = marked.filter(F.col("place") <= max(MOST_POSITIVES, MOST_UNLABELLED, MOST_CALIBRATION)).select("mark", "doc_id", "label").collect()
+    chosen = [(i, label) for _, i, label in sorted(map(tuple, chosen))]
+    positives = set([i for i, label in chosen if label == 1][:MOST_POSITIVES])
+    unlabelled = {i for i, _ in chosen[:MOST_UNLABELLED]}
+    labelled = dict(chosen[:MOST_CALIBRATION])
     share = (sum(labelled.values()) + 1) / (len(labelled) + 2) if prior is None else prior
     if not positives:
         return share

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-import corpus_pipeline
 from meterflow.llm import bpe, fingerprint, linededup, neardup, packing, quality, secrets, tokenbin, tokencounts, topk
 from meterflow.llm.common import table
 
@@ -27,8 +27,6 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     lines = linededup.dedup_lines(table(spark, sf_dir, "documents"))
     return lines.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
@@ -58,7 +56,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.suffix_sums(tokencounts.histogram(tokencounts.lengths(table(spark, sf_dir, "documents"), WORD_BPE)))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_maxscore, op3_packing, op4_line_dedup, op5_quality, op6_token_files, op7_near_dedup, op8_fingerprints, op9_secrets, op10_token_counts)} | {"pipeline": corpus_pipeline.run}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # stands at the repository's top, which a deployed package lacks
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_byte_bpe, op2_maxscore, op3_packing, op4_line_dedup, op5_quality, op6_token_files, op7_near_dedup, op8_fingerprints, op9_secrets, op10_token_counts, pipeline,
+    )
+}
 
 ORACLE_SQL = {
     "op2_maxscore": """
@@ -90,5 +99,3 @@ ORACLE_SQL = {
         SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reached) AS component_id, r.doc_id = min(reached) AS kept
         FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""",
 }
-if corpus_pipeline.ORACLE_SQL:
-    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
