@@ -15,16 +15,18 @@ ENTITY = ["station_id", "system_type", "equipment_id"]
 @query("""
     SELECT equipment_id, stat_hour, coalesce(avg_power, CASE WHEN runtime_hours > 0 AND avg_flow > 0 AND avg_return_temp - avg_supply_temp > 0 THEN avg_flow * (avg_return_temp - avg_supply_temp) * 1.163 / 3.0 END) AS power_filled,
            CASE WHEN runtime_hours <= 0 THEN 0 ELSE avg_power * runtime_hours END AS energy,
-           CASE WHEN runtime_hours <= 0 THEN 0 ELSE coalesce(CASE WHEN avg_flow > 0 AND avg_return_temp - avg_supply_temp > 0 THEN avg_flow * (avg_return_temp - avg_supply_temp) * 1.163 END, avg_power * 3.0) END AS capacity,
-           avg_flow * 9.7 AS gas_kwh, avg_flow * 9.7 * 0.9 AS gas_heat, coalesce(CASE WHEN energy_consumption_kwh > 0 THEN supply_kwh / energy_consumption_kwh END, 0) AS cop,
-           CASE WHEN coalesce(electric_supply_kwh, 0) <> 0 THEN electric_supply_kwh ELSE coalesce(cooling_supply_kwh, 0) + coalesce(heating_supply_kwh, 0) END AS primary_supply FROM hours""",
-       doubles="power_filled energy capacity gas_kwh gas_heat cop primary_supply", times="stat_hour")
+           CASE WHEN runtime_hours <= 0 THEN 0 ELSE coalesce(CASE WHEN avg_flow IS NOT NULL AND avg_return_temp - avg_supply_temp > 0 THEN avg_flow * (avg_return_temp - avg_supply_temp) * 1.163 END, avg_power * 3.0) END AS capacity,
+           avg_flow * 9.7 AS gas_kwh, avg_flow * 9.7 * 0.9 AS gas_heat, coalesce(CASE WHEN energy_consumption_kwh > 0 THEN supply_kwh / energy_consumption_kwh END, CASE WHEN avg_pressure > 0 THEN avg_flow / avg_pressure END, 0) AS cop,
+           CASE WHEN coalesce(supply_kwh, 0) <> 0 THEN supply_kwh ELSE coalesce(cooling_supply_kwh, 0) + coalesce(heating_supply_kwh, 0) + coalesce(electric_supply_kwh, 0) END AS primary_supply,
+           CASE WHEN coalesce(cooling_supply_kwh, 0) <> 0 THEN cooling_supply_kwh ELSE coalesce(heating_supply_kwh, 0) + coalesce(electric_supply_kwh, 0) END AS other_supply FROM hours""",
+       doubles="power_filled energy capacity gas_kwh gas_heat cop primary_supply other_supply", times="stat_hour")
 def physical_metrics(t):
     power = metrics.power_or_estimate("avg_power", "runtime_hours", "avg_flow", "avg_supply_temp", "avg_return_temp")
     capacity = metrics.cooling_capacity("runtime_hours", "avg_flow", "avg_supply_temp", "avg_return_temp", "avg_power")
     return t.hours.select(
         "equipment_id", "stat_hour", power.alias("power_filled"), metrics.energy("runtime_hours", "avg_power").alias("energy"), capacity.alias("capacity"), metrics.gas_energy("avg_flow").alias("gas_kwh"), metrics.gas_heat("avg_flow").alias("gas_heat"),
-        metrics.row_cop("supply_kwh", "energy_consumption_kwh").alias("cop"), metrics.primary_supply("electric_supply_kwh", "cooling_supply_kwh", "heating_supply_kwh").alias("primary_supply"),
+        metrics.row_cop("supply_kwh", "energy_consumption_kwh", "avg_flow", "avg_pressure").alias("cop"), metrics.primary_supply("supply_kwh", "cooling_supply_kwh", "heating_supply_kwh", "electric_supply_kwh").alias("primary_supply"),
+        metrics.primary_supply("cooling_supply_kwh", "heating_supply_kwh", "electric_supply_kwh").alias("other_supply"),
     )
 
 

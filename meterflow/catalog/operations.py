@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from meterflow.catalog.base import query
 from meterflow.catalog.business import FORECAST_SQL, HITS_SQL, REVENUE_SQL, advised, chiller_sql, quality_rows, report_sql, revenue_of, tariff_sql
+from meterflow.functions.scalars import decimal_sum, safe_div
 from meterflow.operators import joins
-from meterflow.plans import audit, forecast, reports, serve
+from meterflow.plans import audit, dashboard, forecast, reports, serve
 
 # Serving
 
@@ -74,6 +75,17 @@ def serve_data_quality(t):
     return serve.query(quality_rows(t), {"quality_flag": "poor"}, None, ["-day", "equipment_id"], 200, ["equipment_id", "day", "hour_count"])
 
 
+@query("""
+    SELECT equipment_id, stat_hour, CASE WHEN record_count = 0 THEN 'nodata' WHEN idle THEN 'stopped' WHEN record_count < 3 THEN 'warning' ELSE 'running' END AS status,
+           CASE WHEN record_count = 0 THEN 'nodata' WHEN idle THEN 'stopped' WHEN record_count < 3 OR coalesce(cop < 0.5, false) THEN 'warning' ELSE 'running' END AS status_by_cop
+    FROM (SELECT *, coalesce(supply_kwh, 0) <= 0 AND coalesce(operation_rate, 0) <= 0 AS idle, CASE WHEN energy_consumption_kwh > 0 THEN supply_kwh / energy_consumption_kwh END AS cop FROM hours)""", times="stat_hour")
+def unit_status(t):
+    """Every hour's status, told with and without the efficiency."""
+    hours = t.hours.withColumn("cop", safe_div("supply_kwh", "energy_consumption_kwh"))
+    plain = dashboard.status("record_count", "supply_kwh", "operation_rate")
+    return hours.select("equipment_id", "stat_hour", plain.alias("status"), dashboard.status("record_count", "supply_kwh", "operation_rate", "cop").alias("status_by_cop"))
+
+
 # Audits
 
 
@@ -123,8 +135,6 @@ def heating_zero_forecast(t):
     UNION ALL SELECT 'hours', unnest(['rows', 'least_stat_hour', 'most_stat_hour', 'total_supply_kwh']), unnest([count(*)::VARCHAR, strftime(min(stat_hour), '%Y-%m-%d %H:%M:%S'), strftime(max(stat_hour), '%Y-%m-%d %H:%M:%S'), printf('%.2f', sum(supply_kwh::DECIMAL(18,2))::DOUBLE)]) FROM hours
     UNION ALL SELECT 'orders', 'rows', count(*)::VARCHAR FROM orders""")
 def lake_statistics(t):
-    from meterflow.functions.scalars import decimal_sum
-
     tables = {"readings": t.readings, "hours": t.hours, "orders": t.orders}
     return audit.lake_statistics(tables, ["event_time", "stat_hour"], ["point_code"], ["supply_kwh"], total=decimal_sum)
 

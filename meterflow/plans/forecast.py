@@ -105,8 +105,9 @@ def seasonal_forecast(hours: DataFrame, n: int = 24, keys: list[str] = ENTITY, t
     parts = ["cooling_supply_kwh", "heating_supply_kwh", "electric_supply_kwh", "energy_consumption_kwh"]
     shares = aggregates.mix_shares(past, keys, "supply", parts)
     out = future_hours(past, keys, ts, n).withColumns({"hour_of_day": F.hour("target_hour"), "day_of_week": F.dayofweek("target_hour")})
-    out = out.join(fine.select(*keys, "hour_of_day", "day_of_week", F.col("fine_samples").alias("profile_sample_count")), [*keys, "hour_of_day", "day_of_week"], "left")
-    out = joins.cascade(out, [(fine, [*keys, "hour_of_day", "day_of_week"], "fine"), (by_hour, [*keys, "hour_of_day"], "hourly"), (overall, keys, "overall")], "predicted_supply_kwh")
+    out = out.join(fine, [*keys, "hour_of_day", "day_of_week"], "left").withColumnRenamed("fine_samples", "profile_sample_count")
+    out = joins.cascade(out, [(by_hour, [*keys, "hour_of_day"], "hourly"), (overall, keys, "overall")], "coarse")
+    out = out.withColumn("predicted_supply_kwh", F.coalesce("fine", "coarse")).drop("fine", "coarse")
     out = out.join(shares, keys, "left")
     p = F.col("predicted_supply_kwh")
     out = out.withColumns({f"predicted_{c}_kwh": p * F.col(f"{x}_share") for c, x in (("cooling", parts[0]), ("heating", parts[1]), ("electric", parts[2]), ("energy", parts[3]))})

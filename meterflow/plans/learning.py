@@ -33,6 +33,12 @@ def split(df: DataFrame, keys: list[str], ts: str, least_train: int = LEAST_TRAI
     return windows.chronological_split(df, keys, [ts], 0.8, least_train, least_test)
 
 
+def random_split(df: DataFrame, share: float = 0.8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Rows at random for training and for the test, where their order in time does not matter."""
+    train, test = df.randomSplit([share, 1 - share], seed)
+    return train, test
+
+
 def predict(model: PipelineModel, df: DataFrame, name: str = "prediction") -> DataFrame:
     """Predictions, not below 0."""
     return model.transform(df).withColumn(name, F.greatest("raw_prediction", F.lit(0.0))).drop("raw_prediction", "features", "entity_index")
