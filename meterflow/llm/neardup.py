@@ -44,7 +44,9 @@ LEAST = 75
 #: Minhash values of a class (those beyond the tables' only sharpen the estimate), and the share of links that each of the two estimates may miss.
 VALUES, LOST = 256, 2.6e-4
 #: Heads with more classes outside their component get further heads beside them, so many in a round, for so many rounds at most.
-FEW_OUTSIDE, HEADS, ROUNDS = 16, 6, 4
+FEW_OUTSIDE, HEADS, ROUNDS = 16, 4, 4
+#: Pairs whose ids are sent to every task (a few megabytes) instead of shuffling the texts.
+FEW_PAIRS = 100_000
 
 
 def groups_for(least: int) -> int:
@@ -128,12 +130,15 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "doc long, shingles array<long>")
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v, both, either): sizes of intersection and union of the full sets."""
+def _compared(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """(u, v, both, either) of stored pairs: sizes of intersection and union of the full sets, made for the texts that the pairs have."""
+    docs = pairs.select(F.explode(F.array("u", "v")).alias("doc")).distinct()
+    docs = F.broadcast(docs) if pairs.count() <= FEW_PAIRS else docs
+    sets = stored(_sets(held.join(docs, "doc", "left_semi")), "sets")
     side = lambda s: sets.select(F.col("doc").alias(s), F.col("shingles").alias(f"set_{s}"))
     both = F.size(F.array_intersect("set_u", "set_v")).cast("long")
     met = pairs.join(side("v"), "v").join(side("u"), "u").select("u", "v", both.alias("both"), (F.size("set_u") + F.size("set_v")).alias("total"))
-    return met.select("u", "v", "both", (F.col("total") - F.col("both")).alias("either"))
+    return stored(met.select("u", "v", "both", (F.col("total") - F.col("both")).alias("either")), "compared")
 
 
 def _may_link(least: int, values: int) -> Column:
@@ -161,30 +166,29 @@ def linked(classes: DataFrame, rows: DataFrame, texts: DataFrame, least: int, va
     """
     buckets = rows.groupBy("table", "key").agg(F.min("doc").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     shared = stored(rows.join(buckets, ["table", "key"]), "shared")
-    held = stored(_sets(texts.join(shared.select("doc").distinct(), "doc", "left_semi")), "sets")
+    held = stored(texts.join(shared.select("doc").distinct(), "doc", "left_semi"), "texts")
     sides, may = classes.select("doc", "n_shingles", "marks"), _may_link(least, values)
     reached = 100 * F.col("both") >= least * F.col("either")
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.distinct().join(_side(sides, "u"), "u").join(_side(sides, "v"), "v").filter(may).select("u", "v")
-        return stored(_compared(wanted, held), "compared")
-
     # A head's group: all classes that share a bucket with it where it is the smallest, each once however many buckets they share.
-    groups = stored(shared.filter("doc <> head").select("head", "doc").distinct(), "groups")
-    stars = compared(groups.select(F.col("head").alias("u"), F.col("doc").alias("v")))
+    groups = stored(shared.filter("doc <> head").select("head", "doc").distinct().join(sides, "doc"), "groups")
+    members = _side(groups, "v")
+    pairs = members.join(_side(sides, "u"), (F.col("head_v") == F.col("u")) & may).select("u", "v")
+    stars = _compared(stored(pairs, "pairs"), held)
     links = stars.filter(reached)
     roots = components(links.select("u", "v"))
     for turn in range(ROUNDS):
         root = lambda of, name: roots.select(F.col("node").alias(of), F.col("root").alias(name))  # noqa: B023, E731
-        at = groups.join(root("doc", "root"), "doc", "left").join(root("head", "top"), "head", "left")
-        at = at.select("head", "doc", F.coalesce("root", "doc").alias("root"), F.coalesce("top", "head").alias("top"))
-        chosen = [F.min(F.struct(F.xxhash64("doc", F.lit(turn * HEADS + i)).alias("h"), "doc", "root")) for i in range(HEADS)]
-        heads = at.filter("root <> top").groupBy("head").agg(F.count(F.lit(1)).alias("n"), F.array(*chosen).alias("further")).filter(F.col("n") > FEW_OUTSIDE)
-        heads = heads.select("head", F.explode("further").alias("h")).select("head", F.col("h.doc").alias("u"), F.col("h.root").alias("root_u")).distinct()
-        heads = stored(heads, "heads")
+        at = members.join(root("v", "root"), "v", "left").join(root("head_v", "top"), "head_v", "left")
+        at = at.withColumns({"root_v": F.coalesce("root", "v"), "top": F.coalesce("top", "head_v")}).drop("root")
+        chosen = [F.min(F.struct(F.xxhash64("v", F.lit(turn * HEADS + i)).alias("h"), F.col("v").alias("u"), F.col("root_v").alias("root_u"))) for i in range(HEADS)]
+        outside = at.filter("root_v <> top").groupBy("head_v").agg(F.count(F.lit(1)).alias("n"), F.array(*chosen).alias("further")).filter(F.col("n") > FEW_OUTSIDE)
+        heads = outside.select(F.col("head_v").alias("of"), F.explode("further").alias("h")).select("of", "h.u", "h.root_u").dropDuplicates(["of", "root_u"])
+        heads = stored(heads.join(_side(sides, "u"), "u"), "heads")
         if heads.isEmpty():
             break
-        new = compared(at.join(heads, "head").filter("root <> root_u").select("u", F.col("doc").alias("v"))).filter(reached)
+        pairs = at.join(heads, (F.col("head_v") == F.col("of")) & (F.col("root_v") != F.col("root_u")) & may).select("u", "v").distinct()
+        new = _compared(stored(pairs, "pairs"), held).filter(reached)
         if new.isEmpty():
             break
         links = links.unionByName(new)
@@ -201,7 +205,7 @@ def linked(classes: DataFrame, rows: DataFrame, texts: DataFrame, least: int, va
     pairs = _side(inside, "u").join(_side(inside, "v"), apart & near_head & may & (first_table == F.col("table_u")))
     last = stored(pairs.select("u", "v"), "pairs")
     if not last.isEmpty():
-        links = links.unionByName(stored(_compared(last, held), "compared").filter(reached))
+        links = links.unionByName(_compared(last, held).filter(reached))
         roots = components(links.select("u", "v"))
     return links, roots
 

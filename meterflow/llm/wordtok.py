@@ -18,9 +18,9 @@ import regex
 from meterflow.llm.common import RecentRows, distinct, slices, strings, worker_tools
 
 #: Words and pieces whose ids a worker keeps.
-RECENT_WORDS, RECENT_PIECES = 600_000, 500_000
+RECENT_WORDS, RECENT_PIECES = 300_000, 250_000
 #: Bytes of text that are encoded at a time.
-SLICE = 8_000_000
+SLICE = 4_000_000
 #: White space other than the space and the line feed, or what some count as such.
 _SPACE = regex.compile(r"[^\S\n]|[\x1c-\x1f\x85]")
 
