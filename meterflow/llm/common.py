@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -65,13 +67,26 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of an Arrow batch at most: whole texts are large, and a batch is held by the JVM and by the worker at once.
+BATCH_ROWS = 2000
+
+
+def _small_batches(df: DataFrame) -> None:
+    """Arrow batches of few rows for the session, unless it has smaller ones."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+
+
 def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: tuple = ()) -> DataFrame:
     """Only the id and the text (NULL: empty), so that other columns and their names don't matter."""
+    _small_batches(df)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *extra)
 
 
 def as_rows(df: DataFrame, *columns: Column) -> DataFrame:
     """The columns given, and every row of df as one struct named row, so that no column of df meets a name of an operator."""
+    _small_batches(df)
     return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), *columns)
 
 
@@ -109,10 +124,21 @@ def worker_tools(key: tuple, make):
     earlier stage has kept must not add to what this one needs."""
     if key not in _TOOLS:
         _TOOLS.clear()
+        _give_back()
         _TOOLS[key] = make()
     return _TOOLS[key]
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: by itself an allocator keeps it for the process."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 class RecentRows:
     """A bounded cache of keys' integer sequences, which lie one after another in one array.
 
