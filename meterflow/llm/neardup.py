@@ -180,7 +180,7 @@ def linked(classes: DataFrame, rows: DataFrame, texts: DataFrame, least: int, va
     for turn in range(ROUNDS):
         root = lambda of, name: roots.select(F.col("node").alias(of), F.col("root").alias(name))  # noqa: B023, E731
         at = members.join(root("v", "root"), "v", "left").join(root("head_v", "top"), "head_v", "left")
-        at = at.withColumns({"root_v": F.coalesce("root", "v"), "top": F.coalesce("top", "head_v")}).drop("root")
+        at = stored(at.withColumns({"root_v": F.coalesce("root", "v"), "top": F.coalesce("top", "head_v")}).drop("root"), "placed")
         chosen = [F.min(F.struct(F.xxhash64("v", F.lit(turn * HEADS + i)).alias("h"), F.col("v").alias("u"), F.col("root_v").alias("root_u"))) for i in range(HEADS)]
         outside = at.filter("root_v <> top").groupBy("head_v").agg(F.count(F.lit(1)).alias("n"), F.array(*chosen).alias("further")).filter(F.col("n") > FEW_OUTSIDE)
         heads = outside.select(F.col("head_v").alias("of"), F.explode("further").alias("h")).select("of", "h.u", "h.root_u").dropDuplicates(["of", "root_u"])
