@@ -44,7 +44,7 @@ LEAST = 75
 #: Minhash values of a class (those beyond the tables' only sharpen the estimate), and the share of links that each of the two estimates may miss.
 VALUES, LOST = 256, 2.6e-4
 #: Heads with more classes outside their component get further heads beside them, so many in a round, for so many rounds at most.
-FEW_OUTSIDE, HEADS, ROUNDS = 16, 4, 4
+FEW_OUTSIDE, HEADS, ROUNDS = 16, 1, 5
 #: Pairs whose ids are sent to every task (a few megabytes) instead of shuffling the texts.
 FEW_PAIRS = 100_000
 
@@ -132,7 +132,7 @@ def _sets(texts: DataFrame) -> DataFrame:
 
 def _compared(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """(u, v, both, either) of stored pairs: sizes of intersection and union of the full sets, made for the texts that the pairs have."""
-    docs = pairs.select(F.explode(F.array("u", "v")).alias("doc")).distinct()
+    docs = pairs.select(F.col("u").alias("doc")).distinct().unionByName(pairs.select(F.col("v").alias("doc")).distinct()).distinct()
     docs = F.broadcast(docs) if pairs.count() <= FEW_PAIRS else docs
     sets = stored(_sets(held.join(docs, "doc", "left_semi")), "sets")
     side = lambda s: sets.select(F.col("doc").alias(s), F.col("shingles").alias(f"set_{s}"))
