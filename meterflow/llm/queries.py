@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterflow.llm import bpe, fingerprint, linededup, neardup, packing, quality, secrets, tokenbin, tokencounts, topk
+from meterflow.llm import bpe, divergence, fingerprint, langid, linededup, neardup, packing, periodic, quality, secrets, tokenbin, tokencounts, topk
 from meterflow.llm.common import table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -56,6 +56,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.suffix_sums(tokencounts.histogram(tokencounts.lengths(table(spark, sf_dir, "documents"), WORD_BPE)))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.find_runs(periodic.with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs)).select("doc_id", "held_out", "lang_pred", "score", "languages")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # stands at the repository's top, which a deployed package lacks
 
@@ -65,7 +78,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_byte_bpe, op2_maxscore, op3_packing, op4_line_dedup, op5_quality, op6_token_files, op7_near_dedup, op8_fingerprints, op9_secrets, op10_token_counts, pipeline,
+        op1_byte_bpe, op2_maxscore, op3_packing, op4_line_dedup, op5_quality, op6_token_files, op7_near_dedup, op8_fingerprints, op9_secrets, op10_token_counts,
+        op11_periodic_runs, op12_source_divergence, op13_language_id, pipeline,
     )
 }
 
@@ -98,4 +112,24 @@ ORACLE_SQL = {
              r AS (SELECT doc_id, doc_id AS reached FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reached)
         SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reached) AS component_id, r.doc_id = min(reached) AS kept
         FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""",
+    "op12_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+             w AS (SELECT doc, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+             k AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT doc) >= 10),
+             g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+             c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+             v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+             t AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source),
+             p AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+                          (1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (coalesce(t.total, 0) + 2 * v.v))::BIGINT AS p,
+                          (1 + 1000000000::HUGEINT * (k.n + 2) // (v.total + 2 * v.v))::BIGINT AS q
+                   FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN t ON t.lang = g.lang AND t.source = g.source
+                   LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+             pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+                       FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+             r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                   LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+                   UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q)
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM r) WHERE part = 'pair' OR rank <= 10""",
 }
