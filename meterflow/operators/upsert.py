@@ -1,12 +1,9 @@
-"""Upserts as set algebra on DataFrames, and writing them without a table format.
-
-The pure functions return the new table. ``write_partitions`` replaces just the partitions that a source touches: it writes
-the new rows of those partitions beside the table and swaps them in by dynamic partition overwrite.
-"""
+"""Upserts as set algebra on DataFrames. Keys meet null-safely: NULL equals NULL. ``merge`` writes their results into stored tables."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,14 +16,20 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
 
 
+def matching(df: DataFrame, other: DataFrame, keys: Keys, how: str = "left_semi") -> DataFrame:
+    """Rows of df whose keys other has (left_semi) or lacks (left_anti); an equi-join for Spark."""
+    other = other.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)])
+    return df.join(other, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]), how)
+
+
 def upsert(target: DataFrame, source: DataFrame, keys: Keys) -> DataFrame:
     """Source rows replace target rows of equal keys; the others are added."""
-    return target.join(source.select(*keys).distinct(), list(keys), "left_anti").select(*target.columns).unionByName(source, allowMissingColumns=True)
+    return matching(target, source, keys, "left_anti").select(*target.columns).unionByName(source, allowMissingColumns=True)
 
 
 def new_rows(target: DataFrame, source: DataFrame, keys: Keys) -> DataFrame:
     """One row for each key of source that target lacks: replays add nothing."""
-    return source.dropDuplicates(list(keys)).join(target.select(*keys), list(keys), "left_anti").select(*source.columns)
+    return matching(source.dropDuplicates(list(keys)), target, keys, "left_anti").select(*source.columns)
 
 
 def insert_only(target: DataFrame, source: DataFrame, keys: Keys) -> DataFrame:
@@ -38,50 +41,6 @@ def replace_groups(target: DataFrame, source: DataFrame, group: Keys) -> DataFra
     return upsert(target, source, group)
 
 
-def write_partitions(df: DataFrame, path: str, partition_by: Keys) -> None:
-    """Replace the partitions that df has, and no others."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
-
-
-def merge_into(spark: SparkSession, path: str, source: DataFrame, keys: Keys, partition_by: Keys, staging: str, how=upsert) -> None:
-    """Merge source, one row for each key, into the table at path, reading and writing just the partitions it touches: those of
-    its rows, and those where its keys are now.
-
-    The merged rows are staged first, as a table can't be overwritten while it is read. Partitions are swapped one after another:
-    a reader that must not see some of them new and others old waits for the end, or reads by a version of the whole table.
-    """
-    source = source.dropDuplicates(list(keys))
-    if not exists(spark, path):
-        source.write.partitionBy(*partition_by).parquet(path)
-        return
-    _swap(spark, path, lambda target: how(target, source, keys), source, keys, partition_by, staging)
-
-
-def replace_groups_into(spark: SparkSession, path: str, source: DataFrame, group: Keys, partition_by: Keys, staging: str) -> None:
-    """Delete all rows of the source's groups from every partition of the table at path, then add the source; an empty one changes nothing."""
-    if not exists(spark, path):
-        source.write.partitionBy(*partition_by).parquet(path)
-        return
-    _swap(spark, path, lambda target: replace_groups(target, source, group), source, group, partition_by, staging)
-
-
-def _swap(spark: SparkSession, path: str, merged, source: DataFrame, keys: Keys, partition_by: Keys, staging: str) -> None:
-    """Rewrite the partitions that have the source's keys or get its rows. One that gets no row any more is deleted."""
-    table = spark.read.parquet(path)
-    found = table.join(source.select(*keys).distinct(), list(keys), "left_semi").select(*partition_by)
-    touched = source.select(*[F.col(c).cast(table.schema[c].dataType) for c in partition_by]).unionByName(found).distinct()
-    touched.write.mode("overwrite").parquet(f"{staging}/touched")
-    touched = spark.read.schema(touched.schema).parquet(f"{staging}/touched")
-    merged(table.join(touched, list(partition_by), "left_semi")).write.mode("overwrite").parquet(f"{staging}/merged")
-    rows = spark.read.parquet(f"{staging}/merged")
-    write_partitions(rows, path, partition_by)
-    left = touched.join(rows.select(*[F.col(c).cast(touched.schema[c].dataType) for c in partition_by]).distinct(), list(partition_by), "left_anti")
-    for gone in left.toLocalIterator():  # partitions, not rows
-        where = "/".join(f"{c}={gone[c]}" for c in partition_by)
-        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{where}")
-        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
-
-
 def align(df: DataFrame, like: DataFrame) -> DataFrame:
     """df with the columns and types of another table: cast, or NULL where it lacks one."""
     return df.select(*[(F.col(f.name).try_cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in like.schema])

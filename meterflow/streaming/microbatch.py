@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterflow.operators import joins, upsert
+from meterflow.operators import joins, merge, upsert
 from meterflow.sources import readers, sinks
 
 LINEAGE = ["dt", "source_topic", "partition_id", "offset_id"]
@@ -35,7 +35,7 @@ def batch_statistics(df: DataFrame, ingest_time: str = "ingest_time", event_time
 
 def upsert_lineage(spark: SparkSession, batch: DataFrame, path: str, staging: str, keys: list[str] = LINEAGE) -> None:
     """Add a batch to the fact table; rows that are there already, and repeats, add nothing."""
-    upsert.merge_into(spark, path, batch, keys, ("dt",), staging, upsert.insert_only)
+    merge.merge_into(spark, path, batch, keys, ("dt",), staging, upsert.insert_only)
 
 
 def affected_hours(batch: DataFrame, keys: list[str], event_time: str = "event_time") -> DataFrame:
@@ -77,7 +77,7 @@ def micro_batches(spark: SparkSession, messages: DataFrame, points: DataFrame, f
         facts = fact_of(batch, points)
         upsert_lineage(spark, facts, fact_path, f"{fact_path}_staging")
         made = recompute(spark.read.parquet(fact_path), facts, keys, build)
-        upsert.merge_into(spark, hours_path, made, [*keys, "equipment_id", "stat_hour"], ("dt",), f"{hours_path}_staging")
+        merge.merge_into(spark, hours_path, made, [*keys, "equipment_id", "stat_hour"], ("dt",), f"{hours_path}_staging")
         if log_path:
             batch_statistics(facts).withColumn("batch", F.lit(number)).write.mode("append").parquet(log_path)
         batch.unpersist()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterflow.functions import classify, metrics, scalars
-from meterflow.operators import aggregates, joins, upsert, windows
+from meterflow.operators import aggregates, joins, merge, upsert, windows
 from meterflow.plans import advice, hourly, serve, silver
 from meterflow.sources import readers, sinks
 
@@ -70,10 +70,10 @@ def test_upserts(spark):
 
 def test_merge_touches_only_its_partitions(spark, tmp_path):
     path, rows = f"{tmp_path}/t", lambda x: spark.createDataFrame(x, "k int, v string, dt string")
-    upsert.merge_into(spark, path, rows([(1, "a", "x"), (2, "b", "y")]), ["k"], ["dt"], f"{tmp_path}/s")
+    merge.merge_into(spark, path, rows([(1, "a", "x"), (2, "b", "y")]), ["k"], ["dt"], f"{tmp_path}/s")
     before = {p.name for p in (tmp_path / "t" / "dt=x").iterdir()}
     for _ in range(2):  # a replay changes nothing
-        upsert.merge_into(spark, path, rows([(2, "c", "y"), (3, "d", "y")]), ["k"], ["dt"], f"{tmp_path}/s")
+        merge.merge_into(spark, path, rows([(2, "c", "y"), (3, "d", "y")]), ["k"], ["dt"], f"{tmp_path}/s")
     assert sorted((r["k"], r["v"]) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "c"), (3, "d")]
     assert {p.name for p in (tmp_path / "t" / "dt=x").iterdir()} == before
 

@@ -3,8 +3,9 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
-from meterflow.operators import upsert
+from meterflow.operators import merge, upsert
 from meterflow.plans import forecast, learning
 from meterflow.sources import readers, sinks
 from meterflow.streaming import microbatch
@@ -22,21 +23,21 @@ def table(spark, path):
 
 def test_merge_takes_one_row_a_key_and_moves_it(spark, tmp_path):
     path, staging = f"{tmp_path}/t", f"{tmp_path}/s"
-    merge = lambda rows: upsert.merge_into(spark, path, frame(spark, rows), KEYS, ["dt"], staging)
-    merge([(1, "a", "d1"), (1, "a", "d1"), (2, "b", "d1"), (3, "c", "d2")])
+    add = lambda rows: merge.merge_into(spark, path, frame(spark, rows), KEYS, ["dt"], staging)
+    add([(1, "a", "d1"), (1, "a", "d1"), (2, "b", "d1"), (3, "c", "d2")])
     assert table(spark, path) == [(1, "a", "d1"), (2, "b", "d1"), (3, "c", "d2")]
-    merge([(2, "n", "d1"), (2, "n", "d1"), (4, "x", "d3")])
+    add([(2, "n", "d1"), (2, "n", "d1"), (4, "x", "d3")])
     assert table(spark, path) == [(1, "a", "d1"), (2, "n", "d1"), (3, "c", "d2"), (4, "x", "d3")]
-    merge([(3, "moved", "d1")])  # its old partition ends up empty
+    add([(3, "moved", "d1")])  # its old partition ends up empty
     assert table(spark, path) == [(1, "a", "d1"), (2, "n", "d1"), (3, "moved", "d1"), (4, "x", "d3")]
 
 
 def test_groups_are_replaced_in_every_partition(spark, tmp_path):
     path, staging = f"{tmp_path}/t", f"{tmp_path}/s"
     frame(spark, [(1, "a", "d1"), (1, "a", "d2"), (2, "b", "d2"), (2, "b", "d3")]).write.partitionBy("dt").parquet(path)
-    upsert.replace_groups_into(spark, path, frame(spark, [(1, "n", "d3"), (1, "n", "d4")]), KEYS, ["dt"], staging)
+    merge.replace_groups_into(spark, path, frame(spark, [(1, "n", "d3"), (1, "n", "d4")]), KEYS, ["dt"], staging)
     assert table(spark, path) == [(1, "n", "d3"), (1, "n", "d4"), (2, "b", "d2"), (2, "b", "d3")]
-    upsert.replace_groups_into(spark, path, frame(spark, []), KEYS, ["dt"], staging)
+    merge.replace_groups_into(spark, path, frame(spark, []), KEYS, ["dt"], staging)
     assert len(table(spark, path)) == 4
 
 
@@ -106,3 +107,92 @@ def test_training_rows_are_prepared(spark):
     rows = [("a", 1, 1.0, 5.0), ("a", 2, None, 6.0), ("a", 3, 3.0, None)]
     out, names = forecast.prepare_training(spark.createDataFrame(rows, "unit string, at int, x double, y double"), "y", ["at"], ["unit"], "at")
     assert names == ["x"] and [tuple(r) for r in out.orderBy("at").select("at", "x", "y").collect()] == [(1, 1.0, 5.0), (2, 1.0, 6.0)]
+
+
+def rows_of(spark, path):
+    schema = "k long, v string, dt string"
+    return sorted((tuple(r) for r in spark.read.schema(schema).parquet(path).collect()), key=str)
+
+
+def test_merge_keeps_rows_of_a_null_partition(spark, tmp_path):
+    path, staging = f"{tmp_path}/t", f"{tmp_path}/s"
+    add = lambda rows: merge.merge_into(spark, path, frame(spark, rows), KEYS, ["dt"], staging)
+    add([(1, "a", None), (3, "c", None), (2, "b", "x")])
+    add([(9, "i", None), (10, "j", "")])  # an empty text is stored as NULL
+    assert rows_of(spark, path) == [(1, "a", None), (10, "j", None), (2, "b", "x"), (3, "c", None), (9, "i", None)]
+
+
+def test_merge_moves_a_key_from_an_escaped_partition(spark, tmp_path):
+    path, staging = f"{tmp_path}/t", f"{tmp_path}/s"
+    add = lambda rows: merge.merge_into(spark, path, frame(spark, rows), KEYS, ["dt"], staging)
+    add([(1, "a", "x/y z:1"), (2, "b", None), (3, "c", "007")])
+    add([(1, "n", "q"), (2, "n", "q")])
+    add([(3, "n", "7")])  # 007 is a text, not the number
+    assert rows_of(spark, path) == [(1, "n", "q"), (2, "n", "q"), (3, "n", "7")]
+
+
+def test_null_keys_are_added_once(spark, tmp_path):
+    rows = frame(spark, [(None, "a", "d"), (1, "b", "d")])
+    assert upsert.insert_only(rows, rows, KEYS).count() == 2
+    for _ in range(2):
+        merge.merge_into(spark, f"{tmp_path}/t", rows, KEYS, ["dt"], f"{tmp_path}/s", upsert.insert_only)
+    assert rows_of(spark, f"{tmp_path}/t") == [(1, "b", "d"), (None, "a", "d")]
+    prices = spark.createDataFrame([(1, 1.0, None), (2, 2.0, "2024-01-01")], "id long, price double, updated_at string")
+    for _ in range(3):
+        sinks.write_price_sync(prices, f"{tmp_path}/p", "incremental")
+    assert spark.read.parquet(f"{tmp_path}/p").count() == 2
+
+
+def test_a_stopped_merge_is_finished_by_the_next(spark, tmp_path, monkeypatch):
+    path, staging = f"{tmp_path}/t", f"{tmp_path}/s"
+    add = lambda rows: merge.merge_into(spark, path, frame(spark, rows), KEYS, ["dt"], staging)
+    add([(i, "a", f"d{i}") for i in range(6)])
+    for stop in (0, 2, 4):  # at an early, a middle and a late move
+        moved, real = [], merge._move
+
+        def move(table, source, target):
+            if len(moved) == stop:
+                raise KeyboardInterrupt
+            moved.append(source)
+            real(table, source, target)
+
+        monkeypatch.setattr(merge, "_move", move)
+        with pytest.raises(KeyboardInterrupt):
+            add([(0, f"v{stop}", "d0"), (1, f"v{stop}", "d1"), (2, f"v{stop}", "d9")])
+        monkeypatch.setattr(merge, "_move", real)
+        add([(7, "z", "d7")])
+        want = [(0, f"v{stop}", "d0"), (1, f"v{stop}", "d1"), (2, f"v{stop}", "d9"), (3, "a", "d3"), (4, "a", "d4"), (5, "a", "d5"), (7, "z", "d7")]
+        assert rows_of(spark, path) == want
+
+
+def test_a_merge_into_many_partitions_reads_those_it_must(spark, tmp_path, monkeypatch):
+    path, staging = f"{tmp_path}/t", f"{tmp_path}/s"
+    rows = spark.range(5_000).select(F.col("id").alias("k"), F.lit("a").alias("v"), F.concat(F.lit("d"), (F.col("id") % 1000).cast("string")).alias("dt"))
+    rows.repartition(4, "dt").write.partitionBy("dt").parquet(path)
+    read, real = [], merge.Stored.read
+    monkeypatch.setattr(merge.Stored, "read", lambda self, partitions, columns=None: read.append((len(partitions), columns)) or real(self, partitions, columns))
+    one = frame(spark, [(77, "n", "new")])
+    table = merge.Stored(spark, path, ["dt"], one).refresh()
+    assert len(table.dirs) == 1000
+    merge.summarise(table, list(table.dirs), KEYS)
+    read.clear()
+    merge.merge_into(spark, path, one, KEYS, ["dt"], staging)
+    searched = [n for n, columns in read if columns]
+    rewritten = [n for n, columns in read if not columns]
+    assert searched[0] <= 3 and max(rewritten) == 2  # the filters leave the key's partition and hardly another
+    out = rows_of(spark, path)
+    assert len(out) == 5_000 and [r for r in out if r[0] == 77] == [(77, "n", "new")]
+    read.clear()
+    merge.merge_into(spark, path, frame(spark, [(77, "m", "new")]), ["k", "dt"], ["dt"], staging)
+    assert [n for n, columns in read if columns] == [] and read[0][0] == 1  # the partition is part of the key: no search
+    changed = next(v for v in table.dirs if v != ("new",))
+    merge.write_partitions(frame(spark, [(123_456, "w", changed[0])]), path, ["dt"])  # written past the summaries
+    merge.merge_into(spark, path, frame(spark, [(123_456, "n", "new")]), KEYS, ["dt"], staging)
+    assert [r for r in rows_of(spark, path) if r[0] == 123_456] == [(123_456, "n", "new")]
+
+
+def test_a_grain_that_has_no_rows_any_more_goes(spark, tmp_path):
+    path, staging = f"{tmp_path}/t", f"{tmp_path}/s"
+    frame(spark, [(1, "a", "d1"), (1, "b", "d1"), (2, "c", "d1"), (3, "d", "d2")]).write.partitionBy("dt").parquet(path)
+    merge.replace_grains_into(spark, path, frame(spark, [(1, "n", "d1")]), frame(spark, [(1, "", "d1"), (3, "", "d2")]).select("k", "dt"), ["dt"], staging)
+    assert rows_of(spark, path) == [(1, "n", "d1"), (2, "c", "d1")]
