@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from meterflow.catalog.base import query
+from meterflow.catalog.base import ORACLE_SQL, query
 from meterflow.functions import classify, scalars
-from meterflow.operators import aggregates, joins, upsert, windows
+from meterflow.operators import aggregates, chunks, joins, upsert, windows
 from meterflow.plans import audit
 from meterflow.sources import readers, sinks
 from meterflow.streaming import microbatch
@@ -398,6 +398,48 @@ def hour_grid(t):
     return windows.hour_grid(t.hours.select("equipment_id", "stat_hour", "supply_kwh"), ["equipment_id"], "stat_hour")
 
 
+# The same windows cut into chunks; their SQL is that of the plain ones
+
+
+def _same(name: str):
+    """Register a query whose rows must be those of another one's SQL."""
+
+    def add(f):
+        query()(f)
+        ORACLE_SQL[f.__name__] = ORACLE_SQL[name]
+        return f
+
+    return add
+
+
+@_same("lags_and_trailing")
+def lags_and_trailing_in_chunks(t):
+    def windowed(rows, keys):
+        return windows.trailing(windows.lags(rows, keys, ["stat_hour"], "supply_kwh"), keys, ["stat_hour"], "supply_kwh")
+
+    return chunks.in_chunks(t.hours.select("equipment_id", "stat_hour", "supply_kwh"), ["equipment_id"], ["stat_hour"], 168, windowed, "week").drop("supply_kwh")
+
+
+@_same("rolling_and_differences")
+def rolling_and_differences_in_chunks(t):
+    """Chunks of a day, of which a trailing window may need two."""
+    def windowed(rows, keys):
+        rows = windows.trailing(rows, keys, ["stat_hour"], "supply_kwh", (24,), ("avg", "max", "min", "std"), current=True)
+        return windows.differences(rows, keys, ["stat_hour"], "supply_kwh", (1,))
+
+    return chunks.in_chunks(t.hours.select("equipment_id", "stat_hour", "supply_kwh"), ["equipment_id"], ["stat_hour"], 24, windowed, "day").drop("supply_kwh")
+
+
+@_same("clean_series")
+def clean_series_in_chunks(t):
+    return chunks.clean_series(t.hours.select("equipment_id", "stat_hour", "avg_power"), ["equipment_id"], ["stat_hour"], ["avg_power"], "day")
+
+
+@_same("counter_delta")
+def counter_delta_in_chunks(t):
+    return chunks.counter_delta(_meter(t), ["point_code"], "stat_hour", "reading_value", 100, unit="day")
+
+
 # Streaming logic on batches
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -56,11 +56,15 @@ def cascade(df: DataFrame, levels: Sequence[tuple[DataFrame, Sequence[str], str]
 
 
 def at_offset(df: DataFrame, other: DataFrame, keys: Sequence[str], ts: str, value: str, hours: Sequence[int], prefix: str = "at_") -> DataFrame:
-    """For each row the other table's value exactly so many hours before, or NULL."""
-    for h in hours:
-        shifted = other.select(*keys, (F.col(ts) + F.expr(f"INTERVAL {h} HOURS")).alias(ts), F.col(value).alias(f"{prefix}{h}"))
-        df = df.join(shifted, [*keys, ts], "left")
-    return df
+    """For each row the other table's value exactly so many hours before, or NULL; of several values of that time the greatest.
+
+    One pass: both tables lie in one window by key and time, with a frame of a single instant for each offset.
+    """
+    known = other.select(*keys, ts, F.col(value).alias("_value"))
+    rows = df.withColumn("_asks", F.lit(True)).unionByName(known, allowMissingColumns=True).withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
+    instant = Window.partitionBy(*keys).orderBy("_at")
+    hour = 3_600_000_000
+    return rows.withColumns({f"{prefix}{h}": F.max("_value").over(instant.rangeBetween(-h * hour, -h * hour)) for h in hours}).filter("_asks").drop("_asks", "_value", "_at")
 
 
 def coverage(left: DataFrame, right: DataFrame, keys: Sequence[str], labels: tuple[str, str] = ("left_only", "right_only")) -> DataFrame:

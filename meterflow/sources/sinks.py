@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +12,14 @@ from pyspark.sql import functions as F
 from meterflow.operators.upsert import exists, new_rows
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that driver and executors share (``spark.checkpoint.dir``); on a single machine without the setting, one of its own."""
+    known = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not known and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{known or 'file://' + tempfile.mkdtemp(prefix='spark-')}/{name}-{uuid.uuid4().hex}"
+
+
 @dataclass(frozen=True)
 class Lake:
     """Paths of tables: the full lake and the stream lake hold the same tables apart."""

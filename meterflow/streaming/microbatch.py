@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from meterflow.operators import joins, merge, upsert
 from meterflow.sources import readers, sinks
 
-LINEAGE = ["dt", "source_topic", "partition_id", "offset_id"]
+#: A message by its place in its topic. History has no such place (NULLs): there the point and the time tell readings apart.
+LINEAGE = ["dt", "source_topic", "partition_id", "offset_id", "point_code", "event_time"]
 CONTROL = "job_name string, source_path string, target_path string, last_ingest_time timestamp, last_event_time timestamp, processed_rows bigint, updated_at timestamp"
 
 
