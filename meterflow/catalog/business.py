@@ -283,6 +283,13 @@ def boosted_metrics(t):
     return _train(t, "boosted")[1]
 
 
+@query()
+def boosted_metrics_by_unit(t):
+    """Held-out metrics of boosted trees of its own for each unit."""
+    rows = forecast.training_features(t.hours.filter("supply_kwh IS NOT NULL"))
+    return learning.train_each(rows, forecast.features(t.hours), "supply_kwh", "equipment_id", "stat_hour", "boosted")[1]
+
+
 @query()
 def forest_forecast(t):
     """The next 24 hours of every unit by a random forest, with the covariates of the hour's profile, and a band of 1.28 RMSE of the

@@ -27,6 +27,13 @@ def decode_messages(t):
     return readers.decode(_envelopes(t)).select("sensor_id", "value", "source_topic", "partition_id", "offset_id", "timestamp")
 
 
+@query("""
+    SELECT event_type AS sensor_id, CASE WHEN event_id % 50 <> 7 THEN value END AS value, user_id % 3 AS partition_id, event_id AS offset_id FROM events""", doubles="value")
+def decode_messages_by_topic(t):
+    """The variant in which the topic names the sensor, whatever the payload says."""
+    return readers.decode(_envelopes(t), sensor_from="topic").select("sensor_id", "value", "partition_id", "offset_id")
+
+
 @query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
 def decode_json_props(t):
     return t.events.select("event_id", F.from_json("props", "k bigint").getField("k").alias("k"))
@@ -398,6 +405,20 @@ def hour_grid(t):
     return windows.hour_grid(t.hours.select("equipment_id", "stat_hour", "supply_kwh"), ["equipment_id"], "stat_hour")
 
 
+# Sketches
+
+
+@query("SELECT count(*) AS rows, true AS points_within, true AS units_within FROM readings")
+def distinct_by_sketches(t):
+    """Distinct points and units from sketches by day, united, against the exact counts: within three standard errors of each."""
+    rows = t.readings.withColumn("dt", F.to_date("event_time"))
+    columns = ["point_code", "equipment_id"]
+    estimate = aggregates.distinct_estimates(aggregates.distinct_sketches(rows, ["dt"], columns), columns)
+    exact = rows.agg(*[F.countDistinct(c).alias(f"exact_{c}") for c in columns])
+    within = lambda c: (F.abs(F.col(f"distinct_{c}") - F.col(f"exact_{c}")) <= 3 * aggregates.SKETCH_ERROR * F.col(f"exact_{c}")).alias("points_within" if c == "point_code" else "units_within")
+    return estimate.join(F.broadcast(exact)).select("rows", *[within(c) for c in columns])  # a row each
+
+
 # The same windows cut into chunks; their SQL is that of the plain ones
 
 
