@@ -108,7 +108,7 @@ class Chain:
     def _minutes(self, touched: DataFrame, days: list[date]) -> None:
         grains = touched.select("station_id", "stat_minute", "dt").distinct()
         facts = self.read("fact", days).withColumn("stat_minute", F.date_trunc("minute", "event_time"))
-        made = self.minutes(matching(facts, grains, ["station_id", "stat_minute"]).drop("stat_minute"))
+        made = self.minutes(self.kept(matching(facts, grains, ["station_id", "stat_minute"]).drop("stat_minute"), "minutes_facts"))
         merge.replace_grains_into(self.spark, self.lake.path("minutes"), made, grains, ("dt",), self.staging("minutes"))
 
     def _touched_hours(self, touched: DataFrame, days: list[date]) -> DataFrame:
@@ -150,15 +150,16 @@ class Chain:
 
     def _hours(self, hours: DataFrame, days: list[date]) -> None:
         facts = self.read("fact", days).withColumn("stat_hour", F.date_trunc("hour", "event_time"))
-        own = matching(facts, hours, ["station_id", "stat_hour"])
+        own = self.kept(matching(facts, hours, ["station_id", "stat_hour"]), "own_facts")
         asked = own.filter(self.meters()).select("station_id", "point_code", "stat_hour", "dt").distinct()
         before = self._nearest(self.kept(asked, "asked"), days, ahead=False)
         before = self.kept(matching(before, hours, ["station_id", "stat_hour"], "left_anti").withColumn("dt", F.to_date("stat_hour")), "before")
         earlier = self.read("fact", _days(before)).withColumn("stat_hour", F.date_trunc("hour", "event_time"))
         facts = own.unionByName(matching(earlier, before, ["station_id", "point_code", "stat_hour"]))
+        facts = self.kept(facts.drop("stat_hour"), "needed_facts")  # every system's hours read it several times
         minutes = self.read("minutes", days).withColumn("stat_hour", F.date_trunc("hour", "stat_minute"))
-        minutes = matching(minutes, hours, ["station_id", "stat_hour"]).drop("stat_hour")
-        made = matching(self.hours(minutes, facts.drop("stat_hour")), hours, ["station_id", "stat_hour"])
+        minutes = self.kept(matching(minutes, hours, ["station_id", "stat_hour"]).drop("stat_hour"), "needed_minutes")
+        made = matching(self.hours(minutes, facts), hours, ["station_id", "stat_hour"])
         merge.replace_grains_into(self.spark, self.lake.path("hours"), made, hours, ("dt",), self.staging("hours"))
 
     def _report(self, period: str, hours: DataFrame, days: list[date]) -> None:
