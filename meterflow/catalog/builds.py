@@ -49,7 +49,9 @@ POINTS = CHILLER_POINTS + OTHER_POINTS
 #: Numbers of the points that are meters, which grow and now and then start again, and of those that tell whether a unit runs.
 METERS, STATUS = [4, 5, 10, 14, 15, 17, 18, 21, 23], [3, 9, 22, 24]
 #: Seconds of events in a second of the hourly builds, users of a station, and every how many events one comes from a point that nobody knows.
-PACE, USERS, UNKNOWN = 60, 50, 40
+PACE, USERS, UNKNOWN = 12, 50, 40
+#: Every how many events a meter's reading jumps, and by how much at least: to above and below each of the largest plausible advances.
+JUMP_EVERY, JUMP = 23, 150_000
 START = "2024-01-01 00:00:00"
 
 _CODES = ", ".join(f"'{p[0]}'" for p in POINTS)
@@ -59,7 +61,8 @@ def _readings(t: Tables) -> DataFrame:
     """(event_id, n, sensor_id, timestamp, value, station, at): n numbers the point; at is the time of the hourly builds."""
     numbers = F.array(F.col("event_id") % len(CHILLER_POINTS), len(CHILLER_POINTS) + F.col("event_id") % len(OTHER_POINTS)).cast("array<int>")
     rows = t.events.withColumn("n", F.explode(numbers))
-    meter, status = F.pmod("event_id", F.lit(4000)) * 0.5, F.when(F.col("event_type") == "signup", 0.0).when(F.col("event_type") == "error", -1.0).otherwise(1.0)
+    jump = F.when(F.col("event_id") % JUMP_EVERY == 5, (F.col("event_id") % 4 + 1) * JUMP).otherwise(0)
+    meter, status = F.pmod("event_id", F.lit(4000)) * 0.5 + jump, F.when(F.col("event_type") == "signup", 0.0).when(F.col("event_type") == "error", -1.0).otherwise(1.0)
     value = F.when(F.col("n").isin(*METERS), meter).when(F.col("n").isin(*STATUS), status).otherwise(F.col("value"))
     seconds = F.floor((F.unix_timestamp("ts") - F.unix_timestamp(F.lit(START))) / PACE)
     return rows.select(
@@ -83,7 +86,7 @@ def _fact(t: Tables) -> DataFrame:
     return rows.withColumnsRenamed({"sensor_id": "point_code", "station": "station_id", "at": "event_time"}).withColumn("dt", F.to_date("event_time"))
 
 
-_VALUE = f"CASE WHEN n IN ({', '.join(map(str, METERS))}) THEN (event_id % 4000) * 0.5 WHEN n IN ({', '.join(map(str, STATUS))}) THEN CASE event_type WHEN 'signup' THEN 0.0 WHEN 'error' THEN -1.0 ELSE 1.0 END ELSE value END"
+_VALUE = f"CASE WHEN n IN ({', '.join(map(str, METERS))}) THEN (event_id % 4000) * 0.5 + CASE WHEN event_id % {JUMP_EVERY} = 5 THEN (event_id % 4 + 1) * {JUMP} ELSE 0 END WHEN n IN ({', '.join(map(str, STATUS))}) THEN CASE event_type WHEN 'signup' THEN 0.0 WHEN 'error' THEN -1.0 ELSE 1.0 END ELSE value END"
 _ROWS = ",\n        ".join(f"({i}, '{p[0]}', '{p[1]}', '{p[2]}', '{p[3]}', '{p[4]}', {repr(p[5]) if p[5] else 'NULL'})" for i, p in enumerate(POINTS))
 _UNITS = "CASE theme WHEN 'temperature' THEN '℃' WHEN 'power' THEN 'kW' WHEN 'pressure' THEN 'MPa' WHEN 'flow' THEN 'm³/h' WHEN 'status' THEN 'bool' WHEN 'cumulative' THEN 'kWh' WHEN 'count' THEN 'times' WHEN 'load' THEN '%' END"
 CTES |= {

@@ -34,8 +34,9 @@ def price_row(prices: DataFrame, type_col: str, price_col: str, defaults: dict[s
 
 
 def with_prices(df: DataFrame, row: DataFrame) -> DataFrame:
-    """Every row of df with the one row of prices, which is one row by construction and so is broadcast."""
-    return df.withColumn("_one", F.lit(1)).join(F.broadcast(row.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    """Every row of df with the one row of prices (NULLs if it has none); more rows are an error. What is broadcast is an aggregate's single row."""
+    one = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("more than one row of prices"))).otherwise(F.lit(1)).alias("_one")
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(row.agg(one, *[F.first(c).alias(c) for c in row.columns])), "_one").drop("_one")
 
 
 def strict_total(value: str, running: Column) -> Column:

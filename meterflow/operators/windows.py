@@ -55,8 +55,8 @@ def latest_per_key(df: DataFrame, keys: Keys, order: Keys, n: int = 1) -> DataFr
     return ranked.drop("rn") if n == 1 else ranked
 
 
-def counter_delta(df: DataFrame, keys: Keys, bucket: str, value: str, most: float, name: str = "delta") -> DataFrame:
-    """A meter's advance between consecutive buckets that have readings; NULL on a reset, a jump above most, or the first."""
+def counter_delta(df: DataFrame, keys: Keys, bucket: str, value: str, most: float | Column, name: str = "delta") -> DataFrame:
+    """A meter's advance between consecutive buckets that have readings; NULL on a reset, a jump above most (a number, or a column of the keys), or the first."""
     ends = df.groupBy(*keys, bucket).agg(F.max(value).alias("reading"))
     advance = F.col("reading") - F.lag("reading").over(series(keys, [bucket]))
     return ends.withColumn(name, F.when(advance.between(0, most), advance))

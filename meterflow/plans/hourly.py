@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterflow.functions import metrics
 from meterflow.functions.scalars import guard, non_negative, running_flag
-from meterflow.operators import aggregates, joins, windows
+from meterflow.operators import aggregates, windows
 from meterflow.sources.schemas import HOURLY, HOURLY_DOUBLES
 
 # Plausible ranges, largest hourly advances of meters, and points by code.
 TEMPERATURE, PRESSURE, FLOW, LOAD = (0, 120), (0, 10), (0, 100_000), (0, 120)
 MOST_GAS, MOST_HEAT, MOST_ELECTRIC, MOST_GENERATOR_GAS = 200_000, 200_000, 500_000, 300_000
 BOILER_GAS = {"14BOILER_GAS_TOTAL": "14", "23BOILER_GAS_TOTAL": "23"}
-CCHP_METERS = {"FT2005_RL_C": "heating", "P9_ADDH": "cooling"}
+CCHP_METERS = {"heating": "FT2005_RL_C", "cooling": "P9_ADDH"}
 HEADER_SUPPLY, HEADER_RETURN = "TT2005_T", "TT2004_T"
 GENERATOR_METER, GENERATOR_RUN, GENERATOR_GAS = r"^SLG_JZ[0-9]+_DD_YG_ZZ1$", r"^[0-9]+FDJ_RUN$", "FDJ_GAS_TOTAL"
 
@@ -58,30 +58,32 @@ def _ranges(pairs: dict) -> list:
     return out
 
 
-def _by_role() -> dict:
+def _by_role(where: Column) -> dict:
     role = F.col("measure_role")
-    return {"supply_temp": (role == "supply_temp", TEMPERATURE), "return_temp": (role == "return_temp", TEMPERATURE), "pressure": (role == "pressure", PRESSURE), "flow": (role == "flow", FLOW)}
+    return {name: (where & (role == name), bounds) for name, bounds in (("supply_temp", TEMPERATURE), ("return_temp", TEMPERATURE), ("pressure", PRESSURE), ("flow", FLOW))}
 
 
 def heating_hours(fact: DataFrame) -> DataFrame:
-    """Each burner's hours: its group's measured gas shared by load, or an estimate from its load."""
+    """Each burner's hours: its group's measured gas shared by load, or an estimate from its load. Boilers and burners of one number are
+    aggregated together, so the fact is read once for them and once for the gas meters."""
     fact = prepared(fact).withColumn("number", F.regexp_extract("equipment_id", "([0-9]+)$", 1))
-    keys = ["station_id", "number", "stat_hour", "dt"]
-    boiler = fact.filter((F.col("system_type") == "boiler") & F.col("equipment_id").rlike("^boiler_[0-9]+$"))
-    state = boiler.filter(~F.col("point_code").contains("GAS_TOTAL")).groupBy(*keys).agg(*_ranges(_by_role()), F.count(F.lit(1)).alias("boiler_records"))
-    code, v = F.col("point_code"), F.col("value_clean")
-    burner = fact.filter((F.col("system_type") == "burner") & F.col("equipment_id").rlike("^burner_[0-9]+$")).groupBy(*keys).agg(
-        F.avg(guard("value_clean", *LOAD, code.startswith("Burner_Load_"))).alias("load_pct"),
-        F.avg(guard("value_clean", 0, 1, code.startswith("Op_Burner_"))).alias("measured_runtime"),
-        F.count_if(code.startswith("Op_Burner_") & (v > 0)).alias("running_sample_count"),
-        F.max(F.when(code.startswith("BetrStdB_"), v)).alias("cumulative_runtime_hours"),
-        F.count(F.lit(1)).alias("burner_records"),
-    )
-    burner = burner.withColumn("runtime_hours", metrics.burner_runtime("measured_runtime", "load_pct"))
-    burner = burner.withColumns({"weight": metrics.allocation_weight("runtime_hours", "load_pct"), "gas_group": metrics.gas_group("number")})
-    gas = windows.counter_delta(boiler.filter(code.isin(*BOILER_GAS)), ["station_id", "point_code", "dt"][:2], "stat_hour", "value_clean", MOST_GAS, "gas_m3")
+    keys, code, v = ["station_id", "number", "stat_hour", "dt"], F.col("point_code"), F.col("value_clean")
+    boiler = (F.col("system_type") == "boiler") & F.col("equipment_id").rlike("^boiler_[0-9]+$")
+    burner = (F.col("system_type") == "burner") & F.col("equipment_id").rlike("^burner_[0-9]+$")
+    state = boiler & ~code.contains("GAS_TOTAL")
+    units = fact.filter(state | burner).groupBy(*keys).agg(
+        *_ranges(_by_role(state)), F.count_if(state).alias("boiler_records"),
+        F.avg(guard("value_clean", *LOAD, burner & code.startswith("Burner_Load_"))).alias("load_pct"),
+        F.avg(guard("value_clean", 0, 1, burner & code.startswith("Op_Burner_"))).alias("measured_runtime"),
+        F.count_if(burner & code.startswith("Op_Burner_") & (v > 0)).alias("running_sample_count"),
+        F.max(F.when(burner & code.startswith("BetrStdB_"), v)).alias("cumulative_runtime_hours"),
+        F.count_if(burner).alias("burner_records"),
+    )
+    units = units.filter("burner_records > 0").withColumn("runtime_hours", metrics.burner_runtime("measured_runtime", "load_pct"))
+    units = units.withColumns({"weight": metrics.allocation_weight("runtime_hours", "load_pct"), "gas_group": metrics.gas_group("number")})
+    gas = windows.counter_delta(fact.filter(boiler & code.isin(*BOILER_GAS)), ["station_id", "point_code"], "stat_hour", "value_clean", MOST_GAS, "gas_m3")
     gas = gas.select("station_id", "stat_hour", F.when(code == "14BOILER_GAS_TOTAL", "14").otherwise("23").alias("gas_group"), metrics.gas_energy("gas_m3").alias("gas_kwh"), metrics.gas_heat("gas_m3").alias("gas_heat_kwh"))
-    out = windows.allocate(burner, ["station_id", "gas_group", "stat_hour"], "weight").join(gas, ["station_id", "gas_group", "stat_hour"], "left").join(state, keys, "left")
+    out = windows.allocate(units, ["station_id", "gas_group", "stat_hour"], "weight").join(gas, ["station_id", "gas_group", "stat_hour"], "left")
     estimate = F.coalesce(F.col("load_pct"), F.lit(0.0)) / 100 * metrics.HEATING_NOMINAL_KW * F.col("runtime_hours")
     running = F.col("runtime_hours") > 0
     out = out.withColumns({"measured": F.col("gas_heat_kwh") * F.col("share"), "measured_input": F.col("gas_kwh") * F.col("share")})
@@ -90,25 +92,35 @@ def heating_hours(fact: DataFrame) -> DataFrame:
     out = out.withColumns({
         "equipment_id": F.concat(F.lit("heating_"), "number"), "run_minutes": F.col("runtime_hours") * 60, "operation_rate": F.col("runtime_hours") * 100,
         "energy_input_kwh": F.col("energy_consumption_kwh"), "supply_kwh": F.col("heating_supply_kwh"), "cooling_supply_kwh": F.lit(0.0), "electric_supply_kwh": F.lit(0.0),
-        "record_count": F.coalesce("boiler_records", F.lit(0)) + F.coalesce("burner_records", F.lit(0)), "metric_quality": metrics.heating_quality(F.col("measured"), F.col("group_weight")),
+        "record_count": F.col("boiler_records") + F.col("burner_records"), "metric_quality": metrics.heating_quality(F.col("measured"), F.col("group_weight")),
     })
     return conform(out, "heating", "heating")
 
 
 def cchp_hours(fact: DataFrame) -> DataFrame:
-    """The combined plant's hours from its heat, cooling and electricity meters."""
+    """The combined plant's hours from its heat, cooling and electricity meters: one window gives all meters' advances, one aggregation the
+    state of the plant and its generators."""
     fact, keys, code = prepared(fact), ["station_id", "stat_hour", "dt"], F.col("point_code")
-    delta = lambda where, most: windows.counter_delta(fact.filter(where), ["station_id", "point_code"], "stat_hour", "value_clean", most).withColumn("dt", F.to_date("stat_hour"))
-    heat = delta((F.col("system_type") == "cchp") & code.isin(*CCHP_METERS), MOST_HEAT).withColumn("carrier", F.when(code == "FT2005_RL_C", "heating").otherwise("cooling"))
-    heat = aggregates.pivot_listed(heat, keys, "carrier", ["heating", "cooling"], "delta")
-    generator = F.col("system_type") == "generator"
-    electric = delta(generator & code.rlike(GENERATOR_METER), MOST_ELECTRIC).groupBy(*keys).agg(F.sum("delta").alias("electric"))
-    gas = delta(generator & (code == GENERATOR_GAS), MOST_GENERATOR_GAS).groupBy(*keys).agg(metrics.gas_energy(F.sum("delta")).alias("gas_kwh"))
-    named = {"header_supply": (code == HEADER_SUPPLY, TEMPERATURE), "header_return": (code == HEADER_RETURN, TEMPERATURE)}
-    state = fact.filter("system_type = 'cchp'").groupBy(*keys).agg(*_ranges(_by_role() | named), F.count(F.lit(1)).alias("cchp_records"))
+    plant, generator = F.col("system_type") == "cchp", F.col("system_type") == "generator"
+    meters = {
+        **{kind: (plant & (code == point), MOST_HEAT) for kind, point in CCHP_METERS.items()},
+        "electric": (generator & code.rlike(GENERATOR_METER), MOST_ELECTRIC), "gas": (generator & (code == GENERATOR_GAS), MOST_GENERATOR_GAS),
+    }
+    named = lambda i: F.coalesce(*[F.when(where, F.lit((kind, most)[i])) for kind, (where, most) in meters.items()])
+    rows = fact.withColumns({"meter": named(0), "most": named(1)}).filter(F.col("meter").isNotNull())
+    advances = windows.counter_delta(rows, ["station_id", "point_code", "meter", "most"], "stat_hour", "value_clean", F.col("most"))
+    total = {kind: F.sum(F.when(F.col("meter") == kind, F.col("delta"))) for kind in meters}
+    out = advances.withColumn("dt", F.to_date("stat_hour")).groupBy(*keys).agg(
+        *[total[kind].alias(kind) for kind in ("heating", "cooling", "electric")], metrics.gas_energy(total["gas"]).alias("gas_kwh")
+    )
+    runs = generator & code.rlike(GENERATOR_RUN)
+    header = {"header_supply": (plant & (code == HEADER_SUPPLY), TEMPERATURE), "header_return": (plant & (code == HEADER_RETURN), TEMPERATURE)}
+    state = fact.filter(plant | runs).groupBy(*keys).agg(
+        *_ranges(_by_role(plant) | header), F.avg(guard("value_clean", 0, 1, runs)).alias("generator_runtime"), F.count_if(runs).alias("generator_records"),
+        F.count_if(plant).alias("cchp_records"), F.when(F.count_if(runs) > 0, F.count_if(runs & (F.col("value_clean") > 0))).alias("running_sample_count"),
+    )
     state = state.withColumns({f"{s}_supply_temp": F.coalesce(f"{s}_header_supply", f"{s}_supply_temp") for s in ("avg", "max", "min")} | {"avg_return_temp": F.coalesce("avg_header_return", "avg_return_temp")})
-    run = fact.filter(generator & code.rlike(GENERATOR_RUN)).groupBy(*keys).agg(F.avg(guard("value_clean", 0, 1)).alias("generator_runtime"), F.count_if(F.col("value_clean") > 0).alias("running_sample_count"), F.count(F.lit(1)).alias("generator_records"))
-    out = joins.assemble([joins.assemble([heat, electric, gas], keys, "full"), state, run], keys, "left")
+    out = out.join(state, keys, "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     out = out.withColumns({"heating_supply_kwh": zero("heating"), "cooling_supply_kwh": zero("cooling"), "electric_supply_kwh": zero("electric")})
     out = out.withColumn("supply_kwh", F.col("heating_supply_kwh") + F.col("cooling_supply_kwh") + F.col("electric_supply_kwh"))

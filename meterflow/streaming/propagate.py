@@ -38,7 +38,7 @@ def system_hours(minutes: DataFrame, fact: DataFrame) -> DataFrame:
 def is_meter() -> Column:
     """Points whose hours are advances of a growing reading."""
     code = F.col("point_code")
-    return code.isin(*hourly.BOILER_GAS, *hourly.CCHP_METERS, hourly.GENERATOR_GAS) | code.rlike(hourly.GENERATOR_METER)
+    return code.isin(*hourly.BOILER_GAS, *hourly.CCHP_METERS.values(), hourly.GENERATOR_GAS) | code.rlike(hourly.GENERATOR_METER)
 
 
 @dataclass(frozen=True)

@@ -62,3 +62,15 @@ def test_every_hourly_table_has_the_same_types(spark, points):
     assert made.columns == HOURLY and all(dict(made.dtypes)[c] == "double" for c in HOURLY_DOUBLES)
     bare = hourly.conform(spark.range(1).select(F.lit("s").alias("station_id"), F.lit("e").alias("equipment_id"), F.current_timestamp().alias("stat_hour"), F.current_date().alias("dt")), "x", "y")
     assert dict(bare.dtypes)["run_minutes"] == dict(bare.dtypes)["operation_rate"] == "double"
+
+
+@pytest.mark.parametrize("cap,build", [("MOST_GAS", "heating_hours"), ("MOST_HEAT", "cchp_hours"), ("MOST_ELECTRIC", "cchp_hours"), ("MOST_GENERATOR_GAS", "cchp_hours")])
+def test_the_builds_data_reach_every_cap(spark, monkeypatch, cap, build):
+    """A query that is compared with SQL turns red when a largest advance is changed."""
+    from meterflow.catalog import QUERIES
+    from meterflow.plans import hourly
+
+    rows = lambda: sorted(map(str, QUERIES[build](spark, "/root/testdata/sf0.01").collect()))
+    before = rows()
+    monkeypatch.setattr(hourly, cap, getattr(hourly, cap) * 2)
+    assert rows() != before
