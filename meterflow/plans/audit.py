@@ -131,6 +131,16 @@ def checksum(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), *[F.sum(c).alias(f"sum_{c}") for c in columns])
 
 
+def compare_checksums(left: DataFrame, right: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """(figure, left, right, same) of two runs' single rows: counts must be equal, sums within a relative tolerance, as the order of additions differs."""
+    figures = lambda df: F.array(*[F.struct(F.lit(c).alias("figure"), F.col(c).cast("double").alias("value")) for c in df.columns])
+    one = lambda df, side: df.select(F.explode(figures(df)).alias("x")).select("x.figure", F.col("x.value").alias(side))
+    whole = [c for c, kind in left.dtypes if kind in ("int", "bigint")]
+    near = F.abs(F.col("left") - F.col("right")) <= tolerance * F.greatest(F.abs("left"), F.abs("right"))
+    same = F.when(F.col("figure").isin(*whole), F.col("left").eqNullSafe(F.col("right"))).otherwise(F.coalesce(near, F.col("left").isNull() & F.col("right").isNull()))
+    return one(left, "left").join(one(right, "right"), "figure", "full").select("figure", "left", "right", F.coalesce(same, F.lit(False)).alias("same"))
+
+
 def recent_window_report(hours: DataFrame, keys: Sequence[str], ts: str, value: str, n: int = 168) -> DataFrame:
     """Workload: the latest n rows of each entity, summed."""
     rn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(ts)))

@@ -65,3 +65,21 @@ def test_sketches_of_days_unite(spark):
     assert out["rows"] == 40_000 and abs(out["distinct_k"] - 7001) < 3 * aggregates.SKETCH_ERROR * 7001 and out["distinct_few"] == 11
     empty = aggregates.distinct_estimates(first.limit(0), ["k", "few"]).first()
     assert tuple(empty) == (0, 0, 0)
+
+
+def test_workloads_give_one_checksum_however_they_are_dealt(spark):
+    from meterflow.plans import audit
+
+    hours = Tables(spark, "/root/testdata/sf0.01").hours.cache()
+    keys, before = ["station_id", "equipment_id"], spark.conf.get("spark.sql.shuffle.partitions")
+    for work in (audit.report_workload, audit.latest_workload, audit.feature_workload):
+        runs = []
+        for parts in ("1", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            made = work(hours.repartition(int(parts)), keys)
+            runs.append(spark.createDataFrame(made.collect(), made.schema))
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        found = audit.compare_checksums(*runs).collect()
+        assert found and all(r["same"] for r in found)
+    off = audit.compare_checksums(runs[0], runs[1].withColumn("output_rows", F.col("output_rows") + 1)).collect()
+    assert [r["figure"] for r in off if not r["same"]] == ["output_rows"]
