@@ -70,15 +70,20 @@ def recompute(fact: DataFrame, batch: DataFrame, keys: list[str], build: Callabl
 
 
 def micro_batches(spark: SparkSession, messages: DataFrame, points: DataFrame, fact_path: str, hours_path: str, checkpoint: str, build: Callable[[DataFrame], DataFrame], fact_of: Callable[[DataFrame, DataFrame], DataFrame], keys: list[str] = ("station_id",), log_path: str | None = None):  # noqa: B006
-    """A query that turns each micro-batch into facts and recomputes the hours it touches. Replays change nothing."""
+    """A query that turns each micro-batch into facts and recomputes the hours it touches. Replays change nothing.
+
+    For plants whose hours need only the hour before and whose reports are made elsewhere; ``propagate`` brings a batch through all tables.
+    """
     keys = list(keys)
 
     def each(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         facts = fact_of(batch, points)
         upsert_lineage(spark, facts, fact_path, f"{fact_path}_staging")
-        made = recompute(spark.read.parquet(fact_path), facts, keys, build)
-        merge.merge_into(spark, hours_path, made, [*keys, "equipment_id", "stat_hour"], ("dt",), f"{hours_path}_staging")
+        needed = needed_hours(affected_hours(facts, keys)).select(F.to_date("stat_hour").alias("dt")).distinct()
+        days = [r["dt"] for r in needed.collect()]  # literals, so that only these days' partitions are read
+        made = recompute(spark.read.parquet(fact_path).filter(F.col("dt").isin(days)), facts, keys, build) if days else build(facts.limit(0))
+        merge.merge_into(spark, hours_path, made, ["dt", *keys, "equipment_id", "stat_hour"], ("dt",), f"{hours_path}_staging")
         if log_path:
             batch_statistics(facts).withColumn("batch", F.lit(number)).write.mode("append").parquet(log_path)
         batch.unpersist()
