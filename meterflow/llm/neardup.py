@@ -12,7 +12,10 @@ together without meeting pair by pair. Only classes that still share a bucket wi
 there, within the join's condition: a pair goes on if its sizes allow a link, its distances from the common
 head differ by no more than a link's distance (Jaccard distance is a metric), and enough minhash values agree. It
 goes on once, from the first table that its texts share. Pairs within a component are never made. Of VALUES minhash values,
-kept to four bits each, a pair must share as many as a link of the least similarity has but for LOST of all cases.
+kept to four bits each, a pair must share as many as a link of the least similarity has but for LOST of all cases. In a bucket
+with more than CROWDED classes the pairs that the estimate lets through would grow with the square of a group whose texts resemble
+each other without being linked; there it rests on FINER further values, one bit each, made for the classes of such buckets alone.
+Tables that are needed no longer are deleted on the way.
 
 Cases: texts without words have an empty set, size 0, and link with nothing. NULL ids take no part: size as usual, no
 component, kept. Rows with equal ids: all their sets count for the id. Other columns are ignored by ``near_duplicates`` and
@@ -22,15 +25,15 @@ kept by ``without_near_duplicates``, whatever their names. Empty tables give emp
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
-from math import ceil, comb, log
+import uuid
+from math import ceil, exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterflow.llm.common import as_rows, slices, stored, texts_of, worker_tools
+from meterflow.llm.common import as_rows, dropped, shared_dir, slices, stored, texts_of, worker_tools
 from meterflow.llm.components import components
 from meterflow.llm.shingles import WORDS, Shingler, minhashes, mixed, permutations
 
@@ -45,6 +48,8 @@ LEAST = 75
 VALUES, LOST = 256, 2.6e-4
 #: Heads with more classes outside their component get further heads beside them, so many in a round, for so many rounds at most.
 FEW_OUTSIDE, HEADS, ROUNDS = 16, 4, 4
+#: Buckets with more classes than CROWDED, when all heads have been compared, have their pairs estimated from FINER values.
+CROWDED, FINER = 16, 2048
 #: Pairs whose ids are sent to every task (a few megabytes) instead of shuffling the texts.
 FEW_PAIRS = 100_000
 
@@ -56,9 +61,9 @@ def groups_for(least: int) -> int:
 
 def least_equal(least: float, values: int = VALUES, lost: float = LOST) -> int:
     """How many of so many minhash values two sets of the least similarity (a share) agree in, but for a share of lost."""
-    total = 0.0
+    total, hit, miss = 0.0, log(least), log(max(1 - least, 1e-300))
     for k in range(values + 1):
-        total += comb(values, k) * least**k * (1 - least) ** (values - k)
+        total += exp(lgamma(values + 1) - lgamma(k + 1) - lgamma(values - k + 1) + k * hit + (values - k) * miss)
         if total > lost:
             return k
     return values
@@ -102,6 +107,24 @@ def nibbles(values: np.ndarray) -> np.ndarray:
     return (low << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64).view(np.int64)
 
 
+def _finer(texts: DataFrame) -> DataFrame:
+    """(doc, finer) of (doc, text): the lowest bit of each of FINER further minhash values, 64 to an integer."""
+
+    def run(batches):
+        shingler, (a, b) = worker_tools(("finer",), lambda: (Shingler(WORDS), permutations(FINER, SEED + 1)))
+        for batch in batches:
+            for part in slices(batch, 1_000_000):
+                values = minhashes(*shingler.hashes(part.column("text")), a, b)
+                yield pa.RecordBatch.from_arrays([part.column("doc"), lists(bits(values))], ["doc", "finer"])
+
+    return texts.mapInArrow(run, "doc long, finer array<long>")
+
+
+def bits(values: np.ndarray) -> np.ndarray:
+    """The lowest bit of each value, 64 to a 64-bit integer."""
+    return np.packbits((values & np.uint32(1)).astype(np.uint8), axis=1).view(np.int64)
+
+
 def _table_rows(classes: DataFrame, m: int) -> DataFrame:
     """(table, key, doc): m * m rows for each class."""
     first, second = F.slice("groups", 1, m), F.slice("groups", m + 1, m)
@@ -130,27 +153,42 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "doc long, shingles array<long>")
 
 
-def _compared(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """(u, v, both, either) of stored pairs: sizes of intersection and union of the full sets, made for the texts that the pairs have."""
+def _compared(pairs: DataFrame, held: DataFrame, work: str) -> DataFrame:
+    """(u, v, both, either) of pairs: sizes of intersection and union of the full sets, made for the texts that the pairs have."""
+    now = f"{work}/now"
+    pairs = stored(pairs, f"{now}/pairs")
     docs = pairs.select(F.col("u").alias("doc")).distinct().unionByName(pairs.select(F.col("v").alias("doc")).distinct()).distinct()
     docs = F.broadcast(docs) if pairs.count() <= FEW_PAIRS else docs
-    sets = stored(_sets(held.join(docs, "doc", "left_semi")), "sets")
+    sets = stored(_sets(held.join(docs, "doc", "left_semi")), f"{now}/sets")
     side = lambda s: sets.select(F.col("doc").alias(s), F.col("shingles").alias(f"set_{s}"))
     both = F.size(F.array_intersect("set_u", "set_v")).cast("long")
     met = pairs.join(side("v"), "v").join(side("u"), "u").select("u", "v", both.alias("both"), (F.size("set_u") + F.size("set_v")).alias("total"))
-    return stored(met.select("u", "v", "both", (F.col("total") - F.col("both")).alias("either")), "compared")
+    done = stored(met.select("u", "v", "both", (F.col("total") - F.col("both")).alias("either")), "compared")
+    dropped(pairs.sparkSession, f"{shared_dir(pairs.sparkSession)}/{now}")
+    return done
+
+
+def _sizes_allow(least: int) -> Column:
+    return 100 * F.least("n_shingles_u", "n_shingles_v") >= least * F.greatest("n_shingles_u", "n_shingles_v")
 
 
-def _may_link(least: int, values: int) -> Column:
-    """Whether sizes and minhash values of u and v allow a link."""
-    sizes = 100 * F.least("n_shingles_u", "n_shingles_v") >= least * F.greatest("n_shingles_u", "n_shingles_v")
+def _marks_allow(least: int, values: int) -> Column:
+    """Whether enough of the minhash values of u and v, four bits each, are equal for a link."""
     equal = F.lit(values)
     for i in range(values // 16):  # a nibble that differs leaves one of its bits
         x = F.get("marks_u", F.lit(i)).bitwiseXOR(F.get("marks_v", F.lit(i)))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1111111111111111))
         equal = equal - F.bit_count(x)
-    return sizes & (equal >= least_equal(least / 100, values))
+    return equal >= least_equal(least / 100, values)
+
+
+def _finer_allow(least: int) -> Column:
+    """The same for FINER values of one bit, which are equal by chance in half of the other cases."""
+    equal = F.lit(FINER)
+    for i in range(FINER // 64):
+        equal = equal - F.bit_count(F.get("finer_u", F.lit(i)).bitwiseXOR(F.get("finer_v", F.lit(i))))
+    return equal >= least_equal((1 + least / 100) / 2, FINER)
 
 
 def _side(df: DataFrame, s: str) -> DataFrame:
@@ -164,31 +202,32 @@ def linked(classes: DataFrame, rows: DataFrame, texts: DataFrame, least: int, va
     classes: stored (doc, n_shingles, marks and what first_table needs); rows: (table, key, doc); texts: (doc, text) with a text of
     each class at least. Two classes that share a bucket and reach the least similarity are in one component at the end.
     """
+    spark, work = classes.sparkSession, f"near-{uuid.uuid4().hex}"
     buckets = rows.groupBy("table", "key").agg(F.min("doc").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    shared = stored(rows.join(buckets, ["table", "key"]), "shared")
-    held = stored(texts.join(shared.select("doc").distinct(), "doc", "left_semi"), "texts")
-    sides, may = classes.select("doc", "n_shingles", "marks"), _may_link(least, values)
+    shared = stored(rows.join(buckets, ["table", "key"]), f"{work}/shared")
+    held = stored(texts.join(shared.select("doc").distinct(), "doc", "left_semi"), f"{work}/texts")
+    sides, may = classes.select("doc", "n_shingles", "marks"), _sizes_allow(least) & _marks_allow(least, values)
     reached = 100 * F.col("both") >= least * F.col("either")
 
     # A head's group: all classes that share a bucket with it where it is the smallest, each once however many buckets they share.
-    groups = stored(shared.filter("doc <> head").select("head", "doc").distinct().join(sides, "doc"), "groups")
+    groups = stored(shared.filter("doc <> head").select("head", "doc").distinct().join(sides, "doc"), f"{work}/groups")
     members = _side(groups, "v")
     pairs = members.join(_side(sides, "u"), (F.col("head_v") == F.col("u")) & may).select("u", "v")
-    stars = _compared(stored(pairs, "pairs"), held)
+    stars = _compared(pairs, held, work)
     links = stars.filter(reached)
     roots = components(links.select("u", "v"))
     for turn in range(ROUNDS):
         root = lambda of, name: roots.select(F.col("node").alias(of), F.col("root").alias(name))  # noqa: B023, E731
         at = members.join(root("v", "root"), "v", "left").join(root("head_v", "top"), "head_v", "left")
-        at = stored(at.withColumns({"root_v": F.coalesce("root", "v"), "top": F.coalesce("top", "head_v")}).drop("root"), "placed")
+        at = stored(at.withColumns({"root_v": F.coalesce("root", "v"), "top": F.coalesce("top", "head_v")}).drop("root"), f"{work}/placed")
         chosen = [F.min(F.struct(F.xxhash64("v", F.lit(turn * HEADS + i)).alias("h"), F.col("v").alias("u"), F.col("root_v").alias("root_u"))) for i in range(HEADS)]
         outside = at.filter("root_v <> top").groupBy("head_v").agg(F.count(F.lit(1)).alias("n"), F.array(*chosen).alias("further")).filter(F.col("n") > FEW_OUTSIDE)
         heads = outside.select(F.col("head_v").alias("of"), F.explode("further").alias("h")).select("of", "h.u", "h.root_u").dropDuplicates(["of", "root_u"])
-        heads = stored(heads.join(_side(sides, "u"), "u"), "heads")
+        heads = stored(heads.join(_side(sides, "u"), "u"), f"{work}/heads")
         if heads.isEmpty():
             break
         pairs = at.join(heads, (F.col("head_v") == F.col("of")) & (F.col("root_v") != F.col("root_u")) & may).select("u", "v").distinct()
-        new = _compared(stored(pairs, "pairs"), held).filter(reached)
+        new = _compared(pairs, held, work).filter(reached)
         if new.isEmpty():
             break
         links = links.unionByName(new)
@@ -196,17 +235,23 @@ def linked(classes: DataFrame, rows: DataFrame, texts: DataFrame, least: int, va
 
     # Buckets with more than one component, each class with its distance from the bucket's head where it has been compared.
     at = shared.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-    several = at.groupBy("table", "key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("table", "key")
+    several = at.groupBy("table", "key").agg(F.min("root").alias("least"), F.max("root").alias("most"), (F.count(F.lit(1)) > CROWDED).alias("crowded"))
+    inside = stored(at.join(several.filter("least < most").drop("least", "most"), ["table", "key"]), f"{work}/inside")
+    finer = stored(_finer(held.join(inside.filter("crowded").select("doc").distinct(), "doc", "left_semi")), f"{work}/finer")
     distances = stars.select(F.col("u").alias("head"), F.col("v").alias("doc"), (1 - F.col("both") / F.col("either")).alias("far"))
-    inside = at.join(several, ["table", "key"]).join(distances, ["head", "doc"], "left")
-    inside = inside.withColumn("far", F.when(F.col("doc") == F.col("head"), 0.0).otherwise(F.col("far"))).drop("head").join(classes, "doc")
+    inside = inside.join(distances, ["head", "doc"], "left").withColumn("far", F.when(F.col("doc") == F.col("head"), 0.0).otherwise(F.col("far"))).drop("head")
+    # A class is estimated by one of the two kinds of values, as its bucket is crowded or not.
+    estimates = {"marks": F.when(~F.col("crowded"), F.col("marks")), "finer": F.when(F.col("crowded"), F.col("finer"))}
+    inside = inside.join(classes, "doc").join(finer, "doc", "left").withColumns(estimates)
+    alike = F.when(F.col("crowded_u"), _finer_allow(least)).otherwise(_marks_allow(least, values))
     near_head = F.coalesce(F.abs(F.col("far_u") - F.col("far_v")) <= 1 - least / 100 + 1e-9, F.lit(True))
     apart = (F.col("table_u") == F.col("table_v")) & (F.col("key_u") == F.col("key_v")) & (F.col("root_u") < F.col("root_v"))
-    pairs = _side(inside, "u").join(_side(inside, "v"), apart & near_head & may & (first_table == F.col("table_u")))
-    last = stored(pairs.select("u", "v"), "pairs")
-    if not last.isEmpty():
-        links = links.unionByName(_compared(last, held).filter(reached))
+    pairs = _side(inside, "u").join(_side(inside, "v"), apart & near_head & _sizes_allow(least) & (first_table == F.col("table_u")) & alike)
+    new = _compared(pairs.select("u", "v"), held, work).filter(reached)
+    if not new.isEmpty():
+        links = links.unionByName(new)
         roots = components(links.select("u", "v"))
+    dropped(spark, f"{shared_dir(spark)}/{work}")
     return links, roots
 
 

@@ -67,7 +67,7 @@ def test_a_large_group_of_edited_copies(spark):
     rng = random.Random(8)
     base = [f"b{rng.randrange(10**6)}" for _ in range(160)]
     rows = [(0, " ".join(base))]
-    for i in range(1, 500):
+    for i in range(1, 1500):
         kept = rng.randint(60, 160)
         start = rng.randint(0, 160 - kept) if i % 3 else 0
         copy = base[start : start + kept]
@@ -83,5 +83,5 @@ def test_a_large_group_of_edited_copies(spark):
     # Every component is one of brute force or a part of it; a link is missed by the minhash estimates once in some thousand.
     assert all(want[got[i]] == want[i] for i in got)
     lost = sum(got[i] != want[i] for i in got)
-    assert lost <= 5, lost
+    assert lost <= 15, lost
     assert all(r["n_shingles"] == len(sets[r["doc_id"]]) for r in out)
