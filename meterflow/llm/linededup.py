@@ -3,10 +3,11 @@
 Documents come in batches of ascending id. A run is a table of line hashes, bucketed and sorted by hash, with the document that
 owns each. A batch's hashes (one row for each, with its smallest document) are merge-anti-joined with every run, bucket by
 bucket without moving or sorting the runs; what is left is owned by the batch and becomes a run of level 0. When a level has FANOUT
-runs they are merged into one run of the next level, so a batch meets few runs however many came before. At the end every
-document gets the hashes it owns and keeps just those lines, whose number is bounded by the document's own lines: a line
+runs they are merged into one run of the next level, bucket by bucket without moving them (the write sorts a bucket's rows, as it does for
+every run), so a batch meets few runs however many came before. At the end every document gets the hashes it owns and keeps just those lines, whose number is bounded by the document's own lines: a line
 that a third of all documents share is owned by one of them. Runs in a folder of their own outlive the call: a batch of another
-day is deduplicated against them, and adds its own.
+day is deduplicated against them, and adds its own; of earlier runs it reads hashes, and the owners only where they are
+within the day's ids, so that the archive is not moved and the files' statistics skip what is older.
 
 A line's key: the line without ``[\\x20\\x09-\\x0D]`` at both ends, A-Z in lower case. Keys shorter than MIN_CHARS code
 points always stay. A key's hash has 128 bits.
@@ -24,6 +25,7 @@ import re
 import struct
 import uuid
 from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -54,11 +56,14 @@ def halves(h: bytes) -> tuple[int, int]:
 class Runs:
     """Runs of line hashes by level, as bucketed tables in a folder; each run's name tells its level and number of buckets.
 
-    Spark's setting for the order of bucketed scans is on while a run is read: a run has one file a bucket, so that its order holds.
+    While runs are read, Spark's settings keep the order of bucketed scans (a run has one file a bucket, so that its order holds) and
+    read by bucket also where only a union follows.
     """
 
-    ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
     NAME = re.compile(r"run_([0-9]+)_([0-9]+)_[0-9a-f]{32}$")
+    READING = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
+    #: A union of columnar scans would lay the runs' partitions one after another instead of bucket by bucket (Spark 4.1).
+    BY_ROW = {"spark.sql.parquet.enableVectorizedReader": "false"}
 
     def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT):
         self.spark, self.fanout, self.levels = spark, fanout, [[]]
@@ -79,18 +84,22 @@ class Runs:
         self.spark.sql(f"CREATE TABLE {name} ({columns}) {layout}")
 
     @contextmanager
-    def _in_order(self):
-        before = self.spark.conf.get(self.ORDERED, "false")
-        self.spark.conf.set(self.ORDERED, "true")
+    def reading(self, by_row: bool = False):
+        """The session's settings while runs are read; by_row for a union of runs."""
+        wanted = {**self.READING, **(self.BY_ROW if by_row else {})}
+        before = {name: self.spark.conf.get(name) for name in wanted}
         try:
+            for name, value in wanted.items():
+                self.spark.conf.set(name, value)
             yield
         finally:
-            self.spark.conf.set(self.ORDERED, before)
+            for name, value in before.items():
+                self.spark.conf.set(name, value)
 
     def add(self, lines: DataFrame) -> None:
         """Anti-join a batch of (hi, lo, doc, part) with the runs and add what it owns as a new run."""
         first = F.struct(F.col("doc").isNull().alias("none"), "doc", "part")  # NULL ids come last
-        with self._in_order():
+        with self.reading():
             own = lines.groupBy("hi", "lo").agg(F.min(first).alias("owner"))
             for run in self.tables():
                 own = own.join(self.spark.table(run).select("hi", "lo").hint("merge"), ["hi", "lo"], "left_anti")
@@ -100,22 +109,22 @@ class Runs:
     def _put(self, level: int, rows: DataFrame, buckets: int) -> None:
         name = f"run_{level}_{buckets}_{uuid.uuid4().hex}"
         rows.write.bucketBy(buckets, "hi", "lo").sortBy("hi", "lo").option("path", f"{self.path}/{name}").saveAsTable(name)
+        if sum(x.startswith("part-") for x in listed(self.spark, f"{self.path}/{name}")) > buckets:
+            raise RuntimeError(f"{name}: a bucket has several files, so that it is not in order")
         at = self._of(level)
         at.append(name)
         if len(at) >= self.fanout:
             old, self.levels[level] = at, []
-            self._put(level + 1, self._merged(old), buckets)
+            with self.reading(by_row=True):
+                self._put(level + 1, self._merged(old), max(int(self.NAME.search(x)[2]) for x in old))
             for x in old:
                 self._drop(x)
 
     def _merged(self, names: list[str]) -> DataFrame:
-        """Runs of disjoint hashes as one: full merge joins, bucket by bucket, so nothing is shuffled or sorted."""
-        first, *others = (self.spark.table(x) for x in names)
-        for other in others:
-            other = other.withColumnsRenamed({"doc": "doc_2", "part": "part_2"}).withColumn("here", F.lit(True)).hint("merge")
-            pick = lambda c: F.when(F.col("here"), F.col(f"{c}_2")).otherwise(F.col(c)).alias(c)
-            first = first.join(other, ["hi", "lo"], "full").select("hi", "lo", pick("doc"), pick("part"))
-        return first
+        """Runs of disjoint hashes as one. A bucket's rows of all runs meet in one task: the union keeps the runs' partitioning if they have
+        equally many buckets, and then nothing is left to repartition. To be planned and run in ``reading(by_row=True)``."""
+        rows = reduce(DataFrame.unionAll, (self.spark.table(x).select(*RUN_COLUMNS) for x in names))
+        return rows.repartition(max(int(self.NAME.search(x)[2]) for x in names), "hi", "lo")
 
     def _drop(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
@@ -124,13 +133,14 @@ class Runs:
     def tables(self) -> list[str]:
         return [x for level in self.levels for x in level]
 
-    def close(self) -> DataFrame | None:
-        """Take the tables out of the catalog; their files stay. Gives all rows (hi, lo, doc, part)."""
+    def close(self, owners: Column | None = None) -> DataFrame:
+        """Take the tables out of the catalog; their files stay. Gives the rows (hi, lo, doc, part), those of some owners or all."""
         files = [f"{self.path}/{x}" for x in self.tables()]
         for x in self.tables():
             self.spark.sql(f"DROP TABLE IF EXISTS {x}")
         schema = ", ".join(f"{c} long" for c in RUN_COLUMNS)
-        return self.spark.read.schema(schema).parquet(*files)
+        rows = self.spark.read.schema(schema).parquet(*files)
+        return rows if owners is None else rows.filter(owners)
 
 
 def hashed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -154,7 +164,8 @@ def _owned(docs: DataFrame, batches: int, min_chars: int, folder: str | None) ->
     """(doc, part, owned array<struct<hi, lo>>) of (doc, part, text)."""
     spark = docs.sparkSession
     shares = [i / batches for i in range(1, batches)]
-    bounds = docs.select("doc").agg(F.percentile_approx("doc", shares, 10_000).alias("b")).first()["b"] or []
+    known = docs.select("doc").agg(F.percentile_approx("doc", shares, 10_000).alias("bounds"), F.min("doc").alias("least"), F.max("doc").alias("most")).first()
+    bounds = known["bounds"] or []
     staged, batch = scratch(spark, "lines"), F.lit(0)
     for b in sorted(set(bounds)):
         batch = batch + F.coalesce((F.col("doc") > b).cast("int"), F.lit(1))
@@ -165,7 +176,10 @@ def _owned(docs: DataFrame, batches: int, min_chars: int, folder: str | None) ->
     for b in range(len(set(bounds)) + 1):
         runs.add(read.filter(F.col("batch") == b).select(*RUN_COLUMNS))
     dropped(spark, staged)
-    return runs.close().groupBy("doc", "part").agg(F.collect_list(F.struct("hi", "lo")).alias("owned"))
+    mine = F.col("doc").isNull()
+    if known["least"] is not None:
+        mine = mine | F.col("doc").between(known["least"], known["most"])
+    return runs.close(mine).groupBy("doc", "part").agg(F.collect_list(F.struct("hi", "lo")).alias("owned"))
 
 
 def _kept(text: str, owned: set, min_chars: int) -> tuple[int, int, str]:

@@ -4,6 +4,8 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from meterflow.llm import linededup  # noqa: E402
 
 SCHEMA = "doc_id long, text string"
@@ -24,19 +26,67 @@ def test_a_second_call_meets_the_runs_of_the_first(spark, tmp_path):
     assert dropped(first, folder=folder) == {1: (0, "a line of its own\nshared from day one"), 2: (1, "short")}  # once more: it owns them still
 
 
-def test_runs_are_read_and_merged_in_their_order(spark):
+def three_runs(spark, fanout):
     docs = spark.createDataFrame([(i, f"line number {i % 40} of all\nand one more {i}") for i in range(120)], SCHEMA)
     lines = linededup.hashed_lines(docs.select(*linededup._document("text", "doc_id")))
-    runs = linededup.Runs(spark)
-    runs.add(lines.filter("doc < 40"))
-    runs.add(lines.filter("doc BETWEEN 40 AND 79"))
-    with runs._in_order():
+    runs = linededup.Runs(spark, fanout=fanout)
+    for first in (0, 40, 80):
+        runs.add(lines.filter(F.col("doc").between(first, first + 39)))
+    return runs
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_three_runs_are_merged_where_they_lie(spark):
+    runs = three_runs(spark, fanout=9)
+    assert len(runs.tables()) == 3
+    with runs.reading(by_row=True):
         merged = runs._merged(runs.tables())
-        plan = merged._jdf.queryExecution().executedPlan().toString()
-        assert "SortMergeJoin" in plan and "Sort [" not in plan and "Exchange" not in plan, plan
-    assert merged.count() == 40 + 80 and merged.select("hi", "lo").distinct().count() == 120
-    runs.add(lines.filter("doc >= 80"))  # the third run of a level: all become one
-    assert len(runs.tables()) == 1 and runs.close().count() == 160
+        plan = plan_of(merged)
+        assert plan.count("Bucketed: true") == 3 and "Sort [" not in plan and "Exchange" not in plan, plan
+        assert merged.rdd.getNumPartitions() == int(runs.NAME.search(runs.tables()[0])[2])
+    assert merged.count() == 160 and merged.select("hi", "lo").distinct().count() == 160
+
+
+def test_a_merged_run_has_a_sorted_file_a_bucket(spark):
+    runs = three_runs(spark, fanout=3)  # the third run of a level: all become one
+    (name,) = runs.tables()
+    buckets = int(runs.NAME.search(name)[2])
+    files = spark.read.parquet(f"{runs.path}/{name}").withColumn("file", F.input_file_name())
+    assert 1 < files.select("file").distinct().count() <= buckets
+    for r in files.groupBy("file").agg(F.collect_list(F.struct("hi", "lo")).alias("rows"), F.count_distinct(F.pmod(F.hash("hi", "lo"), F.lit(buckets))).alias("of")).collect():
+        assert r["of"] == 1 and r["rows"] == sorted(r["rows"])
+    with runs.reading():
+        met = spark.table(name).hint("merge").join(spark.table(name).select("hi", "lo").hint("merge"), ["hi", "lo"], "left_anti")
+        assert "Exchange" not in plan_of(met) and "Sort [" not in plan_of(met) and met.count() == 0
+    assert runs.close().count() == 160
+
+
+def test_runs_of_other_numbers_of_buckets_are_merged(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    docs = spark.createDataFrame([(i, f"line number {i % 40} of all\nand one more {i}") for i in range(120)], SCHEMA)
+    lines = linededup.hashed_lines(docs.select(*linededup._document("text", "doc_id")))
+    runs = linededup.Runs(spark)
+    try:
+        for n, first in ((3, 0), (5, 40), (4, 80)):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            runs.add(lines.filter(F.col("doc").between(first, first + 39)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    (name,) = runs.tables()
+    assert runs.NAME.search(name)[2] == "5" and runs.close().count() == 160
+
+
+def test_a_call_reads_owners_of_its_own_ids_only(spark, tmp_path):
+    folder = f"file://{tmp_path}/runs"
+    old = spark.createDataFrame([(i, f"an old line {i}\nanother line {i % 7}") for i in range(90)], SCHEMA)
+    assert sum(n for n, _ in dropped(old, folder=folder).values()) == 83
+    new = spark.createDataFrame([(200, "an old line 3\na new line"), (201, "a new line"), (None, "another line 5\nof no id at all")], SCHEMA)
+    owned = linededup._owned(new.select(*linededup._document("text", "doc_id")), 1, 10, folder)
+    assert "PushedFilters: [Or(IsNull(doc)" in plan_of(owned)
+    assert sorted((r["doc"] or -1, len(r["owned"])) for r in owned.collect()) == [(-1, 1), (200, 1)]
 
 
 def test_rows_without_ids_are_documents_of_their_own(spark):
