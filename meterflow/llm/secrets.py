@@ -2,9 +2,9 @@
 
 Three base patterns find assignments, access keys and hexadecimal strings. Two character Markov models add spans: one of
 random strings, one of ordinary identifiers. Their labelled samples come from the whole corpus: the values of
-base matches are random, other long runs of letters (with a few digits at the end at most) are ordinary. Bigrams are counted in
-Spark (at most 80 * 80 of each label reach the driver) and smoothed by how often the second character occurs at all. A run of
-letters and digits whose log-likelihood ratio reaches LEAST_RATIO is a span of kind ``random`` unless it overlaps a base span.
+base matches are random, other long runs of letters (with a few digits at the end at most) and of digits in groups (dates, numbers) are ordinary. Bigrams are counted in
+Spark (at most 80 * 80 of each label reach the driver) and smoothed by how often the second character occurs at all. Every run
+is scored: one whose log-likelihood ratio reaches LEAST_RATIO is a span of kind ``random`` unless it overlaps a base span.
 
 Spans are (kind, start, end), in code points, end exclusive. Cases: NULL text is the empty text, without spans. Equal and NULL
 ids are rows of their own. Without any sample both models are uniform and nothing is added. ``scan`` ignores
@@ -26,7 +26,7 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
-ORDINARY = r"^[A-Za-z+/_=-]+[0-9]{0,4}$"
+ORDINARY = r"^([A-Za-z+/_=-]+[0-9]{0,4}|[0-9+/_=-]+)$"
 #: Natural log of the ratio that a run must reach, the weight of smoothing, and the share of
 #: the random strings' model that is uniform over the alphabet (base matches are mostly hexadecimal, random strings need not be).
 LEAST_RATIO, SMOOTHING, UNIFORM = 12.0, 0.5, 0.5
@@ -122,7 +122,7 @@ def _scanned(df: DataFrame, model: list[float] | None) -> DataFrame:
     rows = _with_spans(base_spans(df), "_runs", 3, RUN)
     rows = rows.withColumn("_base", F.array_sort(F.concat("_assign", "_access", "_hex")))
     free = lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    scored = F.zip_with("_runs", "_run_texts", lambda s, t: F.when(t.rlike("[0-9]") & t.rlike("[A-Za-z]"), F.when(_ratio(t, ratios) >= LEAST_RATIO, s)))
+    scored = F.zip_with("_runs", "_run_texts", lambda s, t: F.when(_ratio(t, ratios) >= LEAST_RATIO, s))
     rows = rows.withColumn("_added", F.filter(F.array_compact(scored), free))
     return rows.withColumn("_spans", F.array_sort(F.concat("_base", "_added")))
 

@@ -107,6 +107,16 @@ def test_models_find_random_strings_and_leave_words(spark):
     assert out[999] == "random:4:25" and not any("random" in out[i] for i in range(400))
 
 
+def test_every_run_is_scored(spark):
+    rng = random.Random(4)
+    words = ["configuration", "management", "international", "documentation", "responsibility", "infrastructure", "geldsystem", "farbraum"]
+    rows = [(i, f"{rng.choice(words)}{rng.choice(words)} and {rng.choice(words)}_{rng.choice(words)} from {rng.choice(['2024-01-09/2024-02-1', '+49-30-1234-5678-'])}{rng.randint(0, 9)} {'-' * 30}") for i in range(400)]
+    rows += [(400 + i, "token=" + "".join(rng.choice("ABCXYZabcxyz0123456789") for _ in range(24))) for i in range(60)]
+    rows += [(900, "letters alone: rtnmgcfdlntsmrcgfdtlnmsc"), (901, "=" * 40), (902, "1999-12-31/2000-01-01")]
+    out = {r["doc_id"]: r["spans"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[900] == "random:15:39" and not any(s for i, s in out.items() if i < 400 or i > 900)
+
+
 def test_redaction_merges_overlaps(spark):
     df = spark.createDataFrame([(1, 'a token = "04dbebab91ab85687d33eeaa" z'), (2, None), (3, "clean")], "doc_id long, text string")
     assert [r["text"] for r in secrets.redact(df, [0.0] * 6400).orderBy("doc_id").collect()] == ['a [SECRET]" z', None, "clean"]
