@@ -83,7 +83,7 @@ def _fact(t: Tables) -> DataFrame:
     """The fact table of the hourly builds, a station for every so many users."""
     known = _points(t).drop("station_id").dropDuplicates(["point_code"])
     rows = _readings(t).filter("sensor_id <> 'GHOST'").join(known.withColumnRenamed("point_code", "sensor_id"), "sensor_id")
-    return rows.withColumnsRenamed({"sensor_id": "point_code", "station": "station_id", "at": "event_time"}).withColumn("dt", F.to_date("event_time"))
+    return rows.drop("timestamp").withColumnsRenamed({"sensor_id": "point_code", "station": "station_id", "at": "event_time"}).withColumn("dt", F.to_date("event_time"))
 
 
 _VALUE = f"CASE WHEN n IN ({', '.join(map(str, METERS))}) THEN (event_id % 4000) * 0.5 + CASE WHEN event_id % {JUMP_EVERY} = 5 THEN (event_id % 4 + 1) * {JUMP} ELSE 0 END WHEN n IN ({', '.join(map(str, STATUS))}) THEN CASE event_type WHEN 'signup' THEN 0.0 WHEN 'error' THEN -1.0 ELSE 1.0 END ELSE value END"

@@ -7,8 +7,9 @@ keys are found in three steps, each of which looks at fewer of them: by the key
 beside its data (``_keys``), then by reading the key columns of those that are left. A summary counts only while its partition has
 the very files it was made from, so a lost or stale one costs time, never rows.
 
-The new partitions are written in full beside the table; then a marker is written, and the directories change places. A merge that was
-stopped after the marker is finished by the next call, one stopped before it has changed nothing. A reader during the change may see some partitions new and
+The new partitions are written in full beside the table; then a marker is written, and the directories change places. A merge that only
+inserts, of rows with the table's columns, writes the new rows alone; their files move in beside those that are there, unless these have become
+many and small. A merge that was stopped after the marker is finished by the next call, one stopped before it has changed nothing. A reader during the change may see some partitions new and
 others old.
 """
 
@@ -21,17 +22,20 @@ from dataclasses import dataclass, field
 from functools import reduce
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from meterflow.operators.upsert import Keys, exists, matching, replace_groups, upsert
+from meterflow.operators.upsert import Keys, exists, insert_only, matching, replace_groups, upsert
 
 #: Fixed value: the directory name of a NULL.
 NULL_NAME = "__HIVE_DEFAULT_PARTITION__"
 SUMMARY, READY = "_keys", "ready"
 #: Bits a key and hashes of the filters; bits of a block of them; up to so many source keys the filters are asked, beyond they'd hit everywhere.
 BITS, HASHES, BLOCK, MOST_PROBES = 16, 5, 32768, 20_000
+#: A partition with so many files of fewer bytes on average is written anew instead of getting further files.
+MANY_FILES, SMALL_FILE = 100, 1_000_000
 
 Values = tuple[str | None, ...]
 
@@ -93,7 +97,8 @@ class Stored:
         if not values:
             return []
         kinds = [self.like.schema[c].dataType for c in self.partition_by]
-        rows = self.spark.createDataFrame([(i, *v) for i, v in enumerate(values)], "i int, " + ", ".join(f"v{j} string" for j in range(len(kinds))))
+        texts = {f"v{j}": pa.array([v[j] for v in values], pa.string()) for j in range(len(kinds))}
+        rows = self.spark.createDataFrame(pa.table({"i": range(len(values)), **texts}))  # from Arrow, which starts no Python workers
         shown = [F.coalesce(F.col(f"v{j}").try_cast(k).cast("string"), F.col(f"v{j}")) for j, k in enumerate(kinds)]
         return [tuple(r)[1:] for r in rows.select("i", *shown).orderBy("i").collect()]
 
@@ -111,6 +116,12 @@ class Stored:
             df = self.spark.read.schema(schema).option("basePath", self.path).parquet(*places)
         return df if columns is None else df.select(*columns)
 
+    def grows_by(self, source: DataFrame, partitions: Sequence[Values]) -> bool:
+        """Whether source's rows can be put beside those of these partitions: columns and types are alike, and files aren't many and small."""
+        sizes = [[int(x.rpartition(":")[2]) for x in self.marks[v].split(";") if x] for v in partitions if v in self.marks]
+        crowded = any(len(s) >= MANY_FILES and sum(s) < SMALL_FILE * len(s) for s in sizes)
+        return not crowded and {f.name: f.dataType for f in self.schema} == {f.name: f.dataType for f in source.schema}
+
     def of(self, rows: DataFrame) -> list[Values]:
         """The partitions of rows: as many as directories, on the driver."""
         return [tuple(r) for r in rows.select(*self.texts()).distinct().collect()]
@@ -121,16 +132,24 @@ def write_partitions(df: DataFrame, path: str, partition_by: Keys) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 
-def merge_into(spark: SparkSession, path: str, source: DataFrame, keys: Keys, partition_by: Keys, staging: str, how=upsert) -> None:
-    """Merge source, one row for each key, into the table at path. staging: a folder of the same file system, for this table alone."""
+def merge_into(spark: SparkSession, path: str, source: DataFrame, keys: Keys, partition_by: Keys, staging: str, how=upsert) -> DataFrame:
+    """Merge source, one row for each key, into the table at path. staging: a folder of the same file system, for this table alone.
+    Returns the source as it was staged, good until the next merge."""
     table = _opened(spark, path, source, partition_by, staging)
     source = _staged(source.dropDuplicates(list(keys)), staging)
     if table is None:
         source.write.partitionBy(*partition_by).parquet(path)
-        return
+        return source
     touched = table.of(source)
     touched += moved_from(table, source, keys, touched)
-    rewrite(table, touched, lambda target: how(target, source, keys), staging, () if set(partition_by) <= set(keys) else keys)
+    summarised = () if set(partition_by) <= set(keys) else keys
+    if how is insert_only and table.grows_by(source, touched):
+        there = matching(table.read(touched, keys), source, keys)  # the table's keys need not be shuffled if the source is small
+        rows = matching(source, there, keys, "left_anti").hint("rebalance", *partition_by)  # few files for each partition
+        exchange(table, rows, touched, staging, summarised, replaced=())
+    else:
+        rewrite(table, touched, lambda target: how(target, source, keys), staging, summarised)
+    return source
 
 
 def replace_groups_into(spark: SparkSession, path: str, source: DataFrame, group: Keys, partition_by: Keys, staging: str) -> None:
@@ -174,10 +193,15 @@ def _staged(source: DataFrame, staging: str) -> DataFrame:
 
 def rewrite(table: Stored, partitions: Sequence[Values], merged: Callable[[DataFrame], DataFrame], staging: str, keys: Keys = ()) -> None:
     """Put what merged makes of some partitions' rows in their place; those without rows go. keys: summarise them afterwards."""
+    exchange(table, merged(table.read(partitions)), partitions, staging, keys, partitions)
+
+
+def exchange(table: Stored, rows: DataFrame, partitions: Sequence[Values], staging: str, keys: Keys, replaced: Sequence[Values]) -> None:
+    """Stage rows, then let them take the place of the replaced partitions, or move in beside the rows of others."""
     table.fs.delete(table.to_path(f"{staging}/old"), True)
-    merged(table.read(partitions)).write.mode("overwrite").partitionBy(*table.partition_by).parquet(f"{staging}/merged")
+    rows.write.mode("overwrite").partitionBy(*table.partition_by).parquet(f"{staging}/merged")
     out = table.fs.create(table.to_path(f"{staging}/{READY}"), True)
-    out.writeBytes(json.dumps({"old": uuid.uuid4().hex, "places": [p for v in partitions for p in table.dirs.get(v, [])]}) + "\n")
+    out.writeBytes(json.dumps({"old": uuid.uuid4().hex, "places": [p for v in replaced for p in table.dirs.get(v, [])]}) + "\n")
     out.close()
     finish(table, staging)
     table.refresh()
@@ -186,7 +210,7 @@ def rewrite(table: Stored, partitions: Sequence[Values], merged: Callable[[DataF
 
 
 def finish(table: Stored, staging: str) -> None:
-    """Let the staged partitions change places with those they replace; a second try leaves alone what has moved already."""
+    """Let the staged partitions change places with those they replace, or add their files; a second try leaves alone what has moved already."""
     marker = f"{staging}/{READY}"
     if not exists(table.spark, marker):
         return
@@ -197,7 +221,12 @@ def finish(table: Stored, staging: str) -> None:
         if not exists(table.spark, old):  # else what stands at the place is new
             _move(table, place, old)
     for _, place in table.listed(f"{staging}/merged"):
-        _move(table, place, f"{table.path}/{name(place)}")
+        target = f"{table.path}/{name(place)}"
+        if not exists(table.spark, target):
+            _move(table, place, target)
+            continue
+        for x in table.fs.listStatus(table.to_path(place)):  # added rows: their files' names are in no other write
+            _move(table, x.getPath().toString(), f"{target}/{x.getPath().getName()}")
     for done in (marker, f"{staging}/old", f"{staging}/merged"):
         table.fs.delete(table.to_path(done), True)
 

@@ -11,7 +11,8 @@ from meterflow.operators import joins, merge, upsert
 from meterflow.sources import readers, sinks
 
 #: A message by its place in its topic. History has no such place (NULLs): there the point and the time tell readings apart.
-LINEAGE = ["dt", "source_topic", "partition_id", "offset_id", "point_code", "event_time"]
+PLACE = ["source_topic", "partition_id", "offset_id"]
+LINEAGE = ["dt", *PLACE, "point_code", "event_time"]
 CONTROL = "job_name string, source_path string, target_path string, last_ingest_time timestamp, last_event_time timestamp, processed_rows bigint, updated_at timestamp"
 
 
@@ -34,9 +35,9 @@ def batch_statistics(df: DataFrame, ingest_time: str = "ingest_time", event_time
     return df.agg(F.count(F.lit(1)).alias("processed_rows"), *[f(c).alias(f"{n}_{c}") for c in (ingest_time, event_time) for n, f in (("first", F.min), ("last", F.max))])
 
 
-def upsert_lineage(spark: SparkSession, batch: DataFrame, path: str, staging: str, keys: list[str] = LINEAGE) -> None:
-    """Add a batch to the fact table; rows that are there already, and repeats, add nothing."""
-    merge.merge_into(spark, path, batch, keys, ("dt",), staging, upsert.insert_only)
+def upsert_lineage(spark: SparkSession, batch: DataFrame, path: str, staging: str, keys: list[str] = LINEAGE) -> DataFrame:
+    """Add a batch to the fact table; rows that are there already, and repeats, add nothing. Returns the batch as it was staged."""
+    return merge.merge_into(spark, path, batch, keys, ("dt",), staging, upsert.insert_only)
 
 
 def affected_hours(batch: DataFrame, keys: list[str], event_time: str = "event_time") -> DataFrame:

@@ -13,10 +13,11 @@ The result is what a full rebuild gives. Steps can be repeated: after a stop, th
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 from datetime import date, datetime, timedelta
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,10 +57,10 @@ class Chain:
     def staging(self, table: str) -> str:
         return f"{self.lake.path(table)}_staging"
 
-    def kept(self, df: DataFrame, name: str) -> DataFrame:
-        """A small table between steps, written so that it is worked out once."""
+    def kept(self, df: DataFrame, name: str, mode: str = "overwrite") -> DataFrame:
+        """A table between steps, written so that it is worked out once; with the mode append beside the rows of that name."""
         path = f"{self.staging('chain')}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode(mode).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def days(self, table: str) -> list[date]:
@@ -75,8 +76,7 @@ class Chain:
 
     def add(self, facts: DataFrame) -> None:
         """Add readings to the fact and bring every table up to date; readings that are there already change nothing."""
-        microbatch.upsert_lineage(self.spark, facts, self.lake.path("fact"), self.staging("fact"))
-        self.propagate(facts)
+        self.propagate(microbatch.upsert_lineage(self.spark, facts, self.lake.path("fact"), self.staging("fact")))
 
     def rebuild(self) -> None:
         """Every table from the whole fact."""
@@ -100,27 +100,29 @@ class Chain:
         if not days:
             return
         self._minutes(touched, days)
-        hours = self.kept(self._touched_hours(touched, days), "touched_hours")
-        self._hours(hours, _days(hours))
+        known = MeterHours(self, self.kept(touched.select("station_id").distinct(), "stations"))
+        hours = self.kept(self._touched_hours(touched, days, known), "touched_hours")
+        days = _days(hours)
+        self._hours(hours, days, known)
         for period in self.periods:
-            self._report(period, hours, _days(hours))
+            self._report(period, hours, days)
 
     def _minutes(self, touched: DataFrame, days: list[date]) -> None:
         grains = touched.select("station_id", "stat_minute", "dt").distinct()
-        facts = self.read("fact", days).withColumn("stat_minute", F.date_trunc("minute", "event_time"))
+        facts = self.read("fact", days).drop(*microbatch.PLACE).withColumn("stat_minute", F.date_trunc("minute", "event_time"))
         made = self.minutes(self.kept(matching(facts, grains, ["station_id", "stat_minute"]).drop("stat_minute"), "minutes_facts"))
         merge.replace_grains_into(self.spark, self.lake.path("minutes"), made, grains, ("dt",), self.staging("minutes"))
 
-    def _touched_hours(self, touched: DataFrame, days: list[date]) -> DataFrame:
+    def _touched_hours(self, touched: DataFrame, days: list[date], known: MeterHours) -> DataFrame:
         """(station_id, stat_hour, dt): the batch's hours and each touched meter's next one."""
         own = touched.select("station_id", "point_code", F.date_trunc("hour", "stat_minute").alias("stat_hour"), "dt").distinct()
-        following = self._nearest(own.filter(self.meters()), days, ahead=True)
+        following = self._nearest(own.filter(self.meters()), days, known, ahead=True)
         rows = own.select("station_id", "stat_hour").unionByName(following.select("station_id", "stat_hour"))
         return rows.distinct().withColumn("dt", F.to_date("stat_hour"))
 
-    def _nearest(self, asked: DataFrame, days: list[date], ahead: bool) -> DataFrame:
+    def _nearest(self, asked: DataFrame, days: list[date], known: MeterHours, ahead: bool) -> DataFrame:
         """(station_id, point_code, stat_hour): of each asked hour of a point the next (or the last) other hour with readings."""
-        every, rest, found = self.days("fact"), asked, []
+        every, rest, found = known.every, asked, []
         low, high, turn = 0, 1, 1 if ahead else -1
         at = {d: i for i, d in enumerate(every)}
         while True:
@@ -128,10 +130,9 @@ class Chain:
             reach = [(d, own) for d, own in reach if own]
             if not reach:
                 break
-            last = self.spark.createDataFrame([(d, own[-1]) for d, own in reach], "dt date, until date")
-            hour = F.date_trunc("hour", "event_time").alias("stat_hour")
-            there = self.read("fact", sorted({x for _, own in reach for x in own})).filter(self.meters()).select("station_id", "point_code", hour)
-            there = matching(there, rest.select("station_id", "point_code").distinct(), ["station_id", "point_code"]).distinct()
+            last = self.spark.createDataFrame(pa.table({"dt": [d for d, _ in reach], "until": [own[-1] for _, own in reach]}))
+            there = known.of({x for _, own in reach for x in own}).drop("dt")
+            there = matching(there, rest.select("station_id", "point_code").distinct(), ["station_id", "point_code"])
             rows = there.withColumns({"real": F.lit(True), "dt": F.lit(None).cast("date")}).unionByName(rest.select("station_id", "point_code", "stat_hour", F.lit(False).alias("real"), "dt"))
             span = (1, Window.unboundedFollowing) if ahead else (Window.unboundedPreceding, -1)
             near = Window.partitionBy("station_id", "point_code").orderBy(F.unix_timestamp("stat_hour")).rangeBetween(*span)
@@ -148,15 +149,13 @@ class Chain:
             out = out.unionByName(df)
         return out.distinct()
 
-    def _hours(self, hours: DataFrame, days: list[date]) -> None:
-        facts = self.read("fact", days).withColumn("stat_hour", F.date_trunc("hour", "event_time"))
-        own = self.kept(matching(facts, hours, ["station_id", "stat_hour"]), "own_facts")
-        asked = own.filter(self.meters()).select("station_id", "point_code", "stat_hour", "dt").distinct()
-        before = self._nearest(self.kept(asked, "asked"), days, ahead=False)
+    def _hours(self, hours: DataFrame, days: list[date], known: MeterHours) -> None:
+        asked = matching(known.of(days), hours, ["station_id", "stat_hour"])
+        before = self._nearest(self.kept(asked, "asked"), days, known, ahead=False)
         before = self.kept(matching(before, hours, ["station_id", "stat_hour"], "left_anti").withColumn("dt", F.to_date("stat_hour")), "before")
-        earlier = self.read("fact", _days(before)).withColumn("stat_hour", F.date_trunc("hour", "event_time"))
-        facts = own.unionByName(matching(earlier, before, ["station_id", "point_code", "stat_hour"]))
-        facts = self.kept(facts.drop("stat_hour"), "needed_facts")  # every system's hours read it several times
+        facts = lambda days: self.read("fact", days).drop(*microbatch.PLACE).withColumn("stat_hour", F.date_trunc("hour", "event_time"))
+        self.kept(matching(facts(days), hours, ["station_id", "stat_hour"]).drop("stat_hour"), "needed_facts")  # every system's hours read it several times
+        facts = self.kept(matching(facts(_days(before)), before, ["station_id", "point_code", "stat_hour"]).drop("stat_hour"), "needed_facts", "append")
         minutes = self.read("minutes", days).withColumn("stat_hour", F.date_trunc("hour", "stat_minute"))
         minutes = self.kept(matching(minutes, hours, ["station_id", "stat_hour"]).drop("stat_hour"), "needed_minutes")
         made = matching(self.hours(minutes, facts), hours, ["station_id", "stat_hour"])
@@ -171,6 +170,23 @@ class Chain:
         merge.replace_grains_into(self.spark, self.lake.path(period), made, grains, (PARTITIONS[period],), self.staging(period))
 
 
+class MeterHours:
+    """(station_id, point_code, stat_hour, dt) of the meters of some stations, as long as the fact doesn't change: a day is looked up once."""
+
+    def __init__(self, chain: Chain, stations: DataFrame):
+        self.chain, self.stations, self.every, self.had = chain, stations, chain.days("fact"), set()
+        self.rows: DataFrame | None = None
+
+    def of(self, days: Iterable[date]) -> DataFrame:
+        days = sorted(set(days))
+        if self.rows is None or not self.had.issuperset(days):
+            facts = self.chain.read("fact", [d for d in days if d not in self.had]).filter(self.chain.meters())
+            rows = matching(facts, self.stations, ["station_id"]).select("station_id", "point_code", F.date_trunc("hour", "event_time").alias("stat_hour"), "dt").distinct()
+            self.rows = self.chain.kept(rows, "meter_hours", "append" if self.had else "overwrite")
+            self.had.update(days)
+        return self.rows.filter(F.col("dt").isin(*days) if days else F.lit(False))
+
+
 def propagating_stream(messages: DataFrame, points: DataFrame, chain: Chain, ledger: Ledger, checkpoint: str, fact_of: Callable[[DataFrame, DataFrame], DataFrame] = silver.stream_fact):
     """A query that brings each micro-batch through the chain and enters it in the ledger. Killed before the entry, it takes the batch
     again, which changes nothing that is there; an entered batch is not taken twice."""
